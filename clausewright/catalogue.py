@@ -1,7 +1,421 @@
-"""Every registered query of the library, with its oracle."""
+"""Every registered query of the library, with its oracle.
+
+The driver's tables hold no legal wording, so text queries run on regulations that one SQL statement, valid in both
+engines, makes from ``orders`` (all of them).  Oracles use their own expressions, not the operators'.
+"""
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import metrics, rules, similarity
+from .operators import assign, bags, entities, parsing, rollup, segment
+from .plans import evaluation
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+FLAGSHIP = "m1_greedy_assignment"
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_ACTOR = "CASE o_custkey % 5 WHEN 0 THEN 'competent authority' WHEN 1 THEN 'Commission' WHEN 2 THEN 'data controller' WHEN 3 THEN 'importer' ELSE 'notified body' END"
+_OTHER = "CASE o_custkey % 3 WHEN 0 THEN 'Member State' WHEN 1 THEN 'operator' ELSE 'supervisory board' END"
+_MODAL = "CASE o_orderkey % 7 WHEN 0 THEN 'shall' WHEN 1 THEN 'must' WHEN 2 THEN 'may' WHEN 3 THEN 'shall not' WHEN 4 THEN 'should' WHEN 5 THEN 'may not' ELSE 'was seen to' END"
+_SAYS = f"""concat('The ', {_ACTOR}, ' ', {_MODAL}, ' notify the ', {_OTHER}, CASE o_orderkey % 4 WHEN 0 THEN ', without undue delay,' WHEN 1 THEN ' in particular' ELSE '' END,
+    ' of batch ', CAST(o_orderkey AS STRING), CASE o_orderkey % 6 WHEN 0 THEN ' in accordance with Article 2' WHEN 1 THEN ' pursuant to Regulation (EU) No 12/2020' WHEN 2 THEN ' under paragraph 3' WHEN 3 THEN ' referred to in Articles 5, 6 and 8' ELSE '' END, '.')"""
+_WHERE = f"concat(CASE o_custkey % 2 WHEN 0 THEN 'Where' ELSE 'If' END, ' the ', {_OTHER}, ' objects, the ', {_ACTOR}, ' may refer to Annex IV.')"
+REGULATIONS = f"""
+    SELECT o_orderkey AS doc_id, o_orderpriority AS section, CASE o_orderkey % 5
+        WHEN 0 THEN concat('Preamble.', chr(10), 'Article 1', chr(10), chr(10), 'Scope', chr(10), '1. ', {_SAYS}, chr(10), '2. ', {_WHERE}, chr(10), 'Article 2', chr(10), chr(10), 'Reports', chr(10), '1. ', {_SAYS}, ' It shall include the following:', chr(10), '(a) the date;', chr(10), '(b) the place.')
+        WHEN 1 THEN concat('Art. 3 Duties', chr(10), {_SAYS}, chr(10), 'Art. 4 Powers', chr(10), {_WHERE})
+        WHEN 2 THEN concat('1. Scope', chr(10), {_SAYS}, chr(10), '2. Purpose of reports', chr(10), {_WHERE}, chr(10), '3. Tasks', chr(10), {_SAYS})
+        WHEN 3 THEN concat('1. ', {_SAYS}, chr(10), '2. ', {_WHERE}, chr(10), '3. ', {_SAYS})
+        ELSE concat({_SAYS}, ' ', {_WHERE}) END AS text
+    FROM orders
+"""
+
+
+def regulations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(REGULATIONS.replace("FROM orders", "FROM {orders}").replace("{orders}", f"parquet.`{sf_dir}/orders.parquet`"))
+
+
+# --- scores ----------------------------------------------------------------------------------------------------
+_LABELLED = "SELECT d.lang, d.source, l.quality, l.toxic FROM documents d JOIN labels l ON l.doc_id = d.doc_id"
+_COUNTS = f"""SELECT lang, source, count(*) FILTER (toxic = 1 AND quality = 1) AS tp, count(*) FILTER (toxic = 1 AND quality = 0) AS fp,
+    count(*) FILTER (toxic = 0 AND quality = 1) AS fn FROM ({_LABELLED}) GROUP BY lang, source"""
+_PRF_SQL = """CASE WHEN tp + fp + fn = 0 THEN 1.0 WHEN tp + fp = 0 THEN 0.0 ELSE round(tp::DOUBLE / (tp + fp), 4) END AS precision,
+    CASE WHEN tp + fp + fn = 0 THEN 1.0 WHEN tp + fn = 0 THEN 0.0 ELSE round(tp::DOUBLE / (tp + fn), 4) END AS recall,
+    CASE WHEN tp + fp + fn = 0 THEN 1.0 WHEN tp = 0 THEN 0.0 ELSE round(2.0 * (tp::DOUBLE / (tp + fp)) * (tp::DOUBLE / (tp + fn)) / (tp::DOUBLE / (tp + fp) + tp::DOUBLE / (tp + fn)), 4) END AS f1"""
+
+
+def _prf_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    met = read(spark, sf_dir, "documents").select("doc_id", "lang", "source").join(read(spark, sf_dir, "labels"), "doc_id")
+    n = lambda t, q: F.count_if((F.col("toxic") == t) & (F.col("quality") == q))
+    rows = met.groupBy("lang", "source").agg(n(1, 1).alias("tp"), n(1, 0).alias("fp"), n(0, 1).alias("fn"))
+    p, r, f = metrics.prf(F.col("tp"), F.col("fp"), F.col("fn"))
+    return rows.select("lang", "source", "tp", "fp", "fn", p.alias("precision"), r.alias("recall"), f.alias("f1"))
+
+
+@query(f"SELECT lang, source, tp, fp, fn, {_PRF_SQL} FROM ({_COUNTS})")
+def a1_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Precision, recall, F1 (labels stand in for predictions: a test of the arithmetic, not of a model)."""
+    return _prf_rows(spark, sf_dir)
+
+
+@query(f"""WITH r AS (SELECT lang, source, tp, fp, fn, {_PRF_SQL} FROM ({_COUNTS}))
+    SELECT lang AS section, 'SECTION' AS level, round(avg(precision), 4) AS precision, round(avg(recall), 4) AS recall, round(avg(f1), 4) AS f1, count(*) AS n_rows FROM r GROUP BY lang
+    UNION ALL SELECT 'ALL', 'ALL', round(avg(precision), 4), round(avg(recall), 4), round(avg(f1), 4), count(*) FROM r""")
+def a9_section_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup.section_rollup(_prf_rows(spark, sf_dir).withColumnRenamed("lang", "section"), ["precision", "recall", "f1"])
+
+
+@query(f"""WITH r AS (SELECT lang, source, tp, fp, fn, {_PRF_SQL} FROM ({_COUNTS}))
+    SELECT lang, round(avg(precision), 4) AS precision, round(avg(recall), 4) AS recall, count(*) AS n_rows FROM r GROUP BY lang""")
+def a8_macro_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup.macro_average(_prf_rows(spark, sf_dir), ["lang"], ["precision", "recall"])
+
+
+@query("""WITH a AS (SELECT lang, source, avg(n_chars) AS n FROM documents GROUP BY lang, source) SELECT lang, round(avg(n), 4) AS n_chars FROM a GROUP BY lang""")
+def a20_mean_of_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup.mean_of_means(read(spark, sf_dir, "documents"), ["lang"], ["source"], ["n_chars"])
+
+
+@query("""SELECT l_partkey AS doc, sum(l_quantity) AS matched_total, sum(l_extendedprice) AS gold_total, min_by(l_extendedprice, l_orderkey * 100 + l_linenumber) AS gold_first_run
+    FROM lineitem GROUP BY l_partkey""")
+def a21_absolute_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("doc"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("run"), "l_quantity", "l_extendedprice")
+    return rollup.absolute_totals(rows, "doc", "run", "l_quantity", "l_extendedprice")
+
+
+@query("""SELECT o_custkey, o_orderstatus AS status, count(*) AS n, max(CASE WHEN o_orderpriority = '5-LOW' THEN 1 ELSE 0 END) AS low FROM orders GROUP BY ALL""")
+def a2_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "orders").groupBy("o_custkey", F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"), F.max(F.when(F.col("o_orderpriority") == "5-LOW", 1).otherwise(0)).alias("low"))
+
+
+@query("""WITH c AS (SELECT l_orderkey AS k, count(*) FILTER (l_returnflag = 'A') AS g, count(*) FILTER (l_returnflag = 'R') AS p, least(count(*) FILTER (l_returnflag = 'A'), count(*) FILTER (l_returnflag = 'R')) AS m FROM lineitem GROUP BY 1)
+    SELECT k, CASE WHEN greatest(g, p) = 0 THEN 1.0 ELSE round(least(g, p)::DOUBLE / greatest(g, p), 4) END AS ratio,
+           CASE WHEN g = 0 THEN 1.0 ELSE least(g, p)::DOUBLE / g END AS recall,
+           CASE WHEN g = 0 AND p = 0 THEN NULL WHEN g = 0 THEN 1.0 WHEN p = 0 THEN 0.0 ELSE m::DOUBLE / g END AS scored FROM c""")
+def a11_a15_a17_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.count_if(F.col("l_returnflag") == "A").alias("g"), F.count_if(F.col("l_returnflag") == "R").alias("p"))
+    g, p = F.col("g"), F.col("p")
+    return c.select("k", metrics.count_ratio(g, p).alias("ratio"), metrics.recall_by_counts(g, p).alias("recall"), metrics.recall_or_null(g, p, F.least(g, p)).alias("scored"))
+
+
+@query("""SELECT a.l_linenumber AS n, count(*) FILTER ((a.f IS NULL AND b.f IS NULL) OR (a.f = b.f AND a.s = b.s)) AS tp,
+        count(*) FILTER (b.f IS NOT NULL AND (a.f IS NULL OR a.f <> b.f OR a.s <> b.s)) AS fp, count(*) FILTER (a.f IS NOT NULL AND (b.f IS NULL OR a.f <> b.f OR a.s <> b.s)) AS fn
+    FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, nullif(l_returnflag, 'N') AS f, l_linestatus AS s FROM lineitem) a
+    JOIN (SELECT o_orderkey, nullif(CASE o_orderkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'R' ELSE 'N' END, 'N') AS f, 'F' AS s FROM orders) b ON a.l_orderkey = b.o_orderkey GROUP BY 1""")
+def a6_a7_struct_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.expr("nullif(l_returnflag, 'N')").alias("f"), F.col("l_linestatus").alias("s"))
+    b = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.expr("nullif(CASE o_orderkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'R' ELSE 'N' END, 'N')").alias("g"), F.lit("F").alias("t"))
+    met = a.join(b, "l_orderkey")
+    tp, fp, fn = metrics.struct_counts([F.col("f"), F.col("s")], [F.col("g"), F.col("t")])
+    return met.groupBy(F.col("l_linenumber").alias("n")).agg(F.sum(tp).alias("tp"), F.sum(fp).alias("fp"), F.sum(fn).alias("fn"))
+
+
+# --- assignment ------------------------------------------------------------------------------------------------
+#: Candidate pairs inside a label: even vec_ids are predictions, odd ones gold; integer scores are equal in both engines.
+_PAIRS_SQL = """
+    v AS (SELECT label, vec_id, list_transform(embedding, lambda x: floor(100 * x::DOUBLE)) AS e FROM embeddings),
+    pairs AS (SELECT p.label, (p.vec_id // 2)::INTEGER AS i, (g.vec_id // 2)::INTEGER AS j, list_inner_product(p.e, g.e) AS score
+              FROM v p JOIN v g ON p.label = g.label AND p.vec_id % 2 = 0 AND g.vec_id % 2 = 1 WHERE list_inner_product(p.e, g.e) >= 1500)
+"""
+
+
+def _pairs(spark: SparkSession, sf_dir: str, threshold: float = 1500) -> DataFrame:
+    v = read(spark, sf_dir, "embeddings").select("label", "vec_id", F.transform("embedding", lambda x: F.floor(100 * x.cast("double")).cast("double")).alias("e"))
+    p = v.where("vec_id % 2 = 0").select("label", (F.col("vec_id") / 2).cast("int").alias("i"), F.col("e").alias("p"))
+    g = v.where("vec_id % 2 = 1").select("label", F.floor(F.col("vec_id") / 2).cast("int").alias("j"), F.col("e").alias("g"))
+    dot = F.aggregate(F.zip_with("p", "g", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    return p.join(g, "label").select("label", "i", "j", dot.alias("score")).where(F.col("score") >= threshold)
+
+
+@query(f"""WITH RECURSIVE {_PAIRS_SQL},
+    c AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, i, j) AS n FROM pairs),
+    r(label, n, ps, gs, i, j, score, taken) AS (
+        SELECT label, n, [i], [j], i, j, score, true FROM c WHERE n = 1
+        UNION ALL
+        SELECT c.label, c.n, CASE WHEN list_contains(ps, c.i) OR list_contains(gs, c.j) THEN ps ELSE list_append(ps, c.i) END,
+               CASE WHEN list_contains(ps, c.i) OR list_contains(gs, c.j) THEN gs ELSE list_append(gs, c.j) END, c.i, c.j, c.score, NOT (list_contains(ps, c.i) OR list_contains(gs, c.j))
+        FROM r JOIN c ON c.label = r.label AND c.n = r.n + 1)
+    SELECT label, i, j, score FROM r WHERE taken""")
+def m1_greedy_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign.greedy(_pairs(spark, sf_dir), ["label"], 1500)
+
+
+@query(f"""WITH RECURSIVE {_PAIRS_SQL},
+    g AS (SELECT label, j, list({{'s': score, 'i': i}} ORDER BY score DESC, i) AS c, row_number() OVER (PARTITION BY label ORDER BY j) AS n FROM pairs GROUP BY label, j),
+    f AS (SELECT label, n, j, c FROM g),
+    r(label, n, ps, j, best) AS (
+        SELECT label, n, [c[1].i], j, c[1] FROM f WHERE n = 1
+        UNION ALL
+        SELECT f.label, f.n, CASE WHEN len(list_filter(f.c, lambda x: NOT list_contains(r.ps, x.i))) = 0 THEN r.ps ELSE list_append(r.ps, list_filter(f.c, lambda x: NOT list_contains(r.ps, x.i))[1].i) END,
+               f.j, list_filter(f.c, lambda x: NOT list_contains(r.ps, x.i))[1]
+        FROM r JOIN f ON f.label = r.label AND f.n = r.n + 1)
+    SELECT label, best.i AS i, j, best.s AS score FROM r WHERE best IS NOT NULL""")
+def m2_gold_order_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign.gold_order(_pairs(spark, sf_dir), ["label"], 1500)
+
+
+@query()
+def m3_optimal_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign.optimal(_pairs(spark, sf_dir, -1e18), ["label"], 1500)
+
+
+@query(f"""WITH {_PAIRS_SQL} SELECT label, i, count(*) AS n, max(score) AS best, min_by(j, {{'a': -score, 'j': j}}) AS top_j FROM pairs GROUP BY label, i""")
+def o6_top_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(spark, sf_dir).groupBy("label", "i").agg(F.count("*").alias("n"), F.max("score").alias("best"), F.min_by("j", F.struct(-F.col("score"), "j")).alias("top_j"))
+
+
+_PART_NAMES = "SELECT p_size AS k, p_name AS name, p_partkey AS id FROM part WHERE p_size <= 12"
+_SIM_SQL = """CASE WHEN lower(trim(a)) = lower(trim(b)) THEN 1.0 WHEN trim(a) = '' OR trim(b) = '' THEN 0.0
+    WHEN contains(lower(trim(a)), lower(trim(b))) OR contains(lower(trim(b)), lower(trim(a))) THEN 0.92 ELSE NULL END"""
+
+
+@query(f"""WITH n AS (SELECT DISTINCT p_name AS name FROM part UNION SELECT DISTINCT split_part(p_name, ' ', 1) FROM part UNION SELECT ''),
+    p AS (SELECT x.name AS a, y.name AS b, upper(x.name) AS u FROM n x, n y) SELECT a, b, {_SIM_SQL.replace('(a)', '(u)')} AS score FROM p WHERE {_SIM_SQL.replace('(a)', '(u)')} IS NOT NULL""")
+def sim3_name_shortcuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact branches of name similarity, over the distinct part names and their first words (a fixed, small vocabulary)."""
+    part = read(spark, sf_dir, "part")
+    names = part.select(F.col("p_name").alias("name")).union(part.select(F.split("p_name", " ")[0])).union(spark.createDataFrame([("",)], "name string")).distinct()
+    pairs = names.select(F.lit(1).alias("_k"), F.col("name").alias("a")).join(names.select(F.lit(1).alias("_k"), F.col("name").alias("b")), "_k")
+    none = lambda x, y: F.lit(None).cast("double")
+    return pairs.select("a", "b", similarity.name_similarity(F.upper("a"), F.col("b"), True, none).alias("score")).where("score is not null")
+
+
+@query("""WITH s AS (SELECT DISTINCT p_name AS name, list_distinct(regexp_extract_all(lower(p_name), '\\w+')) AS w FROM part)
+    SELECT a.name AS a, b.name AS b, len(list_intersect(a.w, b.w))::INTEGER AS n FROM s a JOIN s b ON a.name < b.name WHERE len(list_intersect(a.w, b.w)) > 0""")
+def sim7_token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlap by meeting on shared words: no pair without one is made."""
+    names = read(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct()
+    words = names.select("name", F.explode(similarity.token_set(F.col("name"))).alias("w"))
+    met = words.select(F.col("name").alias("a"), "w").join(words.select(F.col("name").alias("b"), "w"), "w").where("a < b")
+    return met.groupBy("a", "b").agg(F.count("*").cast("int").alias("n"))
+
+
+@query("""SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.e, b.e), 6) AS score FROM (SELECT label, vec_id, embedding::DOUBLE[] AS e FROM embeddings) a
+    JOIN (SELECT label, vec_id, embedding::DOUBLE[] AS e FROM embeddings) b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.vec_id % 5 = 0 AND b.vec_id % 5 = 0""")
+def sim5_vector_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = read(spark, sf_dir, "embeddings").where("vec_id % 5 = 0")
+    met = v.select("label", F.col("vec_id").alias("a"), F.col("embedding").alias("x")).join(v.select("label", F.col("vec_id").alias("b"), F.col("embedding").alias("y")), "label").where("a < b")
+    return met.select("a", "b", F.round(similarity.cosine(F.col("x"), F.col("y")), 6).alias("score"))
+
+
+@query()
+def sim6_matching_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = read(spark, sf_dir, "part").select(F.col("p_name").alias("name"), "p_type").distinct()
+    return names.select("name", "p_type", similarity.matching_blocks_ratio(F.col("name"), F.col("p_type")).alias("ratio"))
+
+
+@query("""WITH g AS (SELECT l_suppkey AS k, l_returnflag AS v, count(*) AS n FROM lineitem WHERE l_linenumber <= 3 GROUP BY ALL), p AS (SELECT l_suppkey AS k, l_returnflag AS v, count(*) AS n FROM lineitem WHERE l_linenumber >= 3 GROUP BY ALL)
+    SELECT coalesce(g.k, p.k) AS k, sum(least(coalesce(g.n, 0), coalesce(p.n, 0)))::BIGINT AS tp, sum(coalesce(p.n, 0) - least(coalesce(g.n, 0), coalesce(p.n, 0)))::BIGINT AS fp, sum(coalesce(g.n, 0) - least(coalesce(g.n, 0), coalesce(p.n, 0)))::BIGINT AS fn
+    FROM g FULL JOIN p ON g.k = p.k AND g.v = p.v GROUP BY 1""")
+def u3_j28_bag_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("k"), F.col("l_returnflag").alias("v"), "l_linenumber")
+    return bags.bag_counts(rows.where("l_linenumber <= 3"), rows.where("l_linenumber >= 3"), ["k"], ["v"])
+
+
+# --- text ------------------------------------------------------------------------------------------------------
+_REG = f"WITH reg AS ({REGULATIONS}) "
+_OBLIGES = r"'(?i)(^|[^\w])(shall|must|may|should|have to|required to|obligated to)([^\w]|$)'"
+
+
+@query(_REG + r"""SELECT doc_id, CASE WHEN regexp_matches(text, '(?im)^Article\s+\d+\s*\n+[^\n]+') THEN 'standard_article' WHEN regexp_matches(text, '(?im)^Art\.\s+\d+') THEN 'alt_article'
+    WHEN doc_id % 5 = 2 THEN 'section' WHEN len(regexp_extract_all(text, '(?m)^\d{1,2}\.\s+[A-Z]')) >= 3 THEN 'paragraph_body' ELSE 'raw' END AS kind FROM reg""")
+def p17_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regulations(spark, sf_dir).select("doc_id", rules.structure(F.col("text")).alias("kind"))
+
+
+@query(_REG + r"""SELECT doc_id, generate_subscripts(list_filter(string_split(regexp_replace(text, '(?m)^(Article\s+\d+)', chr(1) || '\1', 'g'), chr(1)), lambda p: starts_with(p, 'Article')), 1)::INTEGER - 1 AS art_idx,
+    regexp_extract(unnest(list_filter(string_split(regexp_replace(text, '(?m)^(Article\s+\d+)', chr(1) || '\1', 'g'), chr(1)), lambda p: starts_with(p, 'Article'))), '^Article \d+') AS art_id FROM reg WHERE doc_id % 5 = 0
+    UNION ALL SELECT doc_id, 0, 'Article 0' FROM reg WHERE doc_id % 5 <> 0""")
+def g1_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.articles(regulations(spark, sf_dir)).select("doc_id", "art_idx", "art_id")
+
+
+@query(_REG + r"""SELECT doc_id, count(*)::BIGINT AS n, sum(loc::INTEGER)::BIGINT AS total FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?m)^(\d{1,2})\.\s+[A-Z]', 1)) AS loc FROM reg) GROUP BY doc_id""")
+def g4_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.paragraphs(segment.articles(regulations(spark, sf_dir))).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.col("loc").cast("int")).alias("total"))
+
+
+@query(_REG + r"""SELECT doc_id, letter, CASE letter WHEN 'a' THEN 'the date;' ELSE 'the place.' END AS tail FROM reg, (SELECT unnest(['a', 'b']) AS letter) WHERE doc_id % 5 = 0""")
+def g5_list_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = segment.list_items(segment.paragraphs(segment.articles(regulations(spark, sf_dir))))
+    return rows.select("doc_id", "letter", F.regexp_extract("content", r"(the \w+[;.])$", 1).alias("tail"))
+
+
+_LINES = r"SELECT doc_id, unnest(generate_series(1, len(string_split(text, chr(10)))))::INTEGER - 1 AS line_no, unnest(string_split(text, chr(10))) AS line FROM reg"
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regulations(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+
+
+@query(_REG + f"SELECT doc_id, line_no, line FROM ({_LINES}) WHERE regexp_matches(line, {_OBLIGES})")
+def p1_obligations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir).where(rules.obliges(F.col("line")))
+
+
+@query(_REG + r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(line, ',? ?without undue delay,? ?', ' ', 'g'), ',? ?in particular,? ?', ' ', 'g'), 'in accordance with', 'IAW', 'g') AS line, line_no FROM (""" + _LINES + ")")
+def f2_f3_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir).select("doc_id", "line_no", rules.shorten_accordance(rules.drop_fillers(F.col("line"))).alias("line"))
+
+
+@query(_REG + r"""SELECT doc_id, line_no, CASE WHEN regexp_matches(line, '^(Where|If) ') THEN 'IF' || substr(line, instr(line, ' ')) ELSE line END AS line, regexp_matches(line, '^(Where|If) ') AS opens FROM (""" + _LINES + ")")
+def f4_p3_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir).select("doc_id", "line_no", rules.mark_condition(F.col("line")).alias("line"), rules.opens_condition(F.col("line")).alias("opens"))
+
+
+@query(_REG + r"""SELECT doc_id, ref, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '\s+', ' ', 'g'), '(?i)(?:article|paragraph|annex) (?:\d+|[ivxlcdm]+\b)')) AS ref FROM reg) GROUP BY ALL""")
+def f10_internal_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regulations(spark, sf_dir).select("doc_id", F.explode(rules.internal_references(F.col("text"))).alias("ref")).groupBy("doc_id", "ref").agg(F.count("*").alias("n"))
+
+
+@query(_REG + r"""SELECT doc_id, 'Regulation (EU) No 12/2020' AS ref, (len(text) - len(replace(text, 'Regulation (EU) No 12/2020', ''))) // 26 AS n FROM reg WHERE contains(text, 'Regulation (EU) No 12/2020')""")
+def f9_act_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regulations(spark, sf_dir).select("doc_id", F.explode(rules.act_citations(F.col("text"))).alias("ref")).groupBy("doc_id", "ref").agg(F.count("*").alias("n"))
+
+
+@query(_REG + r"""SELECT DISTINCT doc_id, x AS article FROM reg, (SELECT unnest(['5', '6', '8']) AS x) WHERE contains(text, 'Articles 5, 6 and 8')
+    UNION SELECT doc_id, '2' FROM reg WHERE contains(text, 'with Article 2') AND doc_id % 5 <> 0""")
+def j14_external_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles referred to that the document doesn't have."""
+    docs = regulations(spark, sf_dir)
+    heads = F.regexp_extract_all("text", F.lit(r"(?im)^Article\s+(\d+)\s*\n"), F.lit(1))
+    return docs.select("doc_id", F.explode(F.array_distinct(rules.external_articles(F.array_except(rules.article_numbers(F.col("text")), F.when(F.size(heads) > 0, heads).otherwise(F.array().cast("array<string>"))), heads))).alias("article"))
+
+
+@query(_REG + r"""SELECT doc_id, count(*) FILTER (regexp_matches(line, '(?i)(^|\W)if\W')) AS xor_lines FROM (""" + _LINES + ") GROUP BY doc_id")
+def a11_gateway_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regulations(spark, sf_dir).select("doc_id", rules.word_count(rules.XOR_WORDS, F.col("text")).cast("long").alias("xor_lines"))
+
+
+@query(_REG + r"""SELECT doc_id, actor, deontic, count(*) AS n FROM (SELECT doc_id, regexp_extract(s, '^(?:\d\. )?The (.+?) (shall not|may not|shall|must|may|should) ', 1) AS actor, regexp_extract(s, '^(?:\d\. )?The (.+?) (shall not|may not|shall|must|may|should) ', 2) AS deontic
+    FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS s FROM reg WHERE doc_id % 5 = 1)) WHERE actor <> '' GROUP BY ALL""")
+def g8_task_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = segment.tasks(regulations(spark, sf_dir).where("doc_id % 5 = 1")).where("actor like '%The %' and activity like 'notify%'")
+    return found.select("doc_id", F.regexp_extract("actor", r"The (.+)$", 1).alias("actor"), "deontic").groupBy("doc_id", "actor", "deontic").agg(F.count("*").alias("n"))
+
+
+@query(_REG + f"""SELECT doc_id, line_no, last_value(CASE WHEN starts_with(line, 'The ') OR regexp_matches(line, '^\\d\\. The ') THEN regexp_extract(line, 'The ([a-zA-Z ]+?) (?:shall|must|may|should|was)', 1) END IGNORE NULLS)
+    OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS carried FROM ({_LINES})""")
+def w1_carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _lines(spark, sf_dir)
+    actor = F.when(F.col("line").rlike(r"^(\d\. )?The "), F.regexp_extract("line", r"The ([a-zA-Z ]+?) (?:shall|must|may|should|was)", 1))
+    return segment.carry_forward(rows.withColumn("actor", actor), ["doc_id"], ["line_no"], "actor", "carried").select("doc_id", "line_no", "carried")
+
+
+@query("""WITH m AS (SELECT user_id, event_id, event_type FROM events WHERE event_type = 'purchase' OR event_id % 7 = 0), s AS (SELECT user_id, event_id FROM events WHERE NOT (event_type = 'purchase' OR event_id % 7 = 0))
+    SELECT s.user_id, s.event_id, coalesce(m.event_type, 'UNKNOWN') AS event_type FROM s ASOF LEFT JOIN m ON s.user_id = m.user_id AND s.event_id >= m.event_id""")
+def j12_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "events")
+    mark = (F.col("event_type") == "purchase") | (F.col("event_id") % 7 == 0)
+    return segment.as_of(e.where(~mark).select("user_id", "event_id"), e.where(mark).select("user_id", "event_id", "event_type"), ["user_id"], "event_id", "event_type", "UNKNOWN").select("user_id", "event_id", "event_type")
+
+
+_RESPONSES = """SELECT o_orderkey AS doc_id, concat('<FINAL_LIST>', chr(10), 'Customer ', CAST(o_custkey AS STRING), ' | UNIT', chr(10), 'Clerk | role', chr(10), 'clerk | UNIT', chr(10), 'Nobody | THING', chr(10), '</FINAL_LIST>', chr(10),
+    '---TASK---', chr(10), 'label: check order ', CAST(o_orderkey AS STRING), chr(10), 'deontic: ', CASE o_orderkey % 3 WHEN 0 THEN 'shall' WHEN 1 THEN 'may not' ELSE 'should' END, chr(10), 'conditions: if late;; if large ;;', chr(10), 'performers: unit: Sales, role: Clerk', chr(10), '---END---',
+    '---TASK---', chr(10), 'deontic: may', chr(10), '---END---') AS response FROM orders"""
+
+
+def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_RESPONSES.replace("FROM orders", f"FROM parquet.`{sf_dir}/orders.parquet`"))
+
+
+@query("SELECT o_orderkey AS doc_id, 'Customer ' || o_custkey AS name, 'UNIT' AS actor_type FROM orders UNION ALL SELECT o_orderkey, 'Clerk', 'ROLE' FROM orders")
+def g13_g15_actor_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _responses(spark, sf_dir).withColumn("response", parsing.tagged(F.col("response"), "FINAL_LIST"))
+    return parsing.actor_lines(rows).select("doc_id", "name", "actor_type")
+
+
+@query("""SELECT o_orderkey AS doc_id, 'check order ' || o_orderkey AS label, CASE o_orderkey % 3 WHEN 0 THEN 'obligation' WHEN 1 THEN 'prohibition' ELSE 'recommendation' END AS kind, 2 AS n_conditions, 'Sales' AS unit, 'Clerk' AS role FROM orders""")
+def g10_g12_f17_task_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = parsing.task_blocks(_responses(spark, sf_dir))
+    unit, role = parsing.performer(F.col("performers"))
+    return rows.select("doc_id", "label", rules.deontic_type(F.col("deontic")).alias("kind"), "n_conditions", unit.alias("unit"), role.alias("role"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k')::INTEGER AS k FROM events")
+def s18_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "events").select("event_id", F.concat(F.lit("```json\n"), "props", F.lit("\n```")).alias("props"))
+    return e.select("event_id", parsing.json_rows(F.col("props"), "k int")["k"].alias("k"))
+
+
+# --- entities --------------------------------------------------------------------------------------------------
+@query("""SELECT o_custkey AS k, o_orderpriority AS v, min(o_orderkey) AS first_key FROM orders GROUP BY ALL""")
+def a25_ordered_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderpriority").alias("v"), F.col("o_orderkey").alias("first_key"))
+    return entities.first_of(rows, ["k", "v"], ["first_key"])
+
+
+@query("""SELECT o_orderkey AS doc_id, CASE WHEN o_custkey % 4 = 0 THEN 'Desk' WHEN o_custkey % 4 = 1 THEN 'Office' ELSE 'External' END AS unit, CASE WHEN o_custkey % 4 = 1 THEN 'Office' ELSE 'Clerk' END AS role FROM orders""")
+def e2_fallback_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), (F.col("o_custkey") % 4).alias("c"))
+    units = o.select("doc_id", F.explode(F.array(F.lit("Desk"), F.lit("Office"))).alias("unit"))
+    roles = o.select("doc_id", F.when(F.col("c") == 1, "Office").otherwise("Clerk").alias("role"), F.when(F.col("c") == 0, "Desk").when(F.col("c") == 2, "Missing").alias("unit"))
+    return entities.with_fallback_units(roles, units).select("doc_id", "unit", "role")
+
+
+@query("""SELECT l_orderkey AS doc_id, substr(lower(l_returnflag || 'x clerk'), 1, 2) || 'cl' || CASE WHEN row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY u) = 1 THEN 's' ELSE CAST(row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY u) AS VARCHAR) END AS uid, u AS unit
+    FROM (SELECT DISTINCT l_orderkey, l_returnflag, CAST(l_suppkey AS VARCHAR) AS u FROM lineitem)""")
+def a26_subject_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.concat("l_returnflag", F.lit("x clerk")).alias("role"), F.col("l_suppkey").cast("string").alias("unit")).distinct()
+    return entities.subjects(rows).select("doc_id", "uid", "unit")
+
+
+@query("""WITH n AS (SELECT s_nationkey AS k, s_name AS name FROM supplier UNION SELECT s_nationkey, s_name || 's' FROM supplier WHERE s_suppkey % 2 = 0 UNION SELECT s_nationkey, 'Agencies' FROM supplier UNION SELECT s_nationkey, 'agency' FROM supplier WHERE s_nationkey % 2 = 0)
+    SELECT k, name FROM n WHERE NOT (name LIKE '%s' AND name LIKE 'Supplier%') AND NOT (name = 'Agencies' AND k % 2 = 0)""")
+def p9_drop_plurals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"), F.col("s_name").alias("name"), "s_suppkey")
+    names = s.select("k", "name").union(s.where("s_suppkey % 2 = 0").select("k", F.concat("name", F.lit("s")))).union(s.select("k", F.lit("Agencies"))).union(s.where("k % 2 = 0").select("k", F.lit("agency"))).distinct()
+    return entities.drop_plurals(names, ["k"])
+
+
+@query("""WITH t AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS task_no, p_name AS label FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_orderkey % 10 = 0),
+    s AS (SELECT a.doc_id, a.task_no, b.task_no AS o, len(list_intersect(list_distinct(string_split(a.label, ' ')), list_distinct(string_split(b.label, ' '))))::INTEGER AS n FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.task_no <> b.task_no),
+    r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, task_no ORDER BY n DESC, o) AS k FROM s WHERE n > 0)
+    SELECT t.doc_id, t.task_no::INTEGER AS task_no, coalesce(r.o, t.task_no)::INTEGER AS ref_no, coalesce(r.n, 0)::BIGINT AS shared FROM t LEFT JOIN r ON r.doc_id = t.doc_id AND r.task_no = t.task_no AND r.k = 1""")
+def j10_exception_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    l = read(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 0").join(read(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey"))  # noqa: E741
+    n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
+    t = l.select(F.col("l_orderkey").alias("doc_id"), n.alias("task_no"), F.col("p_name").alias("label"))
+    return entities.resolve_exceptions(t, t.select("doc_id", "task_no", F.lit(1).alias("exc_no"), F.col("label").alias("description"))).select("doc_id", "task_no", "ref_no", "shared")
+
+
+@query("""SELECT n_regionkey AS k, n_name AS name, CASE WHEN regexp_matches(n_name, 'ION_\\d$') THEN 'short' ELSE 'long' END AS kind, ('x' || substr(md5(n_name), 1, 6)) AS code FROM nation""")
+def f15_f27_name_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = read(spark, sf_dir, "nation")
+    return n.select(F.col("n_regionkey").alias("k"), rules.strip_determiner(F.concat(F.lit("the "), "n_name")).alias("name"), F.when(F.col("n_name").rlike(r"ION_\d$"), "short").otherwise("long").alias("kind"), F.concat(F.lit("x"), F.substring(F.md5("n_name"), 1, 6)).alias("code"))
+
+
+# --- evaluation ------------------------------------------------------------------------------------------------
+@query("""WITH f AS (SELECT n_regionkey AS k, lower(n_name) AS name FROM nation WHERE n_nationkey % 3 <> 0), g AS (SELECT n_regionkey AS k, n_name AS name FROM nation WHERE n_nationkey % 3 <> 1),
+    c AS (SELECT k, (SELECT count(*) FROM g WHERE g.k = r.k) AS n_gold, (SELECT count(*) FROM f WHERE f.k = r.k) AS n_found, (SELECT count(*) FROM f JOIN g ON g.k = f.k AND lower(g.name) = f.name WHERE f.k = r.k) AS tp FROM (SELECT DISTINCT n_regionkey AS k FROM nation) r),
+    d AS (SELECT k, n_gold, n_found, tp, n_found - tp AS fp, n_gold - tp AS fn FROM c)
+    SELECT k, n_gold, n_found, tp, fp, fn, """ + _PRF_SQL + " FROM d")
+def j15_entity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted and gold names of one region each; a threshold above 0.92 leaves equal names only."""
+    n = read(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("k"), "n_nationkey", "n_name")
+    found = n.where("n_nationkey % 3 <> 0").select("k", F.col("n_nationkey").alias("i"), F.lower("n_name").alias("name"))
+    gold = n.where("n_nationkey % 3 <> 1").select("k", F.col("n_nationkey").alias("j"), F.col("n_name").alias("name"))
+    return evaluation.entity_scores(found, gold, ["k"], threshold=0.99).drop("avg_similarity")
