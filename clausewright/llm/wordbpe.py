@@ -10,6 +10,7 @@ may hold an added token, go whole to the library.
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 import regex
@@ -22,22 +23,32 @@ PATTERNS = {
     "byte": r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
 }
 #: Distinct pre-tokens a worker remembers; beyond it the memory starts anew (results don't change).
-REMEMBERED = 400_000
+REMEMBERED = 700_000
+
+
+def byte_characters() -> dict[int, str]:
+    """The printable character that stands for each byte in a byte-level vocabulary: bytes that print as Latin-1
+    characters stand for themselves, the others take the characters from U+0100 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) if b in plain else chr(0x100 + others.index(b)) for b in range(256)}
 
 
 class Encoder:
     """ids of whole texts, exactly as ``Tokenizer.from_file(path).encode(text, add_special_tokens=False)``."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.whole, self.part = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.lower = self.whole.normalizer is not None
         self.pattern = regex.compile(PATTERNS["lower" if self.lower else "byte"])
         self.part.normalizer = None
-        self.part.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.part.pre_tokenizer = None
+        self.shown = str.maketrans(byte_characters())
         self.part.encode_special_tokens = True
         self.kind = np.dtype("<u2") if self.whole.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.dtype("<u4")
+        self.code = {2: "H", 4: "I"}[self.kind.itemsize]
         self.known: dict[str, bytes] = {}
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
@@ -52,12 +63,13 @@ class Encoder:
                 split.append(None)
             else:
                 parts = self.pattern.findall(text.lower() if self.lower else text)
-                fresh.update(p for p in parts if p not in known)
+                fresh.update([p for p in parts if p not in known])
                 split.append(parts)
         if fresh:
             new = list(fresh)
-            for word, found in zip(new, self.part.encode_batch_fast(new, add_special_tokens=False)):
-                known[word] = np.array(found.ids, self.kind).tobytes()
+            shown = [w.encode().decode("latin-1").translate(self.shown) for w in new]
+            for word, found in zip(new, self.part.encode_batch_fast(shown, add_special_tokens=False)):
+                known[word] = array(self.code, found.ids).tobytes()
         out = []
         for text, parts in zip(texts, split):
             if parts is None:
