@@ -187,3 +187,23 @@ def predict(docs: DataFrame, model: Filter | None) -> DataFrame:
 
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("known", T.DoubleType())])
     return docs.mapInArrow(run, schema)
+
+
+def drop_unknown(docs: DataFrame, model: Filter | None, least: float) -> DataFrame:
+    """The rows of ``docs`` whose text has letters and whose best language knows at least ``least`` of its n-grams;
+    columns unchanged.  Without a model, the rows whose text has letters."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        for batch in batches:
+            keep = []
+            for _, rows, hashes, row, letters in grams(batch.column("text")):
+                good = letters > 0
+                if m is not None:
+                    good &= m.shares(hashes, row, rows).max(1) >= least
+                keep.append(good)
+            if keep:
+                yield batch.filter(pa.array(np.concatenate(keep)))
+
+    return docs.mapInArrow(run, docs.schema)

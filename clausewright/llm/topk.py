@@ -117,7 +117,7 @@ def blocks(vectors: DataFrame, id_col: str, vector_col: str, scale: float, rows:
         for batch in batches:
             ids, lists = batch.column(id_col), batch.column(vector_col)
             flat = lists.flatten().cast(pa.float64())
-            ends = np.cumsum([0] + [len(v) if v is not None else 0 for v in lists])
+            ends = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
             values = flat.to_numpy(zero_copy_only=False)
             for k, (i, v) in enumerate(zip(ids.to_pylist(), lists.is_valid().to_pylist())):
                 part = values[ends[k] : ends[k + 1]]

@@ -266,3 +266,17 @@ def score(docs: DataFrame, model: Model, passages: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, [*names, *[f.name for f in extra]])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *extra]))
+
+
+def drop_toxic(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``; columns unchanged."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        for batch in batches:
+            rows = list(excesses(m.lexicon, batch.column("text")))
+            if rows:
+                yield batch.filter(pa.array(m.score(np.array([r[1] for r in rows]), np.array([r[2] for r in rows])) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -8,7 +8,6 @@ return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from clausewright.llm import language_id, minhash, packing, substring_dedup, toxicity
 from clausewright.llm.queries import remainder, table, vocabulary
@@ -23,15 +22,13 @@ TOXIC_SCORE = 0.7
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without letters and texts in no learned language."""
     model = language_id.fit(docs.where(remainder(4) != 2))
-    found = language_id.predict(docs, model)
-    good = F.col("lang_pred") != "und" if model is not None else F.lit(True)
-    return found.where(good & ((F.col("known") >= KNOWN_SHARE) if model is not None else F.lit(True))).select(docs.columns)
+    return language_id.drop_unknown(docs, model, KNOWN_SHARE)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects toxic texts."""
     model = toxicity.fit(toxicity.labelled_sample(docs, table(spark, sf_dir, "labels").where(remainder(3) != 1)))
-    return toxicity.score(docs, model).where(F.col("toxicity") < TOXIC_SCORE).select(docs.columns)
+    return toxicity.drop_toxic(docs, model, TOXIC_SCORE)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
