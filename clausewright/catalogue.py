@@ -191,7 +191,7 @@ _SIM_SQL = """CASE WHEN lower(trim(a)) = lower(trim(b)) THEN 1.0 WHEN trim(a) =
 
 
 @query(f"""WITH n AS (SELECT DISTINCT p_name AS name FROM part UNION SELECT DISTINCT split_part(p_name, ' ', 1) FROM part UNION SELECT ''),
-    p AS (SELECT x.name AS a, y.name AS b, upper(x.name) AS u FROM n x, n y) SELECT a, b, {_SIM_SQL.replace('(a)', '(u)')} AS score FROM p WHERE {_SIM_SQL.replace('(a)', '(u)')} IS NOT NULL""")
+    p AS (SELECT x.name AS a, y.name AS b, upper(x.name) AS u FROM n x, n y) SELECT a, b, ({_SIM_SQL.replace('(a)', '(u)')})::DOUBLE AS score FROM p WHERE {_SIM_SQL.replace('(a)', '(u)')} IS NOT NULL""")
 def sim3_name_shortcuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The exact branches of name similarity, over the distinct part names and their first words (a fixed, small vocabulary)."""
     part = read(spark, sf_dir, "part")
