@@ -46,7 +46,7 @@ def _folded() -> np.ndarray:
 def grams(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, rows, n-gram hashes, row of each, letters of each row): three- and four-letter sequences of the
     lower-cased text, everything but letters taken as one space, with a space at both ends."""
-    for low, high, data, offsets in ta.pieces(col):
+    for low, high, data, offsets in ta.pieces(col, 1 << 20):
         rows = high - low
         points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
         lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # code points before each byte

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textarrays import ranges
+from .textarrays import CACHES, ranges
 from .wordbpe import slices
 
 _WORD = re.compile("▁*[^▁]+|▁+")
@@ -80,6 +80,7 @@ class PieceModel:
         self.marked = np.array([sp.id_to_piece(i).startswith("▁") for i in range(n)])
         self.decimal = [str(i) for i in range(n)]
         self.known: dict[str, bytes] = {}
+        CACHES.append(self.known)
 
     def _hash(self, pairs: dict[int, tuple[int, int]]) -> None:
         """An open-addressing table of pairs, so that looking many up is a few array operations."""

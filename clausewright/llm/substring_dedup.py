@@ -32,7 +32,7 @@ from . import textarrays as ta
 
 MINIMISER = 12
 #: Bytes of text whose windows are looked at together, and buckets a shuffle partition.
-_SCAN, _BUCKETS = 4 << 20, 8
+_SCAN, _BUCKETS = 2 << 20, 4
 _ROWS = "bucket int, keys binary, starts binary, counts binary, hashes binary"
 
 

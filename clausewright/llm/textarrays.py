@@ -23,6 +23,8 @@ _BYTE_FOLDED[65:91] = _BYTE[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _powers: dict[int, np.ndarray] = {}
+#: What a worker remembers between the tasks of one stage only; a scan of another stage starts by forgetting it.
+CACHES: list[dict] = []
 
 
 def power_table(base: int, n: int) -> np.ndarray:
@@ -52,6 +54,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def pieces(col: pa.Array, limit: int = PIECE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) for runs of rows of about ``limit`` bytes; null texts are empty."""
+    for cache in CACHES:
+        cache.clear()
     col = col.cast(pa.large_binary()).fill_null(b"")
     n = len(col)
     if not n:

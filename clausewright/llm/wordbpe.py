@@ -15,6 +15,8 @@ from array import array
 import numpy as np
 import regex
 
+from .textarrays import CACHES
+
 #: Outside these characters, or where an added token may begin, the whole text goes to the library.
 _ODD = re.compile("[^\\t\\n\\r\\x20-\\x7e\\xa1-\\u012f\\u0131-\\u024f]")
 #: The pre-token patterns of the two public vocabularies.
@@ -23,7 +25,7 @@ PATTERNS = {
     "byte": r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
 }
 #: Distinct pre-tokens a worker remembers; beyond it the memory starts anew (results don't change).
-REMEMBERED = 700_000
+REMEMBERED = 600_000
 
 
 def byte_characters() -> dict[int, str]:
@@ -50,6 +52,7 @@ class Encoder:
         self.kind = np.dtype("<u2") if self.whole.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.dtype("<u4")
         self.code = {2: "H", 4: "I"}[self.kind.itemsize]
         self.known: dict[str, bytes] = {}
+        CACHES.append(self.known)
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         split: list[list[str] | None] = []
