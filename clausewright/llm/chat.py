@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import map_arrow
+
 
 @dataclass(frozen=True)
 class Template:
@@ -88,7 +90,7 @@ def format_conversations(rows: DataFrame, template: Template | None = None) -> D
 
     order = [F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "role", "text")]
     dealt = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text").repartition("conv_id").sortWithinPartitions(*order)
-    return dealt.mapInArrow(run, SEGMENTS)
+    return map_arrow(dealt, run, SEGMENTS)
 
 
 class Reader:
@@ -161,4 +163,4 @@ def read_back(segments: DataFrame, template: Template | None = None) -> DataFram
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), types)], names)
 
     dealt = segments.repartition("conv_id").sortWithinPartitions("conv_id", "seq")
-    return dealt.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean")
+    return map_arrow(dealt, run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean")

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import map_arrow
 from .textarrays import mix
 
 LEAST_BLOCK, LONGEST = 3, 64
@@ -165,4 +166,4 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             yield flush()
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return with_next(docs).mapInArrow(run, schema)
+    return map_arrow(with_next(docs), run, schema)

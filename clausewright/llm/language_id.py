@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
+from .storage import map_arrow
 
 SAMPLE_ROWS, SLOT_BITS, HASHES = 8_000, 20, 3
 _SEEDS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9]
@@ -134,7 +135,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE_ROWS, least: int = 2, dominanc
                     n = np.diff(np.concatenate([heads, [len(mine)]]))
                     yield pa.RecordBatch.from_arrays([pa.array(mine[heads]), pa.array(np.full(len(n), i)), pa.array(n.astype(np.int64))], ["gram", "lang", "n"])
 
-    per = chosen.mapInArrow(count, "gram long, lang long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
+    per = map_arrow(chosen, count, "gram long, lang long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
     texts = F.create_map(*[F.lit(x) for i, r in enumerate(counted) for x in (i, float(r["n"]))])
     rated = per.withColumn("rate", F.col("n") / texts[F.col("lang")])
     best = rated.groupBy("gram").agg(F.max("rate").alias("best"), F.collect_list(F.struct("lang", "n", "rate")).alias("per"))
@@ -151,7 +152,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE_ROWS, least: int = 2, dominanc
             at = np.flatnonzero(planes[w])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), w)), pa.array(at), pa.array(planes[w][at].astype(np.int64))], ["word", "slot", "mask"])
 
-    filled = kept.mapInArrow(fill, "word long, slot long, mask long").groupBy("word", "slot").agg(F.bit_or("mask").alias("mask"))
+    filled = map_arrow(kept, fill, "word long, slot long, mask long").groupBy("word", "slot").agg(F.bit_or("mask").alias("mask"))
     planes = np.zeros((words, 1 << bits), np.uint64)
     got = filled.toPandas()  # at most one row a slot
     planes[got["word"].to_numpy(np.int64), got["slot"].to_numpy(np.int64)] = got["mask"].to_numpy(np.int64).astype(np.uint64)
@@ -186,7 +187,7 @@ def predict(docs: DataFrame, model: Filter | None) -> DataFrame:
     from pyspark.sql import types as T
 
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("known", T.DoubleType())])
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def drop_unknown(docs: DataFrame, model: Filter | None, least: float) -> DataFrame:
@@ -206,4 +207,4 @@ def drop_unknown(docs: DataFrame, model: Filter | None, least: float) -> DataFra
             if keep:
                 yield batch.filter(pa.array(np.concatenate(keep)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)

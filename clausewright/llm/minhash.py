@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import textarrays as ta
 from .components import components
-from .storage import settle
+from .storage import map_arrow, settle
 
 COORDINATES = 64
 #: Members of a posting list, or documents of a cluster, that one task takes together.
@@ -242,7 +242,7 @@ def near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """doc_id, row_key, n_shingles, component_id, kept for each row of ``docs``; row_key is xxhash64(doc_id, text)."""
     doc_id = F.col("doc_id").cast("long")
     keyed = docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, "text").alias("row_key"), "text")
-    sets = settle(keyed.mapInArrow(_scan(width), _SETS), "sets")
+    sets = settle(map_arrow(keyed, _scan(width), _SETS), "sets")
     nodes = settle(
         sets.where("n_shingles > 0").groupBy("node").agg(F.min("row_key").alias("row_key"), F.min("signature").alias("signature")), "nodes"
     )
@@ -250,7 +250,7 @@ def near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
     prefix = COORDINATES - matches + 1
 
     # coordinate postings, their lengths, and each node's rarest
-    tokens = nodes.select("node", "signature").mapInArrow(_tokens, "node long, token long")
+    tokens = map_arrow(nodes.select("node", "signature"), _tokens, "node long, token long")
     lengths = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
     shared = tokens.join(lengths, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("lists"))
     room = F.lit(prefix - COORDINATES) + F.size("lists")  # unshared values come first in the prefix
@@ -259,14 +259,14 @@ def near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
     sizes = posted.groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
     lists = _dealt(posted.join(sizes, "token"), "token", "size", LIST_BLOCK, "list").select("list", "node")
     lists = lists.join(nodes.select("node", "signature"), "node")
-    near = lists.repartition("list").sortWithinPartitions("list").mapInArrow(_collisions(matches), "a long, b long")
+    near = map_arrow(lists.repartition("list").sortWithinPartitions("list"), _collisions(matches), "a long, b long")
     clusters = settle(components(near), "clusters")
 
     # the texts of each cluster meet, one document a node
     members = clusters.groupBy("label").agg(F.count("*").alias("size"))
     chosen = _dealt(clusters.join(members, "label"), "label", "size", CLUSTER_BLOCK, "cell").join(nodes.select("node", "row_key"), "node").select("row_key", "node", "cell")
     once = keyed.select("row_key", "text").join(chosen, "row_key").dropDuplicates(["cell", "node"]) if _repeated(sets) else keyed.select("row_key", "text").join(chosen.hint("shuffle_hash"), "row_key")
-    links = settle(once.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(_confirm(width, percent), "a long, b long"), "links")
+    links = settle(map_arrow(once.repartition("cell").sortWithinPartitions("cell", "node"), _confirm(width, percent), "a long, b long"), "links")
     # a cell gives trees whose edges point to smaller nodes; they still want flattening
     labels = components(links)
 

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import settle
+from .storage import map_arrow, settle
 from .wordbpe import encoder, slices
 
 _PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, part int, ord long"
@@ -122,7 +122,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, end_id: int, window: int) ->
                 types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], _PIECES.replace(",", "").split(" ")[::2])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, _PIECES)
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), cut, _PIECES)
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int = 1024) -> DataFrame:
@@ -148,4 +148,4 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int = 1024) -
             )
 
     ranked = pieces.join(bases, ["length", "part"]).withColumn("rank", F.col("base") + F.col("ord"))
-    return ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank").mapInArrow(place, _PACKED)
+    return map_arrow(ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank"), place, _PACKED)

@@ -7,10 +7,13 @@ setting may be unset, a temporary folder of our own is used.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -59,3 +62,25 @@ def put_file(uri: str, content: bytes) -> None:
     with store.open_output_stream(private) as out:
         out.write(content)
     store.move(private, path)
+
+
+def release() -> None:
+    """Give memory that nothing holds any longer back to the system: workers live on between tasks and stages, and
+    the allocators would keep the peak of each."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow(run, schema)``, with ``release()`` at the end of each task."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(tidy, schema)

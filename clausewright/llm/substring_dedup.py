@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
+from .storage import map_arrow
 
 MINIMISER = 12
 #: Bytes of text whose windows are looked at together, and buckets a shuffle partition.
@@ -152,8 +153,8 @@ def _compact(width: int):
 def repeated_spans(docs: DataFrame, width: int) -> DataFrame:
     """(_key, low, high): word ranges that repeated windows cover.  ``docs`` has _key and text."""
     buckets = _BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    paths = docs.select("_key", "text").mapInArrow(_scan(width, buckets), _ROWS)
-    return paths.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_compact(width), "_key long, low int, high int")
+    paths = map_arrow(docs.select("_key", "text"), _scan(width, buckets), _ROWS)
+    return map_arrow(paths.repartition("bucket").sortWithinPartitions("bucket"), _compact(width), "_key long, low int, high int")
 
 
 def remove_repeated(docs: DataFrame, width: int = 35, keep_columns: bool = False) -> DataFrame:
@@ -204,5 +205,5 @@ def remove_repeated(docs: DataFrame, width: int = 35, keep_columns: bool = False
             yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
     if keep_columns:
-        return joined.mapInArrow(run, kept_schema)
-    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+        return map_arrow(joined, run, kept_schema)
+    return map_arrow(joined, run, "doc_id long, n_words long, n_removed long, kept_sha256 string")

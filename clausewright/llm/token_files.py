@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import wavelet
-from .storage import put_file, scratch
+from .storage import map_arrow, put_file, scratch
 from .wordbpe import encoder, slices
 
 _MANIFEST = "shard string, part int, n_docs long, n_ids long"
@@ -65,7 +65,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str) -> D
 
     key = F.col("doc_id").asc_nulls_first()
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(key).sortWithinPartitions(key, F.col("text").asc_nulls_first())
-    return dealt.mapInArrow(write, _MANIFEST)
+    return map_arrow(dealt, write, _MANIFEST)
 
 
 def read_shards(spark: SparkSession, folder: str) -> DataFrame:
@@ -84,7 +84,7 @@ def read_shards(spark: SparkSession, folder: str) -> DataFrame:
                 )
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wm").load(folder).select("path", "content")
-    return files.mapInArrow(read, _DOCS)
+    return map_arrow(files, read, _DOCS)
 
 
 def token_offsets(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import map_arrow
+
 #: Rows of a block, and candidate blocks of a cell.
 QUERY_ROWS, CANDIDATE_ROWS, CELL_BLOCKS = 1024, 4096, 4
 SEGMENTS = (1, 4, 16)
@@ -129,7 +131,7 @@ def blocks(vectors: DataFrame, id_col: str, vector_col: str, scale: float, rows:
         if held:
             yield flush()
 
-    return vectors.select(F.col(id_col).cast("long").alias(id_col), vector_col).mapInArrow(run, "n int, width int, narrow boolean, ids binary, body binary")
+    return map_arrow(vectors.select(F.col(id_col).cast("long").alias(id_col), vector_col), run, "n int, width int, narrow boolean, ids binary, body binary")
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, id_col: str, vector_col: str, k: int, scale: float = 1.0) -> DataFrame:
@@ -160,6 +162,6 @@ def top_k(queries: DataFrame, candidates: DataFrame, id_col: str, vector_col: st
                     row, col, score = best_in_block(q_ids[low : low + 256], q[low : low + 256], x_ids, x, k)
                     yield pa.RecordBatch.from_arrays([pa.array(q_ids[low : low + 256][row]), pa.array(x_ids[col]), pa.array(score)], ["query_id", "vec_id", "score"])
 
-    local = met.mapInArrow(run, "query_id long, vec_id long, score long")
+    local = map_arrow(met, run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textarrays as ta
+from .storage import map_arrow
 
 SAMPLE_ROWS, PREFIX_BYTES, DRIFT, LEAST_TEXTS, EVD_K = 20_000, 6, 0.5, 3, 0.1
 _LETTER = np.zeros(256, bool)
@@ -192,7 +193,7 @@ def fit(labelled: DataFrame) -> Model:
 
     sums = [F.sum(F.when((F.col("fold") == f) & (F.col("toxic") == t), 1).otherwise(0)).alias(f"c{f}{t}") for f in (0, 1) for t in (0, 1)]
     use = [F.sum(F.when((F.col("fold") == f) & (F.col("toxic") == 0), F.col("times")).otherwise(0)).alias(f"u{f}") for f in (0, 1)]
-    seen = chosen.mapInArrow(count, "token long, prefix long, is_word int, toxic int, fold int, times long")
+    seen = map_arrow(chosen, count, "token long, prefix long, is_word int, toxic int, fold int, times long")
     sizes = {(r["fold"], r["toxic"]): r["n"] for r in chosen.groupBy("fold", "toxic").agg(F.count("*").alias("n")).collect()}
     n = {(f, t): sizes.get((f, t), 0) for f in (0, 1) for t in (0, 1)}
     toxic_all, other_all = n[0, 1] + n[1, 1], n[0, 0] + n[1, 0]
@@ -226,7 +227,7 @@ def fit(labelled: DataFrame) -> Model:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int32(), pa.float64(), pa.float64()))], ["toxic", "best", "total"])
 
-    rows = chosen.mapInArrow(features, "toxic int, best double, total double").toPandas()  # at most `sample` rows
+    rows = map_arrow(chosen, features, "toxic int, best double, total double").toPandas()  # at most `sample` rows
     x = np.stack([np.ones(len(rows)), np.clip(rows["best"], -10, 60) / 10, np.log1p(rows["total"])], 1)
     y, w = rows["toxic"].to_numpy(float), np.zeros(3)
     ridge = np.diag([1e-3, 0.1, 0.1])
@@ -265,7 +266,7 @@ def score(docs: DataFrame, model: Model, passages: bool = False) -> DataFrame:
                 cols.append(pa.array([[{"low": a, "high": b, "excess": x} for a, b, x in r[4]] for r in rows], kind))
             yield pa.RecordBatch.from_arrays(cols, [*names, *[f.name for f in extra]])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *extra]))
+    return map_arrow(docs, run, T.StructType([*docs.schema.fields, *extra]))
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
@@ -279,4 +280,4 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
             if rows:
                 yield batch.filter(pa.array(m.score(np.array([r[1] for r in rows]), np.array([r[2] for r in rows])) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
