@@ -63,6 +63,10 @@ def test_encoder_equals_library(name):
     encode = wordbpe.encoder(queries.vocabulary(name))
     rnd = random.Random(2)
     many = texts() + ["".join(rnd.choice("ab 1.\n\t ',é!'s") for _ in range(rnd.randint(0, 30))) for _ in range(2000)]
+    parts = ["'", "''", "'s", "'re", "'ve", "'ll", "'d", "S", "x", "5", "77", "\"", " ", "  ", "\n", "É", "²", "<|", "\x01", "中", "İ"]
+    many += ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 20))) for _ in range(2000)]
+    many += ["a" * 20_000, " " * 20_000 + "a", "ab " * 3000, "'r", "x'"]
+    assert encode.fast is not None
     for text, got in zip(many, encode(many)):
         assert got.tolist() == encode.whole.encode(text or "", add_special_tokens=False).ids
 
