@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at a time inside an Arrow batch; a longer text is one piece of its own.
-PIECE = 2 << 20
+PIECE = 1 << 18
 
 _BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 _rng = np.random.default_rng(20260101)
