@@ -84,11 +84,10 @@ def source_article(text: Column) -> Column:
 
 
 def _offsets(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, line, at: lines with the offset of their first character."""
-    lines = F.split("text", "\n")
-    starts = F.transform(F.sequence(F.lit(0), F.size(lines) - 1), lambda n: F.aggregate(F.slice(lines, 1, n), F.lit(0), lambda a, x: a + F.length(x) + 1))
-    # prefix lengths by a window would shuffle; a document's lines are few, and stay in its row
-    return docs.select("doc_id", source_article(F.col("text")).alias("source_article"), F.posexplode(F.arrays_zip(lines.alias("line"), starts.alias("at"))).alias("line_no", "x")).select("doc_id", "source_article", "line_no", "x.line", "x.at")
+    """doc_id, source_article, line_no, line, at: lines with the offset of their first character."""
+    rows = docs.select("doc_id", source_article(F.col("text")).alias("source_article"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    before = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("at", F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)))
 
 
 def task_candidates(docs: DataFrame) -> DataFrame:

@@ -58,3 +58,41 @@ def hierarchy_edges(units: DataFrame, roles: DataFrame, key: str = "doc_id") ->
     for end in ("source", "target"):
         tree = tree.join(names.withColumnRenamed("_n", end), [key, end], "left_semi")
     return tree.select(key, "source", "target", "kind").distinct()
+
+
+def build_entities(actors: DataFrame, relations: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, name, entity_type, parents, unit_parents: UNIT actors are units, all others (BOTH too) roles.  ``relations`` has
+    child, relation (UNIT-UNIT, ROLE-ROLE or ROLE-UNIT) and parent."""
+    listed = lambda kind, out: relations.where(F.col("relation").isin(kind)).groupBy(key, F.col("child").alias("name")).agg(F.array_sort(F.collect_set("parent")).alias(out))
+    rows = actors.withColumn("entity_type", F.when(F.col("actor_type") == "UNIT", "unit").otherwise("role"))
+    rows = rows.join(listed(["UNIT-UNIT", "ROLE-ROLE"], "parents"), [key, "name"], "left").join(listed(["ROLE-UNIT"], "unit_parents"), [key, "name"], "left")
+    none = F.array().cast("array<string>")
+    return rows.select(key, "name", "entity_type", F.coalesce("parents", none).alias("parents"), F.coalesce("unit_parents", none).alias("unit_parents"))
+
+
+def relation_text(entities: DataFrame) -> DataFrame:
+    """The lines ``CHILD | RELATION | PARENT`` of entities, one a row, distinct."""
+    kind = F.when(F.col("entity_type") == "unit", "UNIT-UNIT").otherwise("ROLE-ROLE")
+    pairs = lambda relation, column: F.transform(F.col(column), lambda p: F.concat_ws(" | ", "name", relation, p))
+    return entities.select(F.explode(F.concat(pairs(kind, "parents"), pairs(F.lit("ROLE-UNIT"), "unit_parents"))).alias("line")).distinct()
+
+
+def performer_names(subjects: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, ord, known, unit, role: subjects (unit, role, subject_no) under their unit's and role's lower-case names, unit
+    first; ``ord`` is where the name occurs first."""
+    rows = subjects.select(key, "unit", "role", F.posexplode(F.array(F.lower("unit"), F.lower("role"))).alias("_side", "known"), "subject_no").where("known <> ''")
+    first = F.min(F.col("subject_no") * 2 + F.col("_side")).over(Window.partitionBy(key, "known"))
+    return rows.withColumn("ord", first).select(key, "ord", "known", "unit", "role").distinct()
+
+
+def resolve_performers(wanted: DataFrame, subjects: DataFrame, key: str = "doc_id") -> DataFrame:
+    """wanted (key, task_no, text) with unit and role: all subjects under the first known name that equals the text or that
+    holds or is held by it, without case; the text itself as unit and role where none does.  Texts and names meet once for
+    each distinct text of a document."""
+    names = performer_names(subjects, key)
+    texts = wanted.select(key, "text").distinct()
+    low = F.lower(F.trim("text"))
+    close = texts.join(names.select(key, "ord", "known").distinct(), key).where((low != "") & ((low == F.col("known")) | F.contains(low, F.col("known")) | F.contains(F.col("known"), low)))
+    best = close.groupBy(key, "text").agg(F.min_by("known", F.struct(F.when(low == F.col("known"), 0).otherwise(1), "ord", "known")).alias("known"))
+    met = wanted.join(best, [key, "text"], "left").join(names.select(key, "known", "unit", "role"), [key, "known"], "left")
+    return met.select(key, "task_no", "text", F.coalesce("unit", "text").alias("unit"), F.coalesce("role", "text").alias("role")).distinct()

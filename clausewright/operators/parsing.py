@@ -57,3 +57,19 @@ def performer(text: Column) -> tuple[Column, Column]:
     plain = text.rlike(r"(?i)unit:|role:")
     pick = lambda a, i: trim_all(F.when(plain, a).otherwise(F.coalesce(F.get(slashed, i), F.lit(""))))
     return pick(unit, 0), pick(role, 1)
+
+
+def relation_lines(responses: DataFrame, key: str = "doc_id", reset: bool = True) -> DataFrame:
+    """``CHILD | RELATION | PARENT`` lines of exactly three parts, ``ROLE UNIT`` as ``ROLE-UNIT``; with ``reset``, a line
+    NO_HIERARCHIES drops whatever its answer says."""
+    rows = responses.select(key, "response", F.posexplode(F.split("response", "\n")).alias("line_no", "line"))
+    if reset:
+        rows = rows.where(~F.contains("response", F.lit("NO_HIERARCHIES")))
+    parts = rows.select(key, "line_no", F.transform(F.split("line", r"\|"), trim_all).alias("p")).where("size(p) = 3 and p[0] <> '' and p[2] <> ''")
+    return parts.select(key, "line_no", F.col("p")[0].alias("child"), F.regexp_replace(F.upper(F.col("p")[1]), r"\s+", "-").alias("relation"), F.col("p")[2].alias("parent"))
+
+
+def rule_share(answers: Column) -> Column:
+    """Right over all of an array of booleans; null for an empty or missing one."""
+    right = F.size(F.filter(answers, lambda x: F.coalesce(x, F.lit(False))))
+    return F.when(F.size(answers) > 0, right / F.nullif(F.size(answers), F.lit(0)))

@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from clausewright import catalogue
+from clausewright import catalogue, catalogue_documents  # noqa: F401
 from clausewright.functions import metrics, rules, similarity
 from clausewright.operators import assign, bags, parsing, segment
 from clausewright.plans import evaluation
