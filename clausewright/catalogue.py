@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import metrics, rules, similarity
-from .operators import assign, bags, entities, parsing, rollup, segment
+from .operators import assign, bags, entities, parsing, rollup, segment, vectors
 from .plans import evaluation
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -214,9 +214,8 @@ def sim7_token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.e, b.e), 6) AS score FROM (SELECT label, vec_id, embedding::DOUBLE[] AS e FROM embeddings) a
     JOIN (SELECT label, vec_id, embedding::DOUBLE[] AS e FROM embeddings) b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.vec_id % 5 = 0 AND b.vec_id % 5 = 0""")
 def sim5_vector_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = read(spark, sf_dir, "embeddings").where("vec_id % 5 = 0")
-    met = v.select("label", F.col("vec_id").alias("a"), F.col("embedding").alias("x")).join(v.select("label", F.col("vec_id").alias("b"), F.col("embedding").alias("y")), "label").where("a < b")
-    return met.select("a", "b", F.round(similarity.cosine(F.col("x"), F.col("y")), 6).alias("score"))
+    """Every pair of vectors with the same label."""
+    return vectors.cosine_pairs(read(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding").select("a", "b", F.round("score", 6).alias("score"))
 
 
 @query()
