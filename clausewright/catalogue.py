@@ -395,7 +395,7 @@ def p9_drop_plurals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def j10_exception_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
-    l = read(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 0").join(read(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey"))  # noqa: E741
+    l = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey"))  # noqa: E741
     n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
     t = l.select(F.col("l_orderkey").alias("doc_id"), n.alias("task_no"), F.col("p_name").alias("label"))
     return entities.resolve_exceptions(t, t.select("doc_id", "task_no", F.lit(1).alias("exc_no"), F.col("label").alias("description"))).select("doc_id", "task_no", "ref_no", "shared")
