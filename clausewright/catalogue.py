@@ -310,8 +310,7 @@ def a11_gateway_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_REG + r"""SELECT doc_id, actor, deontic, count(*) AS n FROM (SELECT doc_id, regexp_extract(s, '^(?:\d\. )?The (.+?) (shall not|may not|shall|must|may|should) ', 1) AS actor, regexp_extract(s, '^(?:\d\. )?The (.+?) (shall not|may not|shall|must|may|should) ', 2) AS deontic
     FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS s FROM reg WHERE doc_id % 5 = 1)) WHERE actor <> '' GROUP BY ALL""")
 def g8_task_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = segment.tasks(regulations(spark, sf_dir).where("doc_id % 5 = 1")).where("actor like '%The %' and activity like 'notify%'")
-    return found.select("doc_id", F.regexp_extract("actor", r"The (.+)$", 1).alias("actor"), "deontic").groupBy("doc_id", "actor", "deontic").agg(F.count("*").alias("n"))
+    return segment.tasks(regulations(spark, sf_dir)).select("doc_id", "actor", "deontic", "activity")
 
 
 @query(_REG + f"""SELECT doc_id, line_no, last_value(CASE WHEN starts_with(line, 'The ') OR regexp_matches(line, '^\\d\\. The ') THEN regexp_extract(line, 'The ([a-zA-Z ]+?) (?:shall|must|may|should|was)', 1) END IGNORE NULLS)
