@@ -16,7 +16,7 @@ ALT_ARTICLE_HEAD = r"(?im)^Art\.\s+\d+(?:\s+[A-Z]+)?\.?\s+[^\n]+"
 SECTION_HEAD = r"(?im)^\d+(?:\.\d+)*\.\s+([^\n]+)"
 NUMBERED_PARAGRAPH = r"(?m)^\d{1,2}\.\s+(?=[A-Z])"
 PARAGRAPH_STARTERS = ["the", "a", "an", "this", "these", "that", "those", "it", "they", "each", "any", "all", "no", "in", "for", "where", "if", "unless", "member"]
-INTERNAL_REFERENCE = r"(?i)\b(?:paragraph|subparagraph|article|section|annex|indent|point|sub-paragraph|recital|schedule|appendix)\s+(?:\d+|[IVXLCDM]{1,10})(?:\s*\(\s*\d+\s*\))?(?:\s*,\s*point\s+\d+)?"
+INTERNAL_REFERENCE = r"(?i)\b(?:article\s+\d+\s*,\s*paragraph\s+\d+|art\.\s*(?:\d+|(?-i:[IVXLCDM]{1,10})\b)|(?:paragraph|subparagraph|article|section|annex|indent|point|sub-paragraph|recital|schedule|appendix)\s+(?:\d+|[IVXLCDM]{1,10})(?:\s*\(\s*\d+\s*\))?(?:\s*,\s*point\s+\d+)?)"
 ACT_TYPES = ["Implementing Regulation", "Delegated Regulation", "Implementing Decision", "Delegated Decision", "Directive", "Regulation", "Decision"]
 UNIT_SUFFIXES = ["authority", "agency", "commission", "council", "parliament", "board", "committee", "body", "office", "bureau", "directorate", "administration", "ministry", "department", "court", "tribunal"]
 ROLE_SUFFIXES = ["officer", "manager", "director", "inspector", "auditor", "controller", "supervisor", "provider", "operator", "applicant", "representative", "holder", "user", "administrator", "assessor"]
