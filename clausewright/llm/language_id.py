@@ -5,8 +5,8 @@ n-gram's slots names every language that contains it.  A text's n-grams are look
 popcount of each bit, corrected by that bit's false-positive rate, estimates the share of the text's n-grams
 that the language knows, and the largest share decides.
 
-Fitting uses at most ``sample`` labelled rows (those of the least hashed ids; a documented bound), counted by
-Spark; an n-gram enters a language's filter if its rate there is at least ``dominance`` of its highest rate in any
+Fitting uses at most ``sample`` labelled rows (those of the least hashed ids; a documented bound) and, so that rare
+languages are learned at every size, the ``floor`` least hashed ones of each language, counted by Spark; an n-gram enters a language's filter if its rate there is at least ``dominance`` of its highest rate in any
 language and ``least`` texts of the language have it.  The filter has a fixed number of slots, so what goes to the
 executors is bounded.
 
@@ -21,13 +21,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
 from .storage import map_arrow
 
 SAMPLE_ROWS, SLOT_BITS, HASHES = 8_000, 20, 3
+#: Rows of each language that are drawn whatever the others have.
+LANGUAGE_ROWS = 200
 _SEEDS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9]
 _table: list[np.ndarray] = []
 
@@ -110,11 +112,13 @@ class Filter:
         return out
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE_ROWS, least: int = 2, dominance: float = 0.2, bits: int = SLOT_BITS) -> Filter | None:
+def fit(labelled: DataFrame, sample: int = SAMPLE_ROWS, least: int = 2, dominance: float = 0.2, bits: int = SLOT_BITS, floor: int = LANGUAGE_ROWS) -> Filter | None:
     """A filter from the columns doc_id, text, lang of ``labelled``; None if nothing is labelled."""
     rows = labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    ids = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct()
-    chosen = rows.join(F.broadcast(ids), "doc_id")  # at most `sample` numbers
+    hashed = [F.xxhash64("doc_id"), F.col("doc_id")]
+    ids = rows.select("doc_id").orderBy(*hashed).limit(sample)
+    each = rows.select("doc_id", F.row_number().over(Window.partitionBy("lang").orderBy(*hashed)).alias("_n")).where(F.col("_n") <= floor)
+    chosen = rows.join(F.broadcast(ids.union(each.select("doc_id")).distinct()), "doc_id")  # at most `sample` numbers, and `floor` a language
     counted = chosen.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()
     languages = [r["lang"] for r in counted]
     if not languages:
