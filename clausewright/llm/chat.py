@@ -125,32 +125,74 @@ class Reader:
         return text[:at], text[at + len(mark) :]
 
 
+class Stream:
+    """Turns of a conversation's formatted text, which comes in pieces; what is not yet a whole turn waits for more."""
+
+    def __init__(self, template: Template):
+        self.t, self.rest = template, ""
+        self.openers = sorted([(b, r) for r, (b, _, _) in template.turns.items()] + [(template.other[0], None)], key=lambda x: -len(x[0]))
+        marks = {after for _, after, _ in template.turns.values()} | set(template.other[1:])
+        self.ends = {m: re.compile(f"{re.escape(template.escape)}.|({re.escape(m)})", re.S) for m in marks}
+
+    def feed(self, piece: str) -> Iterator[tuple[str, str]]:
+        """(role, text) of each turn that ends in ``piece``."""
+        self.rest += piece
+        while self.rest:
+            before, role = next((x for x in self.openers if self.rest.startswith(x[0])), (None, None))
+            if before is None:
+                if any(b.startswith(self.rest) for b, _ in self.openers):
+                    return
+                raise ValueError(f"no mark opens a turn: {self.rest[:40]!r}")
+            if any(len(b) > len(self.rest) and b.startswith(self.rest) for b, _ in self.openers):
+                return  # it may become a longer mark
+            at = len(before)
+            if role is None:
+                name, at = self._until(at, self.t.other[1])
+            text, at = self._until(at, self.t.other[2] if role is None else self.t.turns[role][1])
+            if at < 0:
+                return
+            self.rest = self.rest[at:]
+            yield self.t.reveal(name) if role is None else role, self.t.reveal(text)
+
+    def _until(self, at: int, mark: str) -> tuple[str, int]:
+        """What stands from ``at`` to a mark without an escape, and the place after it; -1 if it is not there yet."""
+        found = next((m for m in self.ends[mark].finditer(self.rest, at) if m[1]), None) if at >= 0 else None
+        return (self.rest[at : found.start()], found.end()) if found else ("", -1)
+
+    def close(self) -> None:
+        if self.rest:
+            raise ValueError("unclosed turn")
+
+
 def read_back(segments: DataFrame, template: Template | None = None) -> DataFrame:
-    """Digests of each conversation from its written segments."""
+    """Digests of each conversation from its written segments: turns and roles by the marks in their text, only the
+    loss from their flag."""
     t = template or Template()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: dict | None = None
 
         def close() -> tuple:
+            state["stream"].close()
             return (state["conv"], state["turns"], state["all"].hexdigest(), state["chars"], state["loss"].hexdigest(), state["shown"], state["valid"] and state["role"] in t.ends)
 
         for batch in batches:
             out = []
-            for conv, number, role, kind, loss, valid, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "turn_no", "role", "kind", "loss", "valid", "text"))):
+            for conv, loss, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "loss", "text"))):
                 if state is None or state["conv"] != conv:
                     if state is not None:
                         out.append(close())
-                    state = {"conv": conv, "turns": 0, "all": hashlib.sha256(), "chars": 0, "loss": hashlib.sha256(), "shown": 0, "valid": True, "role": None}
+                    state = {"conv": conv, "stream": Stream(t), "turns": 0, "all": hashlib.sha256(), "chars": 0, "loss": hashlib.sha256(), "shown": 0, "valid": True, "role": "", "bears": False}
                 state["shown"] += len(text)
-                if kind == "text":
-                    plain = t.reveal(text)
+                state["bears"] |= loss
+                for role, plain in state["stream"].feed(text):
                     state["turns"] += 1
-                    state["valid"], state["role"] = valid, role
+                    state["valid"], state["role"] = state["valid"] and role in t.follows.get(state["role"], ()), role
                     state["all"].update(f"{role}\n{plain}\n".encode())
-                    if loss:
+                    if state["bears"]:
                         state["chars"] += len(plain)
                         state["loss"].update(plain.encode())
+                    state["bears"] = False
             if out:
                 yield table(out)
         if state is not None:
