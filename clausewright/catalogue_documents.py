@@ -228,8 +228,8 @@ def d5_reference_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT doc_id, len(regexp_extract_all(text, '(^|\\n)Art(icle|\\.) [0-9]+:')) AS n_articles, 2 AS n_references, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS n_words
     FROM (SELECT doc_id, 'Article ' || doc_id || ': x' || chr(10) || text AS text FROM documents)""")
 def k12_job_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.concat(F.lit("Article "), "doc_id", F.lit(": x\n"), "text")
-    return read(spark, sf_dir, "documents").select("doc_id", *assembly.job_statistics(text, F.lit("Location,Reference\na,b\nc,d\n"))).where("n_words is not null")
+    text = F.concat(F.lit("Article "), "doc_id", F.lit(": x\n"), F.coalesce("text", F.lit("")))
+    return read(spark, sf_dir, "documents").select("doc_id", *assembly.job_statistics(text, F.lit("Location,Reference\na,b\nc,d\n")))
 
 
 # --- candidates -----------------------------------------------------------------------------------------------------
