@@ -40,7 +40,7 @@ DEONTIC_STYLES = {
     "recommendation": ("deontic-recommendation", "should"),
 }
 LABEL_NOISE = r"(?i)^\s*\d+(?:\([a-z]\))?\s+|^\s*(?:however|notwithstanding|therefore|furthermore|moreover)\s*,?\s*"
-DANGLING = r"(?i)\s+\b(?:and|or|with|to|of|for|by|in|on|at|from|pursuant|under|as|via|per)\b\s*\."
+DANGLING = r"(?i)(?:\s*,|\s+(?:and|or|with|to|of|for|by|in|on|at|from|pursuant|under|as|via|per)\b)+\s*\."
 XOR_WORDS = [r"(?i)\bif\b", r"(?i)\bunless\b", r"(?i)\bwhether\b", r"\bOR\b", r"(?i)\botherwise\b"]
 AND_WORDS = [r"(?i)\bin parallel\b", r"(?i)\bsimultaneously\b", r"(?i)\bactivities occur in parallel\b", r"(?i)\bactivities? in parallel\b"]
 SECTION_MATCHES, HEADING_WORDS = 3, 10
@@ -74,11 +74,9 @@ def normalize_spaces(text: Column) -> Column:
     return trim_all(text)
 
 
-def drop_dangling(text: Column, passes: int = 4) -> Column:
-    """Prepositions and conjunctions before a full stop; each pass removes one, and four are more than sentences have."""
-    for _ in range(passes):
-        text = F.regexp_replace(text, DANGLING, ".")
-    return text
+def drop_dangling(text: Column) -> Column:
+    """Prepositions, conjunctions and commas before a full stop, as many as there are, and the space before it."""
+    return F.regexp_replace(F.regexp_replace(text, DANGLING, "."), r"\s+\.", ".")
 
 
 def structure(text: Column) -> Column:
