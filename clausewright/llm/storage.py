@@ -39,10 +39,22 @@ def scratch(spark: SparkSession, name: str) -> str:
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there, and a lost
     executor costs nothing that was written."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
+    return df.sparkSession.read.schema(df.schema).parquet(settle_at(df, name))
+
+
+def settle_at(df: DataFrame, name: str) -> str:
+    """Write ``df`` as Parquet to the shared folder; the path."""
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def open_table(uri: str) -> Iterator[pa.RecordBatch]:
+    """The rows of a settled table, inside a task, a batch at a time."""
+    from pyarrow import dataset, fs
+
+    store, path = fs.FileSystem.from_uri(uri)
+    yield from dataset.dataset(path, filesystem=store, format="parquet").to_batches(batch_size=16)
 
 
 def forget(spark: SparkSession, path: str) -> None:
