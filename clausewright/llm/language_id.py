@@ -5,14 +5,17 @@ n-gram's slots names every language that contains it.  A text's n-grams are look
 popcount of each bit, corrected by that bit's false-positive rate, estimates the share of the text's n-grams
 that the language knows, and the largest share decides.
 
-Fitting uses at most ``sample`` labelled rows (those of the least hashed ids; a documented bound) and, so that rare
-languages are learned at every size, the ``floor`` least hashed ones of each language, counted by Spark; an n-gram enters a language's filter if its rate there is at least ``dominance`` of its highest rate in any
-language and ``least`` texts of the language have it.  The filter has a fixed number of slots, so what goes to the
-executors is bounded.
-
-Defined results: a null text, or one without a letter, is ``und`` with score 0, as is every text if no labelled
-row exists; ties go to the language with more labelled rows, then to the smaller name; labels that are null
-don't train.  lang, source and doc_id are never inputs of a prediction.
+Fitting uses at most ``sample`` labelled documents (those of the least hashed ids; a documented bound) and, so that
+rare languages are learned at every size, the ``floor`` least hashed ones of each language, counted by Spark; an
+n-gram enters a language's filter if its rate there is at least ``dominance`` of its highest rate in any language and
+``least`` texts of the language have it.  The filter has a fixed number of slots, so what goes to the executors is
+bounded.
+
+Defined results: a null text, or one without a letter (by Unicode, in every plane), is ``und`` with score 0, as is
+every text if no labelled row exists; ties go to the language with more labelled rows, then to the smaller name;
+labels that are null don't train, and rows of one doc_id train as one (its least text).  Texts are read whole, however
+long, a bounded piece of rows at a time; each row, repeated ones too, gets its own result.  Columns of the input that
+are called like a result's give way to it.  lang, source and doc_id are never inputs of a prediction.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textarrays as ta
 from .storage import map_arrow
@@ -34,16 +38,23 @@ _SEEDS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9]
 _table: list[np.ndarray] = []
 
 
-def _folded() -> np.ndarray:
-    """Code point -> lower-case letter, or 32 for anything else (up to U+FFFF; above it letters stay)."""
+def _letter(cp: int) -> int:
+    """The lower-case letter of a code point, or 32 if it is no letter."""
+    c = chr(cp)
+    return ord(c.lower()[0]) if c.isalpha() else 32
+
+
+def folded(points: np.ndarray) -> np.ndarray:
+    """Each code point's lower-case letter, or 32 for anything else: the first plane by a table, of the others the
+    distinct ones that occur."""
     if not _table:
-        out = np.full(1 << 16, 32, np.uint32)
-        for cp in range(1 << 16):
-            c = chr(cp)
-            if c.isalpha():
-                out[cp] = ord(c.lower()[0])
-        _table.append(out)
-    return _table[0]
+        _table.append(np.array([_letter(cp) for cp in range(1 << 16)], np.uint32))
+    out = _table[0][np.minimum(points, (1 << 16) - 1)]
+    wide = np.flatnonzero(points >= 1 << 16)
+    if len(wide):
+        met, which = np.unique(points[wide], return_inverse=True)
+        out[wide] = np.array([_letter(cp) for cp in met.tolist()], np.uint32)[which]
+    return out
 
 
 def grams(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -54,9 +65,7 @@ def grams(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.
         points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
         lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # code points before each byte
         owner = np.repeat(np.arange(rows), np.diff(lead[offsets]))
-        fold = _folded()
-        wide = points >= 1 << 16
-        points = np.where(wide, points, fold[np.minimum(points, (1 << 16) - 1)])
+        points = folded(points)
         letters = np.bincount(owner, weights=points != 32, minlength=rows).astype(np.int64)
         # a space before each row and one after the last
         edges = np.searchsorted(owner, np.arange(rows))
@@ -118,7 +127,8 @@ def fit(labelled: DataFrame, sample: int = SAMPLE_ROWS, least: int = 2, dominanc
     hashed = [F.xxhash64("doc_id"), F.col("doc_id")]
     ids = rows.select("doc_id").orderBy(*hashed).limit(sample)
     each = rows.select("doc_id", F.row_number().over(Window.partitionBy("lang").orderBy(*hashed)).alias("_n")).where(F.col("_n") <= floor)
-    chosen = rows.join(F.broadcast(ids.union(each.select("doc_id")).distinct()), "doc_id")  # at most `sample` numbers, and `floor` a language
+    ids = F.broadcast(ids.union(each.select("doc_id")).distinct())  # at most `sample` numbers, and `floor` a language
+    chosen = rows.join(ids, "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("r")).select("r.*")
     counted = chosen.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()
     languages = [r["lang"] for r in counted]
     if not languages:
@@ -165,9 +175,9 @@ def fit(labelled: DataFrame, sample: int = SAMPLE_ROWS, least: int = 2, dominanc
 
 def predict(docs: DataFrame, model: Filter | None) -> DataFrame:
     """``docs`` with lang_pred, score (the share of the best among all shares) and known (the best share)."""
-    spark = docs.sparkSession
+    docs = docs.drop("lang_pred", "score", "known")
     names = [f.name for f in docs.schema]
-    sent = spark.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
@@ -188,8 +198,6 @@ def predict(docs: DataFrame, model: Filter | None) -> DataFrame:
             cat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0))
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(langs, pa.string()), cat(scores), cat(knowns)], [*names, "lang_pred", "score", "known"])
 
-    from pyspark.sql import types as T
-
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("known", T.DoubleType())])
     return map_arrow(docs, run, schema)
 

@@ -39,8 +39,8 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    held_out = remainder(4) == 2
-    model = language_id.fit(docs.where(~held_out))
+    held_out = F.coalesce(remainder(4) == 2, F.lit(False))  # a null doc_id is not held out, and not learned from
+    model = language_id.fit(docs.where(remainder(4) != 2))
     found = language_id.predict(docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text"), model)
     return found.select("doc_id", "held_out", "lang_pred", "score", "known")
 
@@ -68,8 +68,8 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, held_out = table(spark, sf_dir, "documents"), remainder(3) == 1
-    model = toxicity.fit(toxicity.labelled_sample(docs, table(spark, sf_dir, "labels").where(~held_out)))
+    docs, held_out = table(spark, sf_dir, "documents"), F.coalesce(remainder(3) == 1, F.lit(False))
+    model = toxicity.fit(toxicity.labelled_sample(docs, table(spark, sf_dir, "labels").where(remainder(3) != 1)))
     found = toxicity.score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text"), model)
     return found.select("doc_id", "held_out", F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.7).cast("int").alias("predicted"))
 
