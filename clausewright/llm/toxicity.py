@@ -5,14 +5,17 @@ Dirichlet priors in two steps: the prior of a word is centred on what its six-by
 the whole corpus; one standard error is taken off, and a constant drift, so that a usual text scores downward.
 A linear-time scan (all maximal scoring segments) finds every passage; a segment of score S in a text of n
 tokens has the extreme-value excess x = lambda * S - ln(K n), where lambda solves sum p(s) exp(lambda s) = 1
-over the tokens of texts that are not toxic.  Passages with x > 0 are significant.  The best excess and the sum of
-significant ones go through a logistic curve that is fitted on labelled texts; for it, each half of them is
-scored with the other half's counts.
-
-At most ``sample`` labelled rows are used for fitting (those of the least hashed ids; a documented bound).  Defined
-results: null and empty texts score like a text without a passage; labels that are null don't train; of labels
-that disagree on a doc_id, toxic wins; without both kinds of labelled text every score is the share of toxic
-ones.  Labels, lang, source and doc_id are never inputs of a score.
+over the tokens of texts that are not toxic, and K is the likeliest value for the best segments of those texts (the
+law of the best score is exp(-K n exp(-lambda S))).  Passages with x > 0 are significant.  The best excess and the sum
+of significant ones go through a logistic curve that is fitted on labelled texts; for K and for the curve, each half
+of the texts is scored with the other half's counts.
+
+At most ``sample`` labelled documents are used for fitting (those of the least hashed ids; a documented bound), and
+they are written once for its passes.  Defined results: null and empty texts score like a text without a passage;
+labels that are null don't train; of labels that disagree on a doc_id, toxic wins; rows of one doc_id train as one (its
+least text); without both kinds of labelled text every score is the share of toxic ones.  Texts are read whole,
+however long; each row, repeated ones too, gets its own result.  Columns of the input that are called like a result's
+give way to it.  Labels, lang, source and doc_id are never inputs of a score.
 """
 
 from __future__ import annotations
@@ -27,9 +30,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textarrays as ta
-from .storage import map_arrow
+from .storage import forget, map_arrow, settle_at
 
-SAMPLE_ROWS, PREFIX_BYTES, DRIFT, LEAST_TEXTS, EVD_K = 20_000, 6, 0.5, 3, 0.1
+SAMPLE_ROWS, PREFIX_BYTES, DRIFT, LEAST_TEXTS = 20_000, 6, 0.5, 3
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
@@ -64,6 +67,7 @@ class Lexicon:
     hashes: np.ndarray
     scores: np.ndarray
     lam: float
+    k: float = 1.0
 
     def __post_init__(self):
         self.maybe = np.zeros(1 << 20, bool)
@@ -91,43 +95,57 @@ class Lexicon:
 
 def maximal_segments(at: list[int], score: list[float]) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first token, last token, score) in one pass; between the given tokens every
-    token scores -DRIFT."""
-    # entries: first, last, cumulative score before, cumulative score after
-    stack: list[tuple[int, int, float, float]] = []
+    token scores -DRIFT.
+
+    A segment on the stack keeps where the nearest one before it stands that begins lower: those between begin no
+    lower than it does, so a search that meets it can go on from there, and all searches together take linear time."""
+    # entries: first, last, cumulative score before, cumulative score after, place of the nearest entry that begins lower
+    stack: list[tuple[int, int, float, float, int]] = []
     total, seen = 0.0, 0
     for i, s in zip(at, score):
         total -= DRIFT * (i - seen)
         seen = i + 1
-        entry = (i, i, total, total + s)
-        total += s
+        first, before, after = i, total, total + s
+        total = after
+        k = len(stack) - 1
         while True:
-            k = len(stack) - 1
-            while k >= 0 and stack[k][2] >= entry[2]:
-                k -= 1
-            if k < 0 or stack[k][3] >= entry[3]:
-                stack.append(entry)
+            while k >= 0 and stack[k][2] >= before:
+                k = stack[k][4]
+            if k < 0 or stack[k][3] >= after:
+                stack.append((first, i, before, after, k))
                 break
-            entry = (stack[k][0], entry[1], stack[k][2], entry[3])
+            first, before, lower = stack[k][0], stack[k][2], stack[k][4]
             del stack[k:]
-    return [(a, b, d - c) for a, b, c, d in stack]
+            k = lower
+    return [(a, b, d - c) for a, b, c, d, _ in stack]
 
 
-def excesses(lexicon: Lexicon, col: pa.Array) -> Iterator[tuple[int, float, float, int, list[tuple[int, int, float]]]]:
-    """(row, best excess, sum of significant ones, tokens, significant passages as byte spans)."""
+def passages_of(lexicon: Lexicon, col: pa.Array) -> Iterator[tuple[int, int, list[tuple[int, int, float]]]]:
+    """(row, tokens, maximal segments as byte spans with their score)."""
     for low, words, short, cuts, starts, ends in tokens(col):
         at, score = lexicon.positive(words, short)
         edges = np.searchsorted(at, cuts)
         for k in range(len(cuts) - 1):
-            n, best, total, spans = int(cuts[k + 1] - cuts[k]), -10.0, 0.0, []
+            found = []
             if edges[k + 1] > edges[k]:
                 first = int(cuts[k])
-                for a, b, s in maximal_segments((at[edges[k] : edges[k + 1]] - first).tolist(), score[edges[k] : edges[k + 1]].tolist()):
-                    x = lexicon.lam * s - np.log(EVD_K * n)
-                    best = max(best, x)
-                    if x > 0:
-                        total += x
-                        spans.append((int(starts[first + a]), int(ends[first + b]), float(x)))
-            yield low + k, max(-10.0, best), total, n, spans
+                found = [(int(starts[first + a]), int(ends[first + b]), s) for a, b, s in maximal_segments((at[edges[k] : edges[k + 1]] - first).tolist(), score[edges[k] : edges[k + 1]].tolist())]
+            yield low + k, int(cuts[k + 1] - cuts[k]), found
+
+
+def excesses(lexicon: Lexicon, col: pa.Array) -> Iterator[tuple[int, float, float, int, list[tuple[int, int, float]]]]:
+    """(row, best excess, sum of significant ones, tokens, significant passages as byte spans)."""
+    for row, n, found in passages_of(lexicon, col):
+        usual = np.log(lexicon.k * n) if n else 0.0
+        spans = [(a, b, float(lexicon.lam * s - usual)) for a, b, s in found]
+        best = max((x for _, _, x in spans), default=-10.0)
+        spans = [x for x in spans if x[2] > 0]
+        yield row, max(-10.0, best), sum(x for _, _, x in spans), n, spans
+
+
+def likeliest_k(n: np.ndarray, best: np.ndarray, lam: float) -> float:
+    """K of greatest likelihood for the best scores of usual texts with n tokens."""
+    return float(len(n) / max(1e-9, (n * np.exp(-np.clip(lam * best, 0, 700))).sum())) if len(n) else 1.0
 
 
 @dataclass
@@ -164,14 +182,20 @@ def _lexicon(y: np.ndarray, m: np.ndarray, hashes: np.ndarray, prefix: np.ndarra
             mid = (low + high) / 2
             low, high = (mid, high) if (rate * np.exp(np.clip(mid * step, -50, 50))).sum() < 1 else (low, mid)
     order = np.argsort(hashes)
-    return Lexicon(hashes[order], delta[order], max(0.2, low if low > 0 else 1.0))
+    return Lexicon(hashes[order], delta[order], low if low > 0 else 1.0)
 
 
 def fit(labelled: DataFrame) -> Model:
     """From the columns doc_id, text, toxic of a sample (see ``labelled_sample``)."""
     rows = labelled.where("toxic is not null").select("doc_id", "text", "toxic")
-    chosen = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), (F.col("toxic") > 0).cast("int").alias("toxic"), (F.abs(F.xxhash64("doc_id", F.lit(7))) % 2).cast("int").alias("fold"))
+    path = settle_at(rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), (F.col("toxic") > 0).cast("int").alias("toxic"), (F.abs(F.xxhash64("doc_id", F.lit(7))) % 2).cast("int").alias("fold")), "labelled")
+    try:
+        return _fit(labelled.sparkSession.read.parquet(path))
+    finally:
+        forget(labelled.sparkSession, path)
 
+
+def _fit(chosen: DataFrame) -> Model:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             toxic, fold = batch.column("toxic").to_numpy(), batch.column("fold").to_numpy()
@@ -218,17 +242,28 @@ def fit(labelled: DataFrame) -> Model:
 
     crossed = {0: of((1,)), 1: of((0,))}
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            toxic, fold = batch.column("toxic").to_numpy(), batch.column("fold").to_numpy()
-            for f in (0, 1):
-                mine = np.flatnonzero(fold == f)
-                out = [(int(toxic[mine[i]]), best, total) for i, best, total, _, _ in excesses(crossed[f], batch.column("text").take(pa.array(mine)))]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int32(), pa.float64(), pa.float64()))], ["toxic", "best", "total"])
-
-    rows = map_arrow(chosen, features, "toxic int, best double, total double").toPandas()  # at most `sample` rows
-    x = np.stack([np.ones(len(rows)), np.clip(rows["best"], -10, 60) / 10, np.log1p(rows["total"])], 1)
+    def crossed_rows(make, schema: str):
+        """What ``make`` says of each text, by the lexicon of the other half; at most one row a text of the sample."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                toxic, fold = batch.column("toxic").to_numpy(), batch.column("fold").to_numpy()
+                for f in (0, 1):
+                    mine = np.flatnonzero(fold == f)
+                    out = [(int(toxic[mine[i]]), f, x, y) for i, x, y in make(crossed[f], batch.column("text").take(pa.array(mine)))]
+                    if out:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int32(), pa.int32(), pa.float64(), pa.float64()))], ["toxic", "fold", "x", "y"])
+
+        return map_arrow(chosen, run, schema).toPandas()
+
+    schema = "toxic int, fold int, x double, y double"
+    usual_rows = crossed_rows(lambda lexicon, col: ((i, float(n), max((s for _, _, s in found), default=0.0)) for i, n, found in passages_of(lexicon, col)), schema)
+    usual_rows = usual_rows[(usual_rows["toxic"] == 0) & (usual_rows["x"] > 0)]
+    for f in (0, 1):
+        mine = usual_rows[usual_rows["fold"] == f]
+        crossed[f].k = likeliest_k(mine["x"].to_numpy(), mine["y"].to_numpy(), crossed[f].lam)
+    rows = crossed_rows(lambda lexicon, col: ((i, best, total) for i, best, total, _, _ in excesses(lexicon, col)), schema)
+    x = np.stack([np.ones(len(rows)), np.clip(rows["x"], -10, 60) / 10, np.log1p(rows["y"])], 1)
     y, w = rows["toxic"].to_numpy(float), np.zeros(3)
     ridge = np.diag([1e-3, 0.1, 0.1])
     for _ in range(30):
@@ -237,18 +272,22 @@ def fit(labelled: DataFrame) -> Model:
         step = np.linalg.solve(h, x.T @ (y - p) - ridge @ w)
         w += np.clip(step, -3, 3)
     w[1:] = np.maximum(w[1:], 0)
-    return Model(of((0, 1)), w)
+    whole = of((0, 1))
+    whole.k = float(np.sqrt(crossed[0].k * crossed[1].k))
+    return Model(whole, w)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, text, toxic of at most ``sample`` labelled documents (the least hashed doc_ids)."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")  # at most `sample` pairs of numbers
+    met = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")  # at most `sample` pairs of numbers
+    return met.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
 
 
 def score(docs: DataFrame, model: Model, passages: bool = False) -> DataFrame:
     """``docs`` with toxicity (0..1) and, on demand, passages: significant byte spans with their excess."""
+    docs = docs.drop("toxicity", "passages")
     sent = docs.sparkSession.sparkContext.broadcast(model)
     names = [f.name for f in docs.schema]
     extra = [T.StructField("toxicity", T.DoubleType())]
