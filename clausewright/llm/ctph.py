@@ -8,7 +8,8 @@ by edit distance (an exchange counts as a removal and an insertion), scaled to 0
 
 Defined results: a null or empty text has the fingerprint ``3::``; two empty fingerprints are alike
 (1.0), an empty and another are not (0.0); equal texts have equal fingerprints.  "Next" goes by (doc_id,
-text), null doc_ids first, from the last to the first; a single document is its own next.
+text), null doc_ids first, from the last to the first; a single document is its own next, and repeated rows are
+documents of their own.  Texts are read whole, however long; other columns are not read.
 """
 
 from __future__ import annotations
@@ -18,15 +19,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import map_arrow
+from .storage import map_arrow, settle
 from .textarrays import mix
 
 LEAST_BLOCK, LONGEST = 3, 64
 _LETTERS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 _WINDOW, _FACTOR = 7, 0x01000193
+#: Characters of a text that deal rows of one doc_id to ranges.
+_DEALT_BY = 64
 
 
 def _signature(roll: np.ndarray, steps: np.ndarray, block: int) -> bytes:
@@ -110,60 +114,79 @@ def likeness(first: list[str], second: list[str]) -> np.ndarray:
     return out
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """(place, halo, doc_id, text) sorted by place inside each partition: every range of doc_ids with, after
-    it, the first document of the range that follows (halo).  One shuffle; a range's first document
-    travels twice."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 10_000)).first()[0] or []
-    place = F.lit(0)
-    if cuts:
-        edges = F.array(*[F.lit(c) for c in sorted(set(cuts))])
-        place = F.coalesce(F.size(F.filter(edges, lambda e: e <= F.col("doc_id"))), F.lit(0))
-    placed = docs.withColumn("place", place)
-    firsts = placed.groupBy("place").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), F.col("doc_id").alias("doc_id"))).alias("first")).orderBy("place").collect()  # one row a range
-    before = [(firsts[i - 1]["place"], f["first"]["doc_id"]) for i, f in enumerate(firsts)]
-    arms = [F.when((F.col("place") == f["place"]) & F.col("doc_id").eqNullSafe(F.lit(doc_id)), F.array(F.lit(p))) for f, (p, doc_id) in zip(firsts, before)]
-    extra = F.coalesce(*arms) if arms else F.lit(None).cast("array<int>")
-    own = placed.select("place", F.lit(False).alias("halo"), "doc_id", "text", extra.alias("also"))
-    both = own.select(F.explode(F.concat(F.array(F.struct("place", "halo")), F.coalesce(F.transform("also", lambda p: F.struct(p.alias("place"), F.lit(True).alias("halo"))), F.array().cast("array<struct<place:int,halo:boolean>>")))).alias("k"), "doc_id", "text")
-    both = both.select("k.place", "k.halo", "doc_id", "text")
-    return both.repartition(n, "place").sortWithinPartitions("place", "halo", F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
-
-
 def edited(text: str, following: str) -> str:
     """The last half of the code points replaced by the first as many (or all) of the next document's."""
     half = len(text) // 2
     return text[: len(text) - half] + following[:half]
 
 
+_FOUND = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_TYPES = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+
+
+def _compared(rows: list[tuple[int | None, str, str, str, str]]) -> list[pa.Array]:
+    """Columns of _FOUND for (doc_id, text, fingerprint, next text, next fingerprint)."""
+    texts = [edited(text, following).encode() for _, text, _, following, _ in rows]
+    own, then, changed = [r[2] for r in rows], [r[4] for r in rows], [fingerprint(t) for t in texts]
+    sums = [hashlib.sha256(t).hexdigest() for t in texts]
+    return [pa.array(c, t) for c, t in zip(([r[0] for r in rows], [len(r[1]) for r in rows], sums, own, changed, likeness(own, changed), likeness(own, then)), _TYPES)]
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+
+    The documents are dealt by ranges of (doc_id, begin of the text), so that one doc_id of very many rows, or rows
+    without one, spread over tasks too; inside a range each document meets its next.  The last one of a range meets
+    the first of the following range in a join of one row a range."""
+    spark = docs.sparkSession
+    key, text = F.col("doc_id").asc_nulls_first(), F.coalesce("text", F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(n, key, F.substring("text", 1, _DEALT_BY)).sortWithinPartitions(key, "text")
+    names = [c.split()[0] for c in _FOUND.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple | None = None  # place, doc_id, text, fingerprint of the document that still waits for its next
-        out: list[tuple] = []
+        held: tuple[int | None, str, str] | None = None  # doc_id, text, fingerprint of the document that waits for its next
+        out: list[tuple[int | None, str, str, str, str]] = []
+        part, size = TaskContext.get().partitionId(), 0
 
         def flush() -> pa.RecordBatch:
-            ids, chars, sums, own, changed, following = zip(*out)
-            cols = [pa.array(ids, pa.int64()), pa.array(chars, pa.int64()), pa.array(sums), pa.array(own), pa.array(changed), pa.array(likeness(list(own), list(changed))), pa.array(likeness(list(own), list(following)))]
+            cols = _compared(out)
+            none = pa.nulls(len(out), pa.string())
             out.clear()
-            return pa.RecordBatch.from_arrays(cols, ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+            return pa.RecordBatch.from_arrays([*cols, none, pa.nulls(len(none), pa.int32()), none], [*names, "side", "part", "text"])
+
+        def end(side: str, row: tuple[int | None, str, str]) -> pa.RecordBatch:
+            cols = [pa.array([row[0]], pa.int64()), *[pa.nulls(1, t) for t in _TYPES[1:3]], pa.array([row[2]]), *[pa.nulls(1, t) for t in _TYPES[4:]]]
+            return pa.RecordBatch.from_arrays([*cols, pa.array([side]), pa.array([part], pa.int32()), pa.array([row[1]])], [*names, "side", "part", "text"])
 
         for batch in batches:
-            for place, halo, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("place", "halo", "doc_id", "text"))):
-                text = text or ""
-                own = fingerprint(text.encode())
-                if held and held[0] == place:
-                    changed = edited(held[2], text).encode()
-                    out.append((held[1], len(held[2]), hashlib.sha256(changed).hexdigest(), held[3], fingerprint(changed), own))
-                held = None if halo else (place, doc_id, text, own)
-                if len(out) >= 1000:
+            for doc_id, whole in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                now = (doc_id, whole, fingerprint(whole.encode()))
+                if held is None:
+                    yield end("first", now)
+                else:
+                    out.append((*held, now[1], now[2]))
+                    size += len(whole)
+                held = now
+                if len(out) >= 1000 or size > 1 << 22:
                     yield flush()
+                    size = 0
         if out:
             yield flush()
+        if held is not None:
+            yield end("last", held)
+
+    found = settle(map_arrow(dealt, run, f"{_FOUND}, side string, part int, text string"), "fingerprints")
+    parts = sorted(r["part"] for r in found.where("side = 'first'").select("part").collect())  # one number a range
+    order = spark.createDataFrame(list(zip(parts, parts[1:] + parts[:1])), "part int, then int")
+    firsts = found.where("side = 'first'").select(F.col("part").alias("then"), F.col("text").alias("following"), F.col("fingerprint").alias("theirs"))
+    met = found.where("side = 'last'").select("part", "doc_id", "text", "fingerprint").join(order, "part").join(firsts, "then")
+
+    def seams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                rows = list(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "fingerprint", "following", "theirs"))))
+                yield pa.RecordBatch.from_arrays(_compared(rows), names)
 
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return map_arrow(with_next(docs), run, schema)
+    return found.where("side is null").select(*names).union(map_arrow(met.select("doc_id", "text", "fingerprint", "following", "theirs"), seams, _FOUND))
