@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import metrics, rules, similarity
-from .operators import assign, bags, entities, parsing, rollup, segment, vectors
+from .operators import assign, bags, entities, parsing, rollup, segment, testset, vectors
 from .plans import evaluation
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -131,6 +131,28 @@ def a6_a7_struct_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.groupBy(F.col("l_linenumber").alias("n")).agg(F.sum(tp).alias("tp"), F.sum(fp).alias("fp"), F.sum(fn).alias("fn"))
 
 
+def grams_sql(text: str) -> str:
+    """Distinct letter trigrams of a SQL text, two blanks at both ends."""
+    return f"list_distinct(list_transform(range(1, len({text}) + 3), lambda i: substr('  ' || {text} || '  ', i, 3)))"
+
+
+def similarity_sql(a: str, b: str) -> str:
+    """Similarity of two lower-case SQL names: equal, one inside the other, else the cosine of their trigrams."""
+    return f"""CASE WHEN {a} = {b} THEN 1.0::DOUBLE WHEN contains({a}, {b}) OR contains({b}, {a}) THEN 0.92
+        ELSE len(list_intersect({grams_sql(a)}, {grams_sql(b)})) / sqrt(len({grams_sql(a)}) * len({grams_sql(b)})) END"""
+
+
+def greedy_sql(candidates: str, key: str) -> str:
+    """CTEs c and r: the candidates (key, i, j, score) of a CTE, the best first, and which of them count (taken)."""
+    return f"""c AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY score DESC, i, j) AS n FROM {candidates}),
+    r({key}, n, ps, gs, i, j, score, taken) AS (
+        SELECT {key}, n, [i], [j], i, j, score, true FROM c WHERE n = 1
+        UNION ALL
+        SELECT c.{key}, c.n, CASE WHEN list_contains(ps, c.i) OR list_contains(gs, c.j) THEN ps ELSE list_append(ps, c.i) END,
+               CASE WHEN list_contains(ps, c.i) OR list_contains(gs, c.j) THEN gs ELSE list_append(gs, c.j) END, c.i, c.j, c.score, NOT (list_contains(ps, c.i) OR list_contains(gs, c.j))
+        FROM r JOIN c ON c.{key} = r.{key} AND c.n = r.n + 1)"""
+
+
 # --- assignment ------------------------------------------------------------------------------------------------
 #: Candidate pairs inside a label: even vec_ids are predictions, odd ones gold; integer scores are equal in both engines.
 _PAIRS_SQL = """
@@ -148,15 +170,7 @@ def _pairs(spark: SparkSession, sf_dir: str, threshold: float = 1500) -> DataFra
     return p.join(g, "label").select("label", "i", "j", dot.alias("score")).where(F.col("score") >= threshold)
 
 
-@query(f"""WITH RECURSIVE {_PAIRS_SQL},
-    c AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, i, j) AS n FROM pairs),
-    r(label, n, ps, gs, i, j, score, taken) AS (
-        SELECT label, n, [i], [j], i, j, score, true FROM c WHERE n = 1
-        UNION ALL
-        SELECT c.label, c.n, CASE WHEN list_contains(ps, c.i) OR list_contains(gs, c.j) THEN ps ELSE list_append(ps, c.i) END,
-               CASE WHEN list_contains(ps, c.i) OR list_contains(gs, c.j) THEN gs ELSE list_append(gs, c.j) END, c.i, c.j, c.score, NOT (list_contains(ps, c.i) OR list_contains(gs, c.j))
-        FROM r JOIN c ON c.label = r.label AND c.n = r.n + 1)
-    SELECT label, i, j, score FROM r WHERE taken""")
+@query(f"WITH RECURSIVE {_PAIRS_SQL}, {greedy_sql('pairs', 'label')} SELECT label, i, j, score FROM r WHERE taken")
 def m1_greedy_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign.greedy(_pairs(spark, sf_dir), ["label"], 1500)
 
@@ -175,9 +189,16 @@ def m2_gold_order_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign.gold_order(_pairs(spark, sf_dir), ["label"], 1500)
 
 
-@query()
+@query("""WITH p AS (SELECT s_nationkey AS k, s_suppkey AS i, 3 * s_suppkey AS x, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS n FROM supplier),
+    g AS (SELECT s_nationkey AS k, s_suppkey AS j, 2 * s_suppkey + 7 AS y, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS n FROM supplier)
+    SELECT p.k, i::INTEGER AS i, j::INTEGER AS j, (1e12 - (x - y) * (x - y))::DOUBLE AS score FROM p JOIN g ON p.k = g.k AND p.n = g.n WHERE (x - y) * (x - y) <= 2500""")
 def m3_optimal_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assign.optimal(_pairs(spark, sf_dir, -1e18), ["label"], 1500)
+    """Numbers matched at the least sum of squared differences: the best assignment takes both sides in order, also
+    where single pairs (those below the threshold, dropped afterwards) would match closer."""
+    s = read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"), F.col("s_suppkey").alias("n"))
+    pairs = s.select("k", F.col("n").alias("i")).join(s.select("k", F.col("n").alias("j")), "k")
+    gap = 3 * F.col("i") - 2 * F.col("j") - 7
+    return assign.optimal(pairs.select("k", "i", "j", (F.lit(1e12) - gap * gap).alias("score")), ["k"], 1e12 - 2500)
 
 
 @query(f"""WITH {_PAIRS_SQL} SELECT label, i, count(*) AS n, max(score) AS best, min_by(j, {{'a': -score, 'j': j}}) AS top_j FROM pairs GROUP BY label, i""")
@@ -185,7 +206,6 @@ def o6_top_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir).groupBy("label", "i").agg(F.count("*").alias("n"), F.max("score").alias("best"), F.min_by("j", F.struct(-F.col("score"), "j")).alias("top_j"))
 
 
-_PART_NAMES = "SELECT p_size AS k, p_name AS name, p_partkey AS id FROM part WHERE p_size <= 12"
 _SIM_SQL = """CASE WHEN lower(trim(a)) = lower(trim(b)) THEN 1.0 WHEN trim(a) = '' OR trim(b) = '' THEN 0.0
     WHEN contains(lower(trim(a)), lower(trim(b))) OR contains(lower(trim(b)), lower(trim(a))) THEN 0.92 ELSE NULL END"""
 
@@ -193,14 +213,35 @@ _SIM_SQL = """CASE WHEN lower(trim(a)) = lower(trim(b)) THEN 1.0 WHEN trim(a) =
 @query(f"""WITH n AS (SELECT DISTINCT p_name AS name FROM part UNION SELECT DISTINCT split_part(p_name, ' ', 1) FROM part UNION SELECT ''),
     p AS (SELECT x.name AS a, y.name AS b, upper(x.name) AS u FROM n x, n y) SELECT a, b, ({_SIM_SQL.replace('(a)', '(u)')})::DOUBLE AS score FROM p WHERE {_SIM_SQL.replace('(a)', '(u)')} IS NOT NULL""")
 def sim3_name_shortcuts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The exact branches of name similarity, over the distinct part names and their first words (a fixed, small vocabulary)."""
+    """The exact branches of name similarity over the distinct part names and their first words.  Names meet where one
+    begins with letters that stand in the other, or where one is blank; no other pair is made."""
     part = read(spark, sf_dir, "part")
     names = part.select(F.col("p_name").alias("name")).union(part.select(F.split("p_name", " ")[0])).union(spark.createDataFrame([("",)], "name string")).distinct()
-    pairs = names.select(F.lit(1).alias("_k"), F.col("name").alias("a")).join(names.select(F.lit(1).alias("_k"), F.col("name").alias("b")), "_k")
+    inside = F.flatten(F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("name"), F.lit(1))), lambda i: F.substring(F.lower("name"), i, n))))
+    holders = names.select(F.col("name").alias("a"), F.explode(F.array_distinct(inside)).alias("_k")).where("_k <> ''")
+    starts = names.where("name <> ''").select(F.col("name").alias("b"), F.substring(F.lower("name"), 1, 3).alias("_k"))
+    held = holders.join(starts, "_k").select("a", "b")
+    blank = names.select("name", F.explode(F.array(F.lit(0), F.lit(1))).alias("_side")).select(F.when(F.col("_side") == 0, F.col("name")).otherwise("").alias("a"), F.when(F.col("_side") == 1, F.col("name")).otherwise("").alias("b"))
+    pairs = held.union(held.select("b", "a")).union(blank).distinct()
     none = lambda x, y: F.lit(None).cast("double")
     return pairs.select("a", "b", similarity.name_similarity(F.upper("a"), F.col("b"), True, none).alias("score")).where("score is not null")
 
 
+_NAMES_SQL = f"""WITH n AS (SELECT DISTINCT lower(p_name) AS name FROM part UNION SELECT DISTINCT lower(p_name) || 's' FROM part WHERE p_partkey % 3 = 0 UNION SELECT DISTINCT lower(p_type) || ' ' || split_part(p_name, ' ', 2) FROM part),
+    t AS (SELECT name, unnest({grams_sql('name')}) AS g FROM n), m AS (SELECT DISTINCT x.name AS a, y.name AS b FROM t x JOIN t y ON x.g = y.g AND x.name <= y.name)"""
+
+
+@query(f"{_NAMES_SQL} SELECT a, b, round({similarity_sql('a', 'b')}, 9) AS score FROM m")
+def sim1_sim4_name_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All branches, over the pairs of names that share a trigram; each pair is scored once, in Arrow batches."""
+    part = read(spark, sf_dir, "part")
+    names = part.select(F.lower("p_name").alias("name")).union(part.where("p_partkey % 3 = 0").select(F.concat(F.lower("p_name"), F.lit("s")))).union(part.select(F.concat(F.lower("p_type"), F.lit(" "), F.split("p_name", " ")[1]))).distinct()
+    wide = F.concat(F.lit("  "), "name", F.lit("  "))
+    grams = names.select("name", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("name") + 2), lambda i: F.substring(wide, i, F.lit(3))))).alias("g"))
+    pairs = grams.select(F.col("name").alias("a"), "g").join(grams.select(F.col("name").alias("b"), "g"), "g").where("a <= b").select("a", "b").distinct()
+    return pairs.select("a", "b", F.round(similarity.name_similarity(F.col("a"), F.col("b"), True, similarity.trigram_cosine_of), 9).alias("score"))
+
+
 @query("""WITH s AS (SELECT DISTINCT p_name AS name, list_distinct(regexp_extract_all(lower(p_name), '\\w+')) AS w FROM part)
     SELECT a.name AS a, b.name AS b, len(list_intersect(a.w, b.w))::INTEGER AS n FROM s a JOIN s b ON a.name < b.name WHERE len(list_intersect(a.w, b.w)) > 0""")
 def sim7_token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,7 +253,7 @@ def sim7_token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.e, b.e), 6) AS score FROM (SELECT label, vec_id, embedding::DOUBLE[] AS e FROM embeddings) a
-    JOIN (SELECT label, vec_id, embedding::DOUBLE[] AS e FROM embeddings) b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.vec_id % 5 = 0 AND b.vec_id % 5 = 0""")
+    JOIN (SELECT label, vec_id, embedding::DOUBLE[] AS e FROM embeddings) b ON a.label = b.label AND a.vec_id < b.vec_id""")
 def sim5_vector_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every pair of vectors with the same label."""
     return vectors.cosine_pairs(read(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding").select("a", "b", F.round("score", 6).alias("score"))
@@ -283,7 +324,7 @@ def f4_p3_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines(spark, sf_dir).select("doc_id", "line_no", rules.mark_condition(F.col("line")).alias("line"), rules.opens_condition(F.col("line")).alias("opens"))
 
 
-@query(_REG + r"""SELECT doc_id, ref, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '\s+', ' ', 'g'), '(?i)(?:article|paragraph|annex) (?:\d+|[ivxlcdm]+\b)')) AS ref FROM reg) GROUP BY ALL""")
+@query(_REG + r"""SELECT doc_id, ref, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '\s+', ' ', 'g'), '(?i)(?:article|paragraph|annex) (?:\d+|[ivxlcdm]+\b)|art\. \d+')) AS ref FROM reg) GROUP BY ALL""")
 def f10_internal_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regulations(spark, sf_dir).select("doc_id", F.explode(rules.internal_references(F.col("text"))).alias("ref")).groupBy("doc_id", "ref").agg(F.count("*").alias("n"))
 
@@ -307,8 +348,13 @@ def a11_gateway_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regulations(spark, sf_dir).select("doc_id", rules.word_count(rules.XOR_WORDS, F.col("text")).cast("long").alias("xor_lines"))
 
 
-@query(_REG + r"""SELECT doc_id, actor, deontic, count(*) AS n FROM (SELECT doc_id, regexp_extract(s, '^(?:\d\. )?The (.+?) (shall not|may not|shall|must|may|should) ', 1) AS actor, regexp_extract(s, '^(?:\d\. )?The (.+?) (shall not|may not|shall|must|may|should) ', 2) AS deontic
-    FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS s FROM reg WHERE doc_id % 5 = 1)) WHERE actor <> '' GROUP BY ALL""")
+_TASK_SQL = r"'\b([A-Z][A-Za-z\s\-/()]+?)\s+(shall not|may not|shall|may|must|should)\s+([^;.\n]+)'"
+
+
+@query(_REG + f"""SELECT doc_id, actor, deontic, activity FROM (SELECT doc_id, n, regexp_replace(a, '^\\s+|\\s+$', '', 'g') AS actor, d AS deontic, trim(t) AS activity,
+        row_number() OVER (PARTITION BY doc_id, lower(regexp_replace(a, '^\\s+|\\s+$', '', 'g')), d, lower(substr(trim(t), 1, 60)) ORDER BY n) AS k
+    FROM (SELECT doc_id, unnest(regexp_extract_all(text, {_TASK_SQL}, 1)) AS a, unnest(regexp_extract_all(text, {_TASK_SQL}, 2)) AS d, unnest(regexp_extract_all(text, {_TASK_SQL}, 3)) AS t,
+        unnest(range(1, len(regexp_extract_all(text, {_TASK_SQL})) + 1)) AS n FROM reg)) WHERE k = 1""")
 def g8_task_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.tasks(regulations(spark, sf_dir)).select("doc_id", "actor", "deontic", "activity")
 
@@ -329,26 +375,42 @@ def j12_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.as_of(e.where(~mark).select("user_id", "event_id"), e.where(mark).select("user_id", "event_id", "event_type"), ["user_id"], "event_id", "event_type", "UNKNOWN").select("user_id", "event_id", "event_type")
 
 
-_RESPONSES = """SELECT o_orderkey AS doc_id, concat('<FINAL_LIST>', chr(10), 'Customer ', CAST(o_custkey AS STRING), ' | UNIT', chr(10), 'Clerk | role', chr(10), 'clerk | UNIT', chr(10), 'Nobody | THING', chr(10), '</FINAL_LIST>', chr(10),
-    '---TASK---', chr(10), 'label: check order ', CAST(o_orderkey AS STRING), chr(10), 'deontic: ', CASE o_orderkey % 3 WHEN 0 THEN 'shall' WHEN 1 THEN 'may not' ELSE 'should' END, chr(10), 'conditions: if late;; if large ;;', chr(10), 'performers: unit: Sales, role: Clerk', chr(10), '---END---',
-    '---TASK---', chr(10), 'deontic: may', chr(10), '---END---') AS response FROM orders"""
+_RESPONSES = """SELECT o_orderkey AS doc_id, concat('<FINAL_LIST>', chr(10), 'Customer ', CAST(o_custkey AS STRING), ' | UNIT', chr(10), 'Clerk | role', chr(10), 'clerk | UNIT', chr(10), 'CLERK | ROLE', chr(10), 'Nobody | THING', chr(10), '</FINAL_LIST>', chr(10),
+    '---TASK---', chr(10), 'label: check', chr(10), 'Label: check order ', CAST(o_orderkey AS STRING), chr(10), 'performers: unit: Sales, role: Clerk;; Board/Chief ;; (none)', chr(10),
+    CASE o_orderkey % 3 WHEN 0 THEN concat('deontic_type: prohibition', chr(10), 'deontic_modality: may not', chr(10)) WHEN 1 THEN concat('deontic_type:', chr(10)) ELSE '' END,
+    'conditions: if late;; if large ;;', chr(10), 'exceptions: unless paid [CROSS_REF];; when closed', chr(10), CASE o_orderkey % 2 WHEN 0 THEN concat('article: 3', chr(10), 'paragraph: 2(a)', chr(10)) ELSE '' END, '---END---',
+    '---TASK---', chr(10), 'deontic_type: permission', chr(10), '---END---') AS response FROM orders"""
 
 
 def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(_RESPONSES.replace("FROM orders", f"FROM parquet.`{sf_dir}/orders.parquet`"))
 
 
-@query("SELECT o_orderkey AS doc_id, 'Customer ' || o_custkey AS name, 'UNIT' AS actor_type FROM orders UNION ALL SELECT o_orderkey, 'Clerk', 'ROLE' FROM orders")
+@query("SELECT o_orderkey AS doc_id, 'Customer ' || o_custkey AS name, 'UNIT' AS actor_type FROM orders UNION ALL SELECT o_orderkey, 'Clerk', 'ROLE' FROM orders UNION ALL SELECT o_orderkey, 'clerk', 'UNIT' FROM orders")
 def g13_g15_actor_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _responses(spark, sf_dir).withColumn("response", parsing.tagged(F.col("response"), "FINAL_LIST"))
     return parsing.actor_lines(rows).select("doc_id", "name", "actor_type")
 
 
-@query("""SELECT o_orderkey AS doc_id, 'check order ' || o_orderkey AS label, CASE o_orderkey % 3 WHEN 0 THEN 'obligation' WHEN 1 THEN 'prohibition' ELSE 'recommendation' END AS kind, 2 AS n_conditions, 'Sales' AS unit, 'Clerk' AS role FROM orders""")
+@query("""SELECT o_orderkey AS doc_id, 'check order ' || o_orderkey AS label, CASE o_orderkey % 3 WHEN 0 THEN 'prohibition' WHEN 1 THEN '' ELSE 'obligation' END AS deontic_type, CASE o_orderkey % 3 WHEN 0 THEN 'may not' ELSE 'shall' END AS deontic_modality,
+    CASE o_orderkey % 3 WHEN 0 THEN 'prohibition' ELSE 'obligation' END AS kind, 'if late|if large' AS conditions, 'Sales/Clerk|Board/Chief' AS performers, 'unless paid|when closed' AS exceptions, 1 AS n_cross_refs,
+    CASE o_orderkey % 2 WHEN 0 THEN '3' ELSE 'UNKNOWN' END AS source_article, CASE o_orderkey % 2 WHEN 0 THEN '2(a)' ELSE 'UNKNOWN' END AS source_paragraph FROM orders""")
 def g10_g12_f17_task_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = parsing.task_blocks(_responses(spark, sf_dir))
-    unit, role = parsing.performer(F.col("performers"))
-    return rows.select("doc_id", "label", rules.deontic_type(F.col("deontic")).alias("kind"), "n_conditions", unit.alias("unit"), role.alias("role"))
+    people = F.transform("performers", lambda p: F.concat(p["unit"], F.lit("/"), p["role"]))
+    return rows.select(
+        "doc_id",
+        "label",
+        "deontic_type",
+        "deontic_modality",
+        rules.deontic_type(F.col("deontic_modality")).alias("kind"),
+        F.array_join("conditions", "|").alias("conditions"),
+        F.array_join(people, "|").alias("performers"),
+        F.array_join(F.transform("exceptions", lambda e: e["description"]), "|").alias("exceptions"),
+        F.size(F.filter("exceptions", lambda e: e["needs_cross_ref"])).alias("n_cross_refs"),
+        "source_article",
+        "source_paragraph",
+    )
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k')::INTEGER AS k FROM events")
@@ -364,21 +426,6 @@ def a25_ordered_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.first_of(rows, ["k", "v"], ["first_key"])
 
 
-@query("""SELECT o_orderkey AS doc_id, CASE WHEN o_custkey % 4 = 0 THEN 'Desk' WHEN o_custkey % 4 = 1 THEN 'Office' ELSE 'External' END AS unit, CASE WHEN o_custkey % 4 = 1 THEN 'Office' ELSE 'Clerk' END AS role FROM orders""")
-def e2_fallback_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), (F.col("o_custkey") % 4).alias("c"))
-    units = o.select("doc_id", F.explode(F.array(F.lit("Desk"), F.lit("Office"))).alias("unit"))
-    roles = o.select("doc_id", F.when(F.col("c") == 1, "Office").otherwise("Clerk").alias("role"), F.when(F.col("c") == 0, "Desk").when(F.col("c") == 2, "Missing").alias("unit"))
-    return entities.with_fallback_units(roles, units).select("doc_id", "unit", "role")
-
-
-@query("""SELECT l_orderkey AS doc_id, substr(lower(l_returnflag || 'x clerk'), 1, 2) || 'cl' || CASE WHEN row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY u) = 1 THEN 's' ELSE CAST(row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY u) AS VARCHAR) END AS uid, u AS unit
-    FROM (SELECT DISTINCT l_orderkey, l_returnflag, CAST(l_suppkey AS VARCHAR) AS u FROM lineitem)""")
-def a26_subject_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.concat("l_returnflag", F.lit("x clerk")).alias("role"), F.col("l_suppkey").cast("string").alias("unit")).distinct()
-    return entities.subjects(rows).select("doc_id", "uid", "unit")
-
-
 @query("""WITH n AS (SELECT s_nationkey AS k, s_name AS name FROM supplier UNION SELECT s_nationkey, s_name || 's' FROM supplier WHERE s_suppkey % 2 = 0 UNION SELECT s_nationkey, 'Agencies' FROM supplier UNION SELECT s_nationkey, 'agency' FROM supplier WHERE s_nationkey % 2 = 0)
     SELECT k, name FROM n WHERE NOT (name LIKE '%s' AND name LIKE 'Supplier%') AND NOT (name = 'Agencies' AND k % 2 = 0)""")
 def p9_drop_plurals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -387,33 +434,47 @@ def p9_drop_plurals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.drop_plurals(names, ["k"])
 
 
-@query("""WITH t AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS task_no, p_name AS label FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_orderkey % 10 = 0),
-    s AS (SELECT a.doc_id, a.task_no, b.task_no AS o, len(list_intersect(list_distinct(string_split(a.label, ' ')), list_distinct(string_split(b.label, ' '))))::INTEGER AS n FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.task_no <> b.task_no),
+@query("""WITH t AS (SELECT l_orderkey AS doc_id, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS task_no, p_name AS label, CASE WHEN l_linenumber % 2 = 0 THEN 'if the ' || p_type || ' part' ELSE '' END AS c FROM lineitem JOIN part ON p_partkey = l_partkey),
+    w AS (SELECT *, list_distinct(list_filter(string_split(lower(label || ' ' || c), ' '), lambda x: x NOT IN ('', 'the', 'if'))) AS said, list_distinct(string_split(label, ' ')) AS asked FROM t),
+    s AS (SELECT a.doc_id, a.task_no, b.task_no AS o, len(list_intersect(a.asked, b.said))::INTEGER AS n FROM w a JOIN w b ON a.doc_id = b.doc_id AND a.task_no <> b.task_no WHERE a.l_linenumber % 3 <> 0),
     r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, task_no ORDER BY n DESC, o) AS k FROM s WHERE n > 0)
     SELECT t.doc_id, t.task_no::INTEGER AS task_no, coalesce(r.o, t.task_no)::INTEGER AS ref_no, coalesce(r.n, 0)::BIGINT AS shared FROM t LEFT JOIN r ON r.doc_id = t.doc_id AND r.task_no = t.task_no AND r.k = 1""")
 def j10_exception_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line's part name is a task's label and its exception; those of every third line need no cross-reference."""
     from pyspark.sql import Window
 
     l = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey"))  # noqa: E741
     n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
-    t = l.select(F.col("l_orderkey").alias("doc_id"), n.alias("task_no"), F.col("p_name").alias("label"))
-    return entities.resolve_exceptions(t, t.select("doc_id", "task_no", F.lit(1).alias("exc_no"), F.col("label").alias("description"))).select("doc_id", "task_no", "ref_no", "shared")
+    condition = F.when(F.col("l_linenumber") % 2 == 0, F.array(F.concat(F.lit("if the "), "p_type", F.lit(" part")))).otherwise(F.array().cast("array<string>"))
+    t = l.select(F.col("l_orderkey").alias("doc_id"), n.alias("task_no"), F.col("p_name").alias("label"), condition.alias("conditions"), (F.col("l_linenumber") % 3 != 0).alias("open"))
+    return entities.resolve_exceptions(t, t.select("doc_id", "task_no", F.lit(1).alias("exc_no"), F.col("label").alias("description"), F.col("open").alias("needs_cross_ref"))).select("doc_id", "task_no", "ref_no", "shared")
+
 
+_SUFFIXED = "CASE n_nationkey % 4 WHEN 0 THEN n_name || ' officer' WHEN 1 THEN n_name || ' authority' WHEN 2 THEN n_name || ' Operator' ELSE n_name END"
 
-@query("""SELECT n_regionkey AS k, n_name AS name, CASE WHEN regexp_matches(n_name, 'ION_\\d$') THEN 'short' ELSE 'long' END AS kind, ('x' || substr(md5(n_name), 1, 6)) AS code FROM nation""")
+
+@query(f"""SELECT n_regionkey AS k, {_SUFFIXED} AS name, CASE WHEN n_nationkey % 2 = 0 THEN 'ROLE' ELSE 'UNIT' END AS kind, CAST('0x' || substr(md5(n_name), 1, 6) AS BIGINT) AS instance FROM nation""")
 def f15_f27_name_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = read(spark, sf_dir, "nation")
-    return n.select(F.col("n_regionkey").alias("k"), rules.strip_determiner(F.concat(F.lit("the "), "n_name")).alias("name"), F.when(F.col("n_name").rlike(r"ION_\d$"), "short").otherwise("long").alias("kind"), F.concat(F.lit("x"), F.substring(F.md5("n_name"), 1, 6)).alias("code"))
+    n = read(spark, sf_dir, "nation").withColumn("full", F.expr(_SUFFIXED))
+    name = rules.strip_determiner(F.concat(F.element_at(F.array(*[F.lit(d) for d in ("the ", " Any  ", "such ", "")]), (F.col("n_nationkey") % 4 + 1).cast("int")), "full"))
+    return n.select(F.col("n_regionkey").alias("k"), name.alias("name"), rules.infer_type(name).alias("kind"), testset.instance_number(F.col("n_name")).alias("instance"))
 
 
 # --- evaluation ------------------------------------------------------------------------------------------------
-@query("""WITH f AS (SELECT n_regionkey AS k, lower(n_name) AS name FROM nation WHERE n_nationkey % 3 <> 0), g AS (SELECT n_regionkey AS k, n_name AS name FROM nation WHERE n_nationkey % 3 <> 1),
-    c AS (SELECT k, (SELECT count(*) FROM g WHERE g.k = r.k) AS n_gold, (SELECT count(*) FROM f WHERE f.k = r.k) AS n_found, (SELECT count(*) FROM f JOIN g ON g.k = f.k AND lower(g.name) = f.name WHERE f.k = r.k) AS tp FROM (SELECT DISTINCT n_regionkey AS k FROM nation) r),
-    d AS (SELECT k, n_gold, n_found, tp, n_found - tp AS fp, n_gold - tp AS fn FROM c)
-    SELECT k, n_gold, n_found, tp, fp, fn, """ + _PRF_SQL + " FROM d")
+_FOUND_NAMES = "SELECT DISTINCT p_partkey % 7 AS k, upper(p_name) AS name FROM part WHERE p_partkey % 3 <> 0"
+_GOLD_NAMES = "SELECT DISTINCT p_partkey % 7 AS k, CASE p_partkey % 4 WHEN 0 THEN p_name || 's' WHEN 1 THEN 'the ' || p_name ELSE p_name END AS name FROM part WHERE p_partkey % 3 <> 1 AND p_size > 20"
+
+
+@query(f"""WITH RECURSIVE f AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY name) - 1 AS i FROM ({_FOUND_NAMES})), g AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY name) - 1 AS j FROM ({_GOLD_NAMES})),
+    q AS (SELECT f.k, i, j, lower(f.name) AS a, lower(g.name) AS b FROM f JOIN g ON f.k = g.k), s AS (SELECT k, i, j, {similarity_sql('a', 'b')} AS score FROM q), p AS (SELECT * FROM s WHERE score >= 0.8), {greedy_sql('p', 'k')},
+    d AS (SELECT k, (SELECT count(*) FROM g WHERE g.k = x.k) AS n_gold, (SELECT count(*) FROM f WHERE f.k = x.k) AS n_found, count(*) FILTER (taken) AS tp, sum(score) FILTER (taken) AS total FROM r x GROUP BY k),
+    e AS (SELECT *, n_found - tp AS fp, n_gold - tp AS fn FROM d)
+    SELECT k, n_gold, n_found, tp, fp, fn, {_PRF_SQL}, round(total / tp, 4) AS avg_similarity FROM e""")
 def j15_entity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Predicted and gold names of one region each; a threshold above 0.92 leaves equal names only."""
-    n = read(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("k"), "n_nationkey", "n_name")
-    found = n.where("n_nationkey % 3 <> 0").select("k", F.col("n_nationkey").alias("i"), F.lower("n_name").alias("name"))
-    gold = n.where("n_nationkey % 3 <> 1").select("k", F.col("n_nationkey").alias("j"), F.col("n_name").alias("name"))
-    return evaluation.entity_scores(found, gold, ["k"], threshold=0.99).drop("avg_similarity")
+    """Names that are equal, contained or alike by their trigrams; ties go to the smaller places."""
+    from pyspark.sql import Window
+
+    place = lambda n: (F.row_number().over(Window.partitionBy("k").orderBy("name")) - 1).cast("int").alias(n)
+    part = f"parquet.`{sf_dir}/part.parquet`"
+    found, gold = (spark.sql(x.replace("FROM part", f"FROM {part}")) for x in (_FOUND_NAMES, _GOLD_NAMES))
+    return evaluation.entity_scores(found.select("k", place("i"), "name"), gold.select("k", place("j"), "name"), ["k"])

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalogue import _ACTOR, _MODAL, _OTHER, _SAYS, query, read, regulations
+from .catalogue import _ACTOR, _MODAL, _OTHER, _PRF_SQL, _SAYS, _WHERE, query, read, regulations
 from .functions import rewriting, rules
 from .operators import assembly, candidates, completion, entities, parsing, process_graph, testset
 from .plans import description_evaluation, organigram_evaluation, process_evaluation, reports, task_evaluation
@@ -52,7 +52,7 @@ def s10_s12_element_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT o_custkey AS model_id, 'activities' AS kind, string_agg(DISTINCT trim(o_orderpriority), ';' ORDER BY trim(o_orderpriority)) AS names FROM orders GROUP BY 1
     UNION ALL SELECT DISTINCT o_custkey, 'actors', 'Finished;Pool' FROM orders
-    UNION ALL SELECT o_custkey, 'conditions', string_agg(DISTINCT trim(l_returnflag), ';' ORDER BY trim(l_returnflag)) FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""")
+    UNION ALL SELECT o_custkey, 'conditions', string_agg(DISTINCT 'gate ' || trim(o_orderpriority), ';' ORDER BY 'gate ' || trim(o_orderpriority)) FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) > 1) GROUP BY 1""")
 def s11_s13_element_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return process_graph.distinct_names(_elements(spark, sf_dir), KEYS).withColumn("names", F.array_join("names", ";"))
 
@@ -106,14 +106,25 @@ def j26_control_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(process_evaluation.control_flow(_elements(spark, sf_dir, _FOUND), _elements(spark, sf_dir), KEYS, _same))
 
 
-@query()
+_SPLIT_SQL = "SELECT o_custkey AS model_id, 'gate ' || trim(o_orderpriority) AS name FROM {orders} WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) > 1)"
+
+
+@query(_bag_share(_SPLIT_SQL, "name"))
 def j27_decision_logic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scored(process_evaluation.decision_logic(_elements(spark, sf_dir, _FOUND), _elements(spark, sf_dir), KEYS))
+    """With equality a gate has a partner as long as one of its name is left, whatever the labels say."""
+    return _scored(process_evaluation.decision_logic(_elements(spark, sf_dir, _FOUND), _elements(spark, sf_dir), KEYS, _same))
 
 
-@query()
+_NAME_SQL = f"""SELECT o_custkey AS model_id, 'activities' AS kind, trim(o_orderpriority) AS name FROM {{orders}} UNION ALL SELECT DISTINCT o_custkey, 'actors', unnest(['Pool', 'Finished']) FROM {{orders}}
+    UNION ALL SELECT model_id, 'conditions', name FROM ({_SPLIT_SQL})"""
+
+
+@query(f"""WITH g AS (SELECT model_id, kind, name, count(*) AS n FROM ({_NAME_SQL.format(orders='orders')}) GROUP BY ALL), f AS (SELECT model_id, kind, name, count(*) AS m FROM ({_NAME_SQL.format(orders=_SUBSET)}) GROUP BY ALL),
+    x AS (SELECT model_id, kind, coalesce(n, 0) AS n, coalesce(m, 0) AS m FROM g FULL JOIN f USING (model_id, kind, name)), s AS (SELECT model_id, kind, sum(n)::BIGINT AS n_gold, sum(m)::BIGINT AS n_found, sum(least(n, m))::BIGINT AS matched FROM x GROUP BY ALL)
+    SELECT *, round(CASE WHEN n_gold = 0 THEN 1.0 WHEN n_found = 0 THEN 0.0 ELSE matched::DOUBLE / n_gold END, 9) AS recall, round(CASE WHEN n_found = 0 THEN 1.0 WHEN n_gold = 0 THEN 0.0 ELSE matched::DOUBLE / n_found END, 9) AS precision FROM s""")
 def j23_j24_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return process_evaluation.completeness(_elements(spark, sf_dir, _FOUND), _elements(spark, sf_dir), KEYS)
+    rows = process_evaluation.completeness(_elements(spark, sf_dir, _FOUND), _elements(spark, sf_dir), KEYS, _same)
+    return rows.withColumn("recall", F.round("recall", 9)).withColumn("precision", F.round("precision", 9))
 
 
 # --- charts and task tables ---------------------------------------------------------------------------------------
@@ -134,6 +145,11 @@ _CHART_SQL = """WITH g AS (SELECT c_custkey % 97 AS model_id, trim(c_mktsegment)
         UNION ALL SELECT model_id, 'binding_by_names', u || r, count(*) FILTER (s = 1), count(*) FILTER (s = 2) FROM (SELECT *, 1 AS s FROM g UNION ALL SELECT *, 2 FROM f) GROUP BY ALL
         UNION ALL SELECT model_id, 'role_binding', r::VARCHAR, count(*) FILTER (s = 1), count(*) FILTER (s = 2) FROM (SELECT *, 1 AS s FROM g UNION ALL SELECT *, 2 FROM f) GROUP BY ALL)
     SELECT model_id, aspect, sum(least(n, m))::BIGINT AS tp, sum(m - least(n, m))::BIGINT AS fp, sum(n - least(n, m))::BIGINT AS fn FROM e GROUP BY ALL"""
+#: The other aspects: units and roles together, role -> chief edges as bags (one for each row that names them), gold roles that are bound.
+_HIERARCHY_SQL = _CHART_SQL.replace("UNION ALL SELECT model_id, 'binding', u || r", """UNION ALL SELECT model_id, 'actor', x, count(DISTINCT s) FILTER (s = 1), count(DISTINCT s) FILTER (s = 2) FROM (SELECT model_id, unnest([u, r::VARCHAR]) AS x, s FROM (SELECT *, 1 AS s FROM g UNION ALL SELECT *, 2 FROM f)) GROUP BY model_id, x
+        UNION ALL SELECT model_id, 'role_hierarchy', r::VARCHAR, count(*) FILTER (s = 1), count(*) FILTER (s = 2) FROM (SELECT *, 1 AS s FROM g UNION ALL SELECT *, 2 FROM f) WHERE r <> 0 GROUP BY model_id, r
+        UNION ALL SELECT model_id, 'role_coverage', r::VARCHAR, 1, max(CASE WHEN s = 2 THEN 1 ELSE 0 END) FROM (SELECT *, 1 AS s FROM g UNION ALL SELECT *, 2 FROM f) GROUP BY model_id, r
+        UNION ALL SELECT model_id, 'binding', u || r""", 1)
 
 
 @query(_CHART_SQL)
@@ -142,7 +158,7 @@ def j15_j18_chart_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(F.col("aspect").isin("unit", "role", "binding", "binding_by_names", "role_binding")).select("model_id", "aspect", "tp", "fp", "fn")
 
 
-@query()
+@query(f"SELECT model_id, aspect, tp, fp, fn, {_PRF_SQL} FROM ({_HIERARCHY_SQL})")
 def j28_j29_hierarchy_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return organigram_evaluation.evaluate(_chart(spark, sf_dir, "c_custkey % 3 <> 0"), _chart(spark, sf_dir, "true"), KEYS)
 
@@ -154,27 +170,38 @@ def _task_table(spark: SparkSession, sf_dir: str, found: bool) -> DataFrame:
         "array(named_struct('unit', md5(concat('Clerk ', o_custkey)), 'role', md5(o_orderpriority))) AS performers",
         f"CASE WHEN {changed} THEN 'changed' ELSE o_orderstatus END AS deontic_type", "'shall' AS deontic_modality",
         f"CASE WHEN {changed} THEN CAST(array() AS array<string>) ELSE array(md5(concat(o_orderkey, 'c'))) END AS conditions",
-        "CAST(array() AS array<struct<_VALUE:string,_description:string,_ref:string>>) AS exceptions",
+        f"CASE WHEN {changed} OR o_orderkey % 2 = 0 THEN CAST(array() AS array<struct<_VALUE:string,_description:string,_ref:string>>) ELSE array(named_struct('_VALUE', CAST(NULL AS STRING), '_description', md5(concat(o_orderkey, 'e')), '_ref', CAST(NULL AS STRING))) END AS exceptions",
         "CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE '1' END AS source_article", "'2' AS source_paragraph")
     return process_graph.numbered(rows, KEYS, ["o_orderkey"], "ord")
 
 
-@query(f"""WITH r AS (SELECT o_custkey AS model_id, CASE WHEN {_FOUND} THEN 1 ELSE 0 END AS hit, CASE WHEN o_orderkey % 4 = 0 THEN 1 ELSE 0 END AS other FROM orders),
-    s AS (SELECT model_id, count(*) AS n, sum(hit) AS h, sum(hit * other) AS bad FROM r GROUP BY 1)
+@query(f"""WITH r AS (SELECT o_custkey AS model_id, CASE WHEN {_FOUND} THEN 1 ELSE 0 END AS hit, CASE WHEN o_orderkey % 4 = 0 THEN 1 ELSE 0 END AS other, o_orderkey % 2 AS odd FROM orders),
+    s AS (SELECT model_id, count(*) AS n, sum(hit) AS h, sum(hit * other) AS bad, sum(odd) AS eg, sum(odd * hit) AS ef FROM r GROUP BY 1)
     SELECT model_id, n AS gold_tasks, h::BIGINT AS pred_tasks, h::BIGINT AS matched_tasks, round(h::DOUBLE / n, 4) AS performer_correctness,
         CASE WHEN h = 0 THEN 0.0 ELSE round((h - bad)::DOUBLE / h, 4) END AS deontic_micro_precision, round((h - bad)::DOUBLE / n, 4) AS deontic_micro_recall,
         CASE WHEN h - bad = 0 THEN 0.0 ELSE 1.0 END AS condition_micro_precision, round((h - bad)::DOUBLE / n, 4) AS condition_micro_recall,
-        CASE WHEN h = 0 THEN 0.0 ELSE round((h - bad)::DOUBLE / h, 4) END AS deontic_macro_f1 FROM s""")
+        CASE WHEN h = 0 THEN 0.0 ELSE round((h - bad)::DOUBLE / h, 4) END AS deontic_macro_f1,
+        CASE WHEN eg = 0 THEN 1.0 WHEN ef = 0 THEN 0.0 ELSE 1.0 END AS exception_micro_precision, CASE WHEN eg = 0 THEN 1.0 ELSE round(ef::DOUBLE / eg, 4) END AS exception_micro_recall FROM s""")
 def a3_a5_j19_j21_task_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = task_evaluation.evaluate(_task_table(spark, sf_dir, True), _task_table(spark, sf_dir, False), KEYS)
-    return rows.select("model_id", "gold_tasks", "pred_tasks", "matched_tasks", "performer_correctness", "deontic_micro_precision", "deontic_micro_recall", "condition_micro_precision", "condition_micro_recall", "deontic_macro_f1")
+    return rows.select("model_id", "gold_tasks", "pred_tasks", "matched_tasks", "performer_correctness", "deontic_micro_precision", "deontic_micro_recall", "condition_micro_precision", "condition_micro_recall", "deontic_macro_f1", "exception_micro_precision", "exception_micro_recall")
 
 
-@query()
+_GOLD_TEXT = "concat('The process has the following actors: Commission, importer and operator. The Commission shall file record ', o_orderkey, '. The importer may close record ', o_orderkey, '; The operator must not wait. If late, all stop.')"
+_FOUND_TEXT = """CASE o_orderkey % 3 WHEN 0 THEN concat('The process has the following actors: Commission, importer and operator. The Commission shall file record ', o_orderkey, '. The importer may close record ', o_orderkey, '; The operator must not wait. If late, all stop.')
+    WHEN 1 THEN concat('The process has the following actors: Commission and clerk. The Commission must file record ', o_orderkey, '. The importer may close record ', o_orderkey, '.')
+    ELSE concat('The Commission shall file record ', o_orderkey, '. The importer may vote. If late, or unless told, stop.') END"""
+
+
+@query("""SELECT o_orderkey AS doc_id, 3 AS gold_actor_count, CASE o_orderkey % 3 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 0 END AS pred_actor_count, CASE o_orderkey % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0.0 END AS actor_precision, CASE o_orderkey % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.3333 ELSE 0.0 END AS actor_recall,
+    3 AS gold_task_count, CASE o_orderkey % 3 WHEN 0 THEN 3 ELSE 2 END AS pred_task_count, CASE o_orderkey % 3 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 1 END AS matched_tasks, CASE o_orderkey % 3 WHEN 2 THEN 0.5 ELSE 1.0 END AS task_precision, CASE o_orderkey % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.6667 ELSE 0.3333 END AS task_recall,
+    CASE o_orderkey % 3 WHEN 0 THEN 1.0 ELSE 0.5 END AS deontic_precision, CASE o_orderkey % 3 WHEN 0 THEN 1.0 ELSE 0.3333 END AS deontic_recall, 1.0 AS avg_task_similarity, 4 AS gold_total_sentences, CASE o_orderkey % 3 WHEN 0 THEN 4 ELSE 3 END AS pred_total_sentences,
+    CASE o_orderkey % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.0 ELSE 0.5 END AS xor_ratio, 1.0 AS and_ratio FROM orders""")
 def j22_a12_description_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gold = regulations(spark, sf_dir).select("doc_id", F.concat(F.lit("The process has the following actors: Commission, importer and operator. "), "text").alias("text"))
-    found = gold.withColumn("text", F.regexp_replace("text", "notify", "inform"))
-    return description_evaluation.evaluate(found, gold, ["doc_id"])
+    both = spark.sql(f"SELECT o_orderkey AS doc_id, {_GOLD_TEXT} AS gold, {_FOUND_TEXT} AS found FROM parquet.`{sf_dir}/orders.parquet`")
+    rows = description_evaluation.evaluate(both.select("doc_id", F.col("found").alias("text")), both.select("doc_id", F.col("gold").alias("text")), ["doc_id"])
+    counts = [F.col(c).cast("int").alias(c) for c in ("gold_actor_count", "pred_actor_count", "gold_task_count", "pred_task_count", "matched_tasks", "gold_total_sentences", "pred_total_sentences")]
+    return rows.select("doc_id", *counts, "actor_precision", "actor_recall", "task_precision", "task_recall", "deontic_precision", "deontic_recall", "avg_task_similarity", "xor_ratio", "and_ratio")
 
 
 # --- sentences ------------------------------------------------------------------------------------------------------
@@ -215,18 +242,33 @@ def f12_j13_sentence_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sentences(spark, sf_dir).select("doc_id", F.array_join(rewriting.references(F.col("text"), F.array(F.lit("2"), F.lit("6"))), ";").alias("refs"))
 
 
-@query()
+# what the rules make of the two sentences of a made-up regulation
+_OBLIGED = "o_orderkey % 7 <> 6"
+_SHORT = f"replace(replace(replace({_SAYS}, ', without undue delay,', ''), ' in particular', ''), 'in accordance with', 'IAW')"
+_IF = f"concat('IF the ', {_OTHER}, ' objects, the ', {_ACTOR}, ' may refer to Annex IV.')"
+_ITEM = f"""CASE WHEN {_OBLIGED} THEN concat({_SHORT}, ' the ', {_ACTOR}, ' shall include the ') WHEN o_custkey % 5 = 1 THEN concat(replace({_SHORT}, 'was seen to', 'was seen by Commission to'), ' Commission shall include the ')
+    ELSE concat(replace({_SHORT}, 'was seen to', 'was seen by corresponding authority to'), ' It shall include the ') END"""
+_CLAUSE_SQL = f"""SELECT o_orderkey AS doc_id, CASE o_orderkey % 5
+    WHEN 0 THEN concat('Article 1: Scope', chr(10), CASE WHEN {_OBLIGED} THEN concat('1 ', {_SHORT}, chr(10)) ELSE '' END, '2 ', {_IF}, chr(10), '---', chr(10), 'Article 2: Reports', chr(10), '--PARALLEL TASKS--', chr(10), '1(a) ', {_ITEM}, 'date', chr(10), '1(b) ', {_ITEM}, 'place', chr(10), '--END OF PARALLEL TASKS--')
+    WHEN 1 THEN concat('Art. 3: ', {_SAYS}, chr(10), '---', chr(10), 'Art. 4: ', {_WHERE})
+    WHEN 2 THEN concat('1 Scope', CASE WHEN {_OBLIGED} THEN concat(chr(10), '1 ', {_SHORT}) ELSE '' END, chr(10), '2 Purpose of reports', chr(10), '2 ', {_IF}, chr(10), '3 Tasks', CASE WHEN {_OBLIGED} THEN concat(chr(10), '3 ', {_SHORT}) ELSE '' END)
+    WHEN 3 THEN concat(CASE WHEN {_OBLIGED} THEN concat('1 ', {_SHORT}, chr(10)) ELSE '' END, '2 ', {_IF}, CASE WHEN {_OBLIGED} THEN concat(chr(10), '3 ', {_SHORT}) ELSE '' END)
+    ELSE concat(CASE WHEN {_OBLIGED} THEN concat({_SHORT}, chr(10)) ELSE '' END, {_IF}) END AS text FROM orders"""
+
+
+@query(_CLAUSE_SQL)
 def b1_b6_clause_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assembly.clause_text(regulations(spark, sf_dir))
 
 
-@query()
+@query("""WITH p AS (SELECT o_orderkey, unnest(CASE o_orderkey % 5 WHEN 0 THEN ['Article 1.1', 'Article 2.1 (1(a))', 'Article 2.1 (1(b))'] WHEN 2 THEN ['1', '3'] WHEN 3 THEN ['Article UNKNOWN.1', 'Article UNKNOWN.3'] ELSE [] END) AS location FROM orders)
+    SELECT o_orderkey AS doc_id, location, unnest(CASE o_orderkey % 6 WHEN 0 THEN ['Article 2'] WHEN 1 THEN ['Regulation (EU) No 12/2020'] WHEN 2 THEN ['paragraph 3'] WHEN 3 THEN ['Article 5', 'Article 6', 'Article 8'] ELSE [] END) AS reference FROM p""")
 def d5_reference_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assembly.reference_table(regulations(spark, sf_dir))
 
 
 @query("""SELECT doc_id, len(regexp_extract_all(text, '(^|\\n)Art(icle|\\.) [0-9]+:')) AS n_articles, 2 AS n_references, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS n_words
-    FROM (SELECT doc_id, 'Article ' || doc_id || ': x' || chr(10) || text AS text FROM documents)""")
+    FROM (SELECT doc_id, 'Article ' || doc_id || ': x' || chr(10) || coalesce(text, '') AS text FROM documents)""")
 def k12_job_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit("Article "), "doc_id", F.lit(": x\n"), F.coalesce("text", F.lit("")))
     return read(spark, sf_dir, "documents").select("doc_id", *assembly.job_statistics(text, F.lit("Location,Reference\na,b\nc,d\n")))
@@ -269,20 +311,26 @@ def l10_candidate_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", completion.candidate_block().alias("block"))
 
 
-@query("SELECT o_orderkey AS doc_id, 'Clerk ' || o_custkey AS child, 'ROLE-UNIT' AS relation, 'Board' AS parent FROM orders WHERE o_orderkey % 3 = 1")
+@query("""SELECT o_orderkey AS doc_id, 'Clerk ' || o_custkey AS child, 'Board' AS parent, 'ROLE-UNIT' AS relation FROM orders WHERE o_orderkey % 3 = 1
+    UNION ALL SELECT o_orderkey, 'Board', 'Agency', 'UNIT' FROM orders WHERE o_orderkey % 3 = 1""")
 def g14_relation_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = F.when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("Clerk "), "o_custkey", F.lit(" | role unit | Board\nshort | line"))).when(F.col("o_orderkey") % 3 == 2, "NO_HIERARCHIES\na | ROLE-UNIT | b").otherwise("nothing")
+    line = F.when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("Clerk "), "o_custkey", F.lit(" | Board | role unit\nshort | line\nBoard | Agency | unit\nBoard | Agency | OTHER"))).when(F.col("o_orderkey") % 3 == 2, "no_hierarchies\na | b | ROLE-UNIT").otherwise("nothing")
     return parsing.relation_lines(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), line.alias("response"))).drop("line_no")
 
 
-@query("""SELECT o_custkey AS doc_id, o_orderkey AS task_no, 'Clerk ' || o_custkey AS text, CASE WHEN o_orderkey % 2 = 0 THEN 'Board' ELSE 'Clerk ' || o_custkey END AS unit, 'Clerk ' || o_custkey AS role FROM orders""")
+@query("""SELECT o_orderkey AS doc_id, 0 AS task_no, 'Management Board' AS unit, 'Member' AS role FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, 0, 'Board', 'Clerk ' || o_custkey FROM orders WHERE o_orderkey % 2 = 1
+    UNION ALL SELECT o_orderkey, 1, 'Sales', 'Clerk ' || o_custkey FROM orders UNION ALL SELECT o_orderkey, 2, 'Desk', 'Clerk ' || o_custkey FROM orders UNION ALL SELECT o_orderkey, 2, 'Board', 'Clerk ' || o_custkey FROM orders UNION ALL SELECT o_orderkey, 3, 'Nobody', 'Nobody' FROM orders""")
 def e6_j9_performers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("task_no"), F.concat(F.lit("Clerk "), "o_custkey").alias("clerk"))
-    # each clerk of a customer's even orders is a subject, under a document of its own so that none is known elsewhere
-    doc = F.concat_ws("/", "doc_id", "task_no")
-    known = orders.where("task_no % 2 = 0").select(doc.alias("doc_id"), F.lit("Board").alias("unit"), F.col("clerk").alias("role"), F.lit(0).alias("subject_no"))
-    rows = entities.resolve_performers(orders.select(doc.alias("doc_id"), "task_no", F.col("clerk").alias("text")), known)
-    return rows.select(F.split("doc_id", "/")[0].cast("long").alias("doc_id"), "task_no", "text", "unit", "role")
+    """Each order is a document with two or three subjects; open texts go to the first name of the chart that holds them or
+    that they hold."""
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("Clerk "), "o_custkey").alias("clerk"))
+    subject = lambda n, unit, role: F.struct(F.lit(n).alias("subject_no"), F.lit(unit).alias("unit"), role.alias("role"))
+    clerks = [subject(1, "Desk", F.col("clerk")), subject(2, "Board", F.col("clerk"))]
+    chart = F.when(F.col("doc_id") % 2 == 0, F.array(subject(0, "Management Board", F.lit("Member")), *clerks)).otherwise(F.array(*clerks))
+    known = o.select("doc_id", F.explode(chart).alias("s")).select("doc_id", "s.*")
+    text = F.array(F.lit("board"), F.concat(F.lit("unit: Sales, role: "), "clerk"), F.concat(F.lit("the "), "clerk", F.lit(" of it")), F.lit("Nobody"))
+    tasks = o.select("doc_id", F.posexplode(text).alias("task_no", "said")).select("doc_id", "task_no", parsing.performers(F.col("said")).alias("performers"))
+    return entities.task_performers(tasks, known)
 
 
 @query("SELECT o_orderkey AS job_id, 'https-post://example.org/worklist/' || o_orderkey || '/' AS url, CAST('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 6) AS BIGINT) AS instance FROM orders")

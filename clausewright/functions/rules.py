@@ -20,6 +20,7 @@ INTERNAL_REFERENCE = r"(?i)\b(?:article\s+\d+\s*,\s*paragraph\s+\d+|art\.\s*(?:\
 ACT_TYPES = ["Implementing Regulation", "Delegated Regulation", "Implementing Decision", "Delegated Decision", "Directive", "Regulation", "Decision"]
 UNIT_SUFFIXES = ["authority", "agency", "commission", "council", "parliament", "board", "committee", "body", "office", "bureau", "directorate", "administration", "ministry", "department", "court", "tribunal"]
 ROLE_SUFFIXES = ["officer", "manager", "director", "inspector", "auditor", "controller", "supervisor", "provider", "operator", "applicant", "representative", "holder", "user", "administrator", "assessor"]
+DETERMINERS = ["the", "a", "an", "any", "each", "every", "all", "such", "those", "these", "this", "that", "their", "its"]
 CONDITIONAL_OPENERS = ["if", "unless", "provided", "subject", "except", "where", "notwithstanding", "when", "before", "after", "until", "once", "while", "whenever", "although", "though", "even", "because", "since"]
 DEONTIC_TYPES = [
     ("shall not", "prohibition"),
@@ -131,12 +132,19 @@ def deontic_style(kind: Column) -> Column:
     return out.otherwise("")
 
 
+def deontic_badge(kind: Column, modality: Column) -> Column:
+    out = None
+    for name, (_, badge) in DEONTIC_STYLES.items():
+        out = (F.when if out is None else out.when)(kind == name, badge)
+    return out.otherwise(modality)
+
+
 def clean_label(label: Column) -> Column:
     return trim_all(F.regexp_replace(label, LABEL_NOISE, ""))
 
 
 def strip_determiner(name: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(trim_all(name), r"(?i)^(?:the|a|an)\s+", ""), r"\s+", " ")
+    return F.regexp_replace(F.regexp_replace(trim_all(name), rf"(?i)^(?:{'|'.join(DETERMINERS)})\s+", ""), r"\s+", " ")
 
 
 def infer_type(name: Column) -> Column:

@@ -31,15 +31,20 @@ DELEGATING_VERBS = ["ensure", "require", "oblige", "mandate", "order", "direct",
 REQUESTING_VERBS = ["request", "ask", "instruct", "invite"]
 CONDITION_MARKERS = ["if", "where", "when", "unless", "provided", "insofar", "subject", "extent", "condition", "assuming", "given", "whenever"]
 SKIPPED_LINE = r"(?s)^--.*--|^\s*$"
+PARAGRAPH_MARK = r"^[ \t]*(\d{1,2}(?:\([a-z]\))?)\s*(?:[.\s]|$)"
 MINIMUM_CANDIDATES = 2
 
 _MODALS = r"(?i)\b((?:shall|must|may|should)(?:\s+not)?|(?:is|are)\s+required\s+to)\s+"
 
 
-def listed_as_actor(name: Column) -> Column:
-    """Not a thing by its first letters (``Data Protection Board`` counts as one), and a single word only in capitals."""
-    one_word = F.size(F.split(trim_all(name), r"\s+")) == 1
-    return ~name.rlike(rf"(?i)^(?:{'|'.join(NOT_ACTORS)})") & (~one_word | name.rlike(r"^\p{Lu}"))
+def is_actor(name: Column) -> Column:
+    """Not a thing by its first letters (``Data Protection Board`` counts as one)."""
+    return ~name.rlike(rf"(?i)^(?:{'|'.join(NOT_ACTORS)})")
+
+
+def specific(name: Column) -> Column:
+    """Several words, or one that begins with a capital."""
+    return (F.size(F.split(trim_all(name), r"\s+")) > 1) | name.rlike(r"^\p{Lu}")
 
 
 def institutions(docs: DataFrame) -> DataFrame:
@@ -49,28 +54,30 @@ def institutions(docs: DataFrame) -> DataFrame:
 
 
 def subjects(docs: DataFrame) -> DataFrame:
-    """doc_id, name, actor_type: subjects of modals; those of an action verb are roles, others go by their suffix."""
+    """doc_id, name, actor_type: subjects of modals; those of a verb that begins like an action verb are roles, others go by
+    their suffix."""
     found = tasks(docs)
     name = rules.strip_determiner(F.regexp_extract("actor", r"([^,;:]+)$", 1))
-    kind = F.when(F.lower(F.regexp_extract("activity", r"^(\w+)", 1)).isin(ACTION_VERBS), "ROLE").otherwise(rules.infer_type(name))
+    kind = F.when(F.col("activity").rlike(rf"(?i)^(?:{'|'.join(ACTION_VERBS)})"), "ROLE").otherwise(rules.infer_type(name))
     return found.select("doc_id", name.alias("name"), kind.alias("actor_type"))
 
 
 def frequent_names(docs: DataFrame, least: int = 2) -> DataFrame:
     """doc_id, name, n_total, n_subject: capitalised names of at most six words that occur ``least`` times, at least once
-    right before a modal; shown as last written."""
+    right before a modal; shown as last written with a capital (else as first written)."""
     pattern = r"(\p{Lu}[\w-]*(?:\s+(?:of|the|\p{Lu}[\w-]*)){0,5})(?<!\sof|\sthe)(\s+(?:shall|must|may|should)\b)?"
     zipped = F.arrays_zip(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)).alias("n"), F.regexp_extract_all("text", F.lit(pattern), F.lit(2)).alias("m"))
     rows = docs.select("doc_id", F.posexplode(zipped).alias("at", "x")).select("doc_id", "at", rules.strip_determiner(F.col("x.n")).alias("name"), (F.col("x.m") != "").alias("is_subject"))
-    counted = rows.where("name <> ''").groupBy("doc_id", F.lower("name").alias("_low")).agg(F.max_by("name", "at").alias("name"), F.count("*").alias("n_total"), F.count_if("is_subject").alias("n_subject"))
+    counted = rows.where("name <> ''").groupBy("doc_id", F.lower("name").alias("_low")).agg(F.coalesce(F.max_by("name", F.when(F.col("name").rlike(r"^\p{Lu}"), F.col("at"))), F.min_by("name", "at")).alias("name"), F.count("*").alias("n_total"), F.count_if("is_subject").alias("n_subject"))
     return counted.where((F.col("n_total") >= least) & (F.col("n_subject") > 0)).drop("_low")
 
 
 def actor_candidates(docs: DataFrame) -> DataFrame:
     """doc_id, name, actor_type of all layers, distinct, without things, vague words and plurals of other names."""
     frequent = frequent_names(docs).select("doc_id", "name", rules.infer_type(F.col("name")).alias("actor_type"))
-    every = institutions(docs).unionByName(subjects(docs)).unionByName(frequent).where(listed_as_actor(F.col("name"))).distinct()
-    return drop_plurals(every, ["doc_id"])
+    found = subjects(docs).unionByName(frequent).where(is_actor(F.col("name")))
+    every = institutions(docs).unionByName(found).where(specific(F.col("name"))).distinct()
+    return drop_plurals(every, ["doc_id", "actor_type"])
 
 
 def candidate_order() -> list[Column]:
@@ -95,7 +102,7 @@ def task_candidates(docs: DataFrame) -> DataFrame:
     modal and verb; verbs joined by ``and`` are split; what a delegating or requesting verb hands on is a row of its
     own.  Marker lines and blank lines are skipped."""
     lines = _offsets(docs).where(~F.col("line").rlike(SKIPPED_LINE))
-    marks = lines.where(F.col("line").rlike(r"^[ \t]*\d+[a-z]?(?:\([a-z]\))?[.\s]")).select("doc_id", "at", F.regexp_extract("line", r"^[ \t]*(\d+(?:\([a-z]\))?)", 1).alias("source_paragraph"))
+    marks = lines.where(F.col("line").rlike(PARAGRAPH_MARK)).select("doc_id", "at", F.regexp_extract("line", PARAGRAPH_MARK, 1).alias("source_paragraph"))
     located = as_of(lines.select("doc_id", "at"), marks, ["doc_id"], "at", "source_paragraph", "UNKNOWN")
     rows = lines.join(located, ["doc_id", "at"]).select("doc_id", "at", "source_article", "source_paragraph", F.posexplode(sentences(F.col("line"))).alias("_s", "sentence"))
     modal = F.regexp_extract_all("sentence", F.lit(_MODALS + r"([^;.]*)"), F.lit(1))
@@ -106,7 +113,7 @@ def task_candidates(docs: DataFrame) -> DataFrame:
     phrase = F.regexp_replace(F.regexp_replace(F.col("_m.p"), rf"(?i),?\s*\b(?:{markers})\b.*$", ""), r"\s*,.*$", "")
     rows = rows.withColumn("conditions", conditions).withColumn("_p", trim_all(phrase)).withColumn("deontic_modality", F.lower(F.regexp_replace(F.col("_m.m"), r"\s+", " ")))
     verb = F.lower(F.regexp_extract("_p", r"^(\w+)", 1))
-    handed = trim_all(F.regexp_extract("_p", r"(?i)^\w+\s+(?:that\s+)?.*?\b(?:to|that\s+.*?)\s+(\w.*)$", 1))
+    handed = trim_all(F.regexp_extract("_p", rf"(?i)^\w+\s+(?:that\s+(?:(?:{'|'.join(rules.DETERMINERS)})\s+)?\w+|.*?\bto)\s+(\w.*)$", 1))
     none = F.array().cast("array<string>")
     entry = lambda label, modality, extra: F.struct(label.alias("label"), modality.alias("modality"), F.concat("conditions", extra).alias("conditions"))
     own = F.transform(F.split("_p", r"\s+and\s+(?=[a-z]+\s+(?:the|a|an|its|their|to)\b)"), lambda p: entry(rules.clean_label(p), F.col("deontic_modality"), none))

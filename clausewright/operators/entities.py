@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import token_set
 
+# Fixed value: the unit of roles that belong to none.
+EXTERNAL = "External"
+
 
 def first_of(rows: DataFrame, keys: list[Column | str], order: list[str]) -> DataFrame:
     """Ordered distinct: the first row of each key."""
@@ -14,67 +17,100 @@ def first_of(rows: DataFrame, keys: list[Column | str], order: list[str]) -> Dat
 
 
 def drop_plurals(names: DataFrame, keys: list[str]) -> DataFrame:
-    """Drops a name whose singular (last word without its s, es or ies) is there too."""
+    """Drops a name whose singular is there too: the last word without its s or with y for ies, and an acronym of capitals
+    without its last S."""
     low = F.lower("name")
-    single = F.when(low.rlike("ies$"), F.regexp_replace(low, "ies$", "y")).when(low.rlike("(ss|us)$"), low).when(low.rlike("s$"), F.regexp_replace(low, "s$", ""))
+    single = F.when(F.col("name").rlike(r"(?:^|\s)\p{Lu}{2,}S$"), F.regexp_replace(low, "s$", ""))
+    single = single.when(low.rlike("ies$"), F.regexp_replace(low, "ies$", "y")).when(low.rlike("(ss|us)$"), low).when(low.rlike("s$"), F.regexp_replace(low, "s$", ""))
     marked = names.withColumn("_single", F.when(single != low, single))
     return marked.join(names.select(*keys, F.lower("name").alias("_single")).distinct(), [*keys, "_single"], "left_anti").drop("_single")
 
 
-def with_fallback_units(roles: DataFrame, units: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, role, unit: a role keeps its unit if it exists there, else takes the unit of its own name, else ``External``."""
-    known = units.select(key, F.col("unit").alias("_u")).distinct()
-    kept = roles.withColumn("_u", F.col("unit")).join(known.withColumn("_known", F.lit(True)), [key, "_u"], "left")
-    kept = kept.withColumn("_same", F.col("role")).join(known.withColumnRenamed("_u", "_same").withColumn("_named", F.lit(True)), [key, "_same"], "left")
-    return kept.select(key, "role", F.when(F.col("_known"), F.col("_u")).when(F.col("_named"), F.col("_same")).otherwise("External").alias("unit"))
-
-
-def subjects(bound: DataFrame, key: str = "doc_id") -> DataFrame:
-    """A subject for each role and unit: uid from the first letters of the name's first two words, numbered."""
-    words = F.split(F.lower("role"), r"\s+")
-    base = F.concat(F.substring(F.get(words, 0), 1, 2), F.coalesce(F.substring(F.get(words, 1), 1, 2), F.lit("")))
-    n = F.row_number().over(Window.partitionBy(key, "_base").orderBy("role", "unit"))
-    numbered = bound.withColumn("_base", base).withColumn("_n", n)
-    return numbered.select(key, "role", "unit", F.concat("_base", F.when(F.col("_n") == 1, "s").otherwise(F.col("_n").cast("string"))).alias("uid"))
+def build_entities(actors: DataFrame, relations: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, ord, name, entity_type, parents, unit_parents: UNIT actors are units, all others (BOTH too) roles, in the order
+    of ``line_no``; parents in the order of their lines.  ``relations`` is what ``parsing.relation_lines`` gives."""
+    kinds = relations.select(key, F.col("child").alias("name"), "relation", F.struct("line_no", "parent").alias("_p"))
+    of = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("relation") == kind, F.col("_p")))), lambda x: x["parent"])
+    listed = kinds.groupBy(key, "name").agg(of("UNIT").alias("_unit"), of("ROLE").alias("_role"), of("ROLE-UNIT").alias("_bound"))
+    unit = F.col("actor_type") == "UNIT"
+    none = F.array().cast("array<string>")
+    rows = actors.join(listed, [key, "name"], "left")
+    return rows.select(
+        key,
+        F.col("line_no").cast("int").alias("ord"),
+        "name",
+        F.when(unit, "unit").otherwise("role").alias("entity_type"),
+        F.coalesce(F.when(unit, F.col("_unit")).otherwise(F.col("_role")), none).alias("parents"),
+        F.coalesce(F.when(~unit, F.col("_bound")), none).alias("unit_parents"),
+    )
+
+
+def with_fallback_units(entities: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The entities, each unit that a role is bound to but that is missing (by name, ``ord`` null), ``External`` as the unit
+    of roles that are bound to none and don't bear a unit's name, and External itself where it is used."""
+    named = entities.where("entity_type = 'unit'").select(key, "name")
+    bound = entities.where("entity_type = 'role'").select(key, F.explode("unit_parents").alias("name"))
+    missing = bound.distinct().join(named.distinct(), [key, "name"], "left_anti")
+    known = named.union(missing).distinct().withColumn("_known", F.lit(True))
+    alone = (F.col("entity_type") == "role") & (F.size("unit_parents") == 0) & F.col("_known").isNull()
+    kept = entities.join(known, [key, "name"], "left").withColumn("unit_parents", F.when(alone, F.array(F.lit(EXTERNAL))).otherwise(F.col("unit_parents"))).drop("_known")
+    used = kept.where((F.col("entity_type") == "role") & (F.size("unit_parents") == 1) & (F.get("unit_parents", 0) == EXTERNAL)).select(key, F.lit(EXTERNAL).alias("name")).distinct()
+    added = missing.union(used.join(known, [key, "name"], "left_anti")).distinct()
+    none = F.array().cast("array<string>")
+    return kept.unionByName(added.select(key, F.lit(None).cast("int").alias("ord"), "name", F.lit("unit").alias("entity_type"), none.alias("parents"), none.alias("unit_parents")))
+
+
+def subjects(entities: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, ord, name, uid, unit, role: a subject for each role and unit that it is bound to (those that exist; else the
+    unit of its own name, else External).  Dashes and slashes part the words of a role's name; its first and last word
+    make the subject's name, two letters of its first two the uid, which counts up in the order of roles and units."""
+    units = entities.where("entity_type = 'unit'").groupBy(key).agg(F.collect_set("name").alias("_units"))
+    rows = entities.where("entity_type = 'role'").join(units, key, "left").withColumn("_units", F.coalesce("_units", F.array().cast("array<string>")))
+    words = F.filter(F.split(F.regexp_replace(F.lower("name"), "[-/]", " "), r"\s+"), lambda w: w != "")
+    words = F.when(F.size(words) > 0, words).otherwise(F.array(F.lit("role")))
+    bound = F.filter("unit_parents", lambda u: F.array_contains(F.col("_units"), u))
+    bound = F.when(F.size(bound) > 0, bound).otherwise(F.array(F.when(F.array_contains("_units", F.col("name")), F.col("name")).otherwise(EXTERNAL)))
+    rows = rows.select(key, F.col("ord").alias("_o"), F.col("name").alias("role"), words.alias("_w"), F.posexplode(bound).alias("_u", "unit"))
+    base = F.concat(F.substring(F.get("_w", 0), 1, 2), F.coalesce(F.substring(F.get("_w", 1), 1, 2), F.lit("")))
+    rows = rows.withColumn("_base", base)
+    n = F.row_number().over(Window.partitionBy(key, "_base").orderBy("_o", "role", "_u"))
+    ord_ = (F.row_number().over(Window.partitionBy(key).orderBy("_o", "role", "_u")) - 1).alias("ord")
+    name = F.concat(F.get("_w", 0), F.lit("_name "), F.element_at("_w", -1), F.lit("_surname"))
+    return rows.withColumn("_n", n).select(key, ord_, name.alias("name"), F.concat("_base", F.when(F.col("_n") == 1, "s").otherwise(F.col("_n").cast("string"))).alias("uid"), "unit", "role")
 
 
 def resolve_exceptions(tasks: DataFrame, exceptions: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Each exception with the other task that shares most words (first of ties), or its own where none shares any.
-    Tasks and exceptions meet on shared words, so no pair without one is made."""
-    words = tasks.select(key, F.col("task_no").alias("_t"), F.explode(token_set(F.col("label"))).alias("_w"))
-    asked = exceptions.select(key, "task_no", "exc_no", F.explode(token_set(F.col("description"))).alias("_w"))
+    """key, task_no, exc_no, ref_no, shared: an exception that needs a cross-reference goes to the other task whose label and
+    conditions share most words with it (first of ties), or to its own where none shares any; all others to their own.
+    ``tasks`` has task_no, label, conditions; ``exceptions`` task_no, exc_no, description, needs_cross_ref.  Tasks and
+    exceptions meet on shared words, so no pair without one is made."""
+    said = F.concat_ws(" ", "label", F.array_join("conditions", " "))
+    words = tasks.select(key, F.col("task_no").alias("_t"), F.explode(token_set(said)).alias("_w"))
+    asked = exceptions.where("needs_cross_ref").select(key, "task_no", "exc_no", F.explode(token_set(F.col("description"))).alias("_w"))
     scored = asked.join(words, [key, "_w"]).where("task_no <> _t").groupBy(key, "task_no", "exc_no", "_t").agg(F.count("*").alias("n"))
     best = scored.groupBy(key, "task_no", "exc_no").agg(F.max_by("_t", F.struct("n", -F.col("_t"))).alias("ref_no"), F.max("n").alias("shared"))
     return exceptions.join(best, [key, "task_no", "exc_no"], "left").select(key, "task_no", "exc_no", F.coalesce("ref_no", "task_no").alias("ref_no"), F.coalesce("shared", F.lit(0)).alias("shared"))
 
 
-def hierarchy_edges(units: DataFrame, roles: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, source, target, kind: parent edges of units and roles whose ends exist, and unit-to-role edges of roles
-    without a parent; distinct."""
-    names = units.select(key, F.col("name").alias("_n")).union(roles.select(key, F.col("name").alias("_n"))).distinct()
-    tree = units.select(key, F.col("parent").alias("source"), F.col("name").alias("target"), F.lit("unit").alias("kind"))
-    tree = tree.union(roles.select(key, F.col("parent").alias("source"), F.col("name").alias("target"), F.lit("role").alias("kind")))
-    tree = tree.union(roles.where("parent is null").select(key, F.col("unit").alias("source"), F.col("name").alias("target"), F.lit("binding").alias("kind")))
-    for end in ("source", "target"):
-        tree = tree.join(names.withColumnRenamed("_n", end), [key, end], "left_semi")
-    return tree.select(key, "source", "target", "kind").distinct()
+def hierarchy_edges(units: DataFrame, roles: DataFrame, bindings: DataFrame, key: str = "model_id") -> DataFrame:
+    """key, source, target, kind: the edges of a chart's picture.  Of several parents the first counts; edges between
+    units and between roles need both ends, those from units to roles a role without a parent; distinct.  ``units`` and
+    ``roles`` have name, parent and ord."""
+    once = lambda rows: rows.groupBy(key, "name").agg(F.min_by("parent", F.struct(F.col("parent").isNull(), "ord")).alias("parent"))
+    u, r = once(units), once(roles)
+    inside = lambda rows, kind: rows.where("parent <> ''").select(key, F.col("parent").alias("source"), F.col("name").alias("target"), F.lit(kind).alias("kind")).join(rows.select(key, F.col("name").alias("source")), [key, "source"], "left_semi")
+    bare = r.where("parent is null or parent = ''").select(key, F.col("name").alias("target"))
+    bound = bindings.select(key, F.col("unit").alias("source"), F.col("role").alias("target"), F.lit("binding").alias("kind")).distinct()
+    bound = bound.join(bare, [key, "target"], "left_semi").join(u.select(key, F.col("name").alias("source")), [key, "source"], "left_semi")
+    return inside(u, "unit").unionByName(inside(r, "role")).unionByName(bound).select(key, "source", "target", "kind")
 
 
-def build_entities(actors: DataFrame, relations: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, name, entity_type, parents, unit_parents: UNIT actors are units, all others (BOTH too) roles.  ``relations`` has
-    child, relation (UNIT-UNIT, ROLE-ROLE or ROLE-UNIT) and parent."""
-    listed = lambda kind, out: relations.where(F.col("relation").isin(kind)).groupBy(key, F.col("child").alias("name")).agg(F.array_sort(F.collect_set("parent")).alias(out))
-    rows = actors.withColumn("entity_type", F.when(F.col("actor_type") == "UNIT", "unit").otherwise("role"))
-    rows = rows.join(listed(["UNIT-UNIT", "ROLE-ROLE"], "parents"), [key, "name"], "left").join(listed(["ROLE-UNIT"], "unit_parents"), [key, "name"], "left")
-    none = F.array().cast("array<string>")
-    return rows.select(key, "name", "entity_type", F.coalesce("parents", none).alias("parents"), F.coalesce("unit_parents", none).alias("unit_parents"))
-
-
-def relation_text(entities: DataFrame) -> DataFrame:
-    """The lines ``CHILD | RELATION | PARENT`` of entities, one a row, distinct."""
-    kind = F.when(F.col("entity_type") == "unit", "UNIT-UNIT").otherwise("ROLE-ROLE")
-    pairs = lambda relation, column: F.transform(F.col(column), lambda p: F.concat_ws(" | ", "name", relation, p))
-    return entities.select(F.explode(F.concat(pairs(kind, "parents"), pairs(F.lit("ROLE-UNIT"), "unit_parents"))).alias("line")).distinct()
+def relation_text(entities: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, ord, line: the lines ``CHILD | PARENT | TYPE`` of entities in their order (those without one last, by name)."""
+    kind = F.when(F.col("entity_type") == "unit", "UNIT").otherwise("ROLE")
+    pairs = lambda column, relation: F.transform(F.col(column), lambda p: F.concat_ws(" | ", "name", p, relation))
+    rows = entities.select(key, F.struct(F.col("ord").isNull().alias("late"), "ord", "name").alias("_o"), F.posexplode(F.concat(pairs("parents", kind), pairs("unit_parents", F.lit("ROLE-UNIT")))).alias("_n", "line"))
+    return rows.select(key, (F.row_number().over(Window.partitionBy(key).orderBy("_o", "_n")) - 1).alias("ord"), "line")
 
 
 def performer_names(subjects: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -86,13 +122,20 @@ def performer_names(subjects: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def resolve_performers(wanted: DataFrame, subjects: DataFrame, key: str = "doc_id") -> DataFrame:
-    """wanted (key, task_no, text) with unit and role: all subjects under the first known name that equals the text or that
-    holds or is held by it, without case; the text itself as unit and role where none does.  Texts and names meet once for
+    """wanted (key, task_no, text) with unit and role: all subjects under the first known name that equals the text, holds it
+    or is held by it, without case; the text itself as unit and role where none does.  Texts and names meet once for
     each distinct text of a document."""
     names = performer_names(subjects, key)
     texts = wanted.select(key, "text").distinct()
     low = F.lower(F.trim("text"))
-    close = texts.join(names.select(key, "ord", "known").distinct(), key).where((low != "") & ((low == F.col("known")) | F.contains(low, F.col("known")) | F.contains(F.col("known"), low)))
-    best = close.groupBy(key, "text").agg(F.min_by("known", F.struct(F.when(low == F.col("known"), 0).otherwise(1), "ord", "known")).alias("known"))
+    close = texts.join(names.select(key, "ord", "known").distinct(), key).where((low != "") & (F.contains(low, F.col("known")) | F.contains(F.col("known"), low)))
+    best = close.groupBy(key, "text").agg(F.min_by("known", F.struct("ord", "known")).alias("known"))
     met = wanted.join(best, [key, "text"], "left").join(names.select(key, "known", "unit", "role"), [key, "known"], "left")
     return met.select(key, "task_no", "text", F.coalesce("unit", "text").alias("unit"), F.coalesce("role", "text").alias("role")).distinct()
+
+
+def task_performers(tasks: DataFrame, subjects: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, task_no, unit, role, distinct: what ``parsing.performers`` found in the tasks, open texts looked up."""
+    said = tasks.select(key, "task_no", F.explode("performers").alias("p")).select(key, "task_no", "p.*")
+    looked_up = resolve_performers(said.where("unit is null").select(key, "task_no", "text"), subjects, key)
+    return said.where("unit is not null").select(key, "task_no", "unit", "role").union(looked_up.select(key, "task_no", "unit", "role")).distinct()

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import trim_all
 
+# Fixed value: the mark of an exception that another task explains.
+CROSS_REFERENCE = "[CROSS_REF]"
+
 
 def tagged(response: Column, tag: str, fallback: Column | None = None) -> Column:
     """What stands inside <tag>...</tag>, else the fallback (the response itself, if none)."""
@@ -28,45 +31,73 @@ def listed(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, ";;"), trim_all), lambda x: x != "")
 
 
+def exceptions(text: Column) -> Column:
+    """array<struct<description, needs_cross_ref>> of a ``;;`` list; the mark [CROSS_REF] sets the flag and goes."""
+    marked = F.transform(listed(text), lambda x: F.struct(trim_all(F.replace(x, F.lit(CROSS_REFERENCE), F.lit(""))).alias("description"), F.contains(x, F.lit(CROSS_REFERENCE)).alias("needs_cross_ref")))
+    return F.filter(marked, lambda x: x["description"] != "")
+
+
+def performers(text: Column) -> Column:
+    """array<struct<unit, role, text>> of a ``;;`` list: unit and role of ``unit: X, role: Y`` or ``X/Y``; anything else has
+    only its text, for a look-up.  ``(none)`` and half of a slash say nothing."""
+
+    def entry(x: Column) -> Column:
+        unit, role = F.regexp_extract(x, r"(?i)unit\s*:\s*([^,]+)", 1), F.regexp_extract(x, r"(?i)role\s*:\s*([^,;]+)", 1)
+        named = (unit != "") & (role != "")
+        slash = F.instr(x, "/")
+        pair = lambda u, r: F.struct(trim_all(u).alias("unit"), trim_all(r).alias("role"), x.alias("text"))
+        none = F.lit(None).cast("string")
+        split = pair(F.substring(x, F.lit(1), slash - 1), F.substr(x, slash + 1))
+        return F.when(named, pair(unit, role)).when(slash > 0, split).otherwise(F.struct(none.alias("unit"), none.alias("role"), x.alias("text")))
+
+    every = F.transform(F.filter(listed(text), lambda x: x != "(none)"), entry)
+    return F.filter(every, lambda e: e["unit"].isNull() | ((e["unit"] != "") & (e["role"] != "")))
+
+
 def task_blocks(responses: DataFrame, key: str = "doc_id") -> DataFrame:
-    """One row a ``---TASK---`` ... ``---END---`` block with its ``key: value`` lines (the last of a key wins); blocks
-    without a label are dropped."""
+    """key, block_no, label, performers, deontic_type, deontic_modality, conditions, exceptions, source_article,
+    source_paragraph: one row a ``---TASK---`` ... ``---END---`` block with its ``key: value`` lines (the last of a key
+    wins); blocks without a label are dropped, a missing key takes its default, a key without a value is empty."""
     rows = responses.select(key, F.posexplode(F.regexp_extract_all("response", F.lit(r"(?s)---TASK---(.*?)---END---"), F.lit(1))).alias("block_no", "block"))
 
-    def field(name: str) -> Column:
+    def field(name: str, default: str = "") -> Column:
         values = F.regexp_extract_all("block", F.lit(rf"(?im)^[ \t]*{name}[ \t]*:(.*)$"), F.lit(1))
-        return trim_all(F.coalesce(F.get(values, F.size(values) - 1), F.lit("")))
-
-    out = rows.select(key, "block_no", *[field(n).alias(n) for n in ("label", "performers", "deontic", "conditions")])
-    return out.where("label <> ''").withColumn("n_conditions", F.size(listed(F.col("conditions"))))
+        return trim_all(F.coalesce(F.get(values, F.size(values) - 1), F.lit(default)))
+
+    return rows.select(
+        key,
+        "block_no",
+        field("label").alias("label"),
+        performers(field("performers")).alias("performers"),
+        field("deontic_type", "obligation").alias("deontic_type"),
+        field("deontic_modality", "shall").alias("deontic_modality"),
+        listed(field("conditions")).alias("conditions"),
+        exceptions(field("exceptions")).alias("exceptions"),
+        field("article", "UNKNOWN").alias("source_article"),
+        field("paragraph", "UNKNOWN").alias("source_paragraph"),
+    ).where("label <> ''")
 
 
 def actor_lines(responses: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``name | TYPE`` lines with TYPE in UNIT, ROLE, BOTH; the first of a name, without case."""
+    """key, line_no, name, actor_type of ``name | TYPE`` lines with TYPE in UNIT, ROLE, BOTH; the first of a name (without
+    case) and type."""
     rows = responses.select(key, F.posexplode(F.split("response", "\n")).alias("line_no", "line"))
     parts = rows.select(key, "line_no", F.transform(F.split("line", r"\|"), trim_all).alias("p")).where(F.size("p") == 2)
     good = parts.select(key, "line_no", F.col("p")[0].alias("name"), F.upper(F.col("p")[1]).alias("actor_type")).where("name <> '' and actor_type in ('UNIT', 'ROLE', 'BOTH')")
-    first = Window.partitionBy(key, F.lower("name")).orderBy("line_no")
+    first = Window.partitionBy(key, F.lower("name"), "actor_type").orderBy("line_no")
     return good.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
 
 
-def performer(text: Column) -> tuple[Column, Column]:
-    """(unit, role) of ``unit: X, role: Y`` or ``X/Y``."""
-    unit, role = F.regexp_extract(text, r"(?i)unit:\s*([^,]*)", 1), F.regexp_extract(text, r"(?i)role:\s*(.*)$", 1)
-    slashed = F.split(text, "/")
-    plain = text.rlike(r"(?i)unit:|role:")
-    pick = lambda a, i: trim_all(F.when(plain, a).otherwise(F.coalesce(F.get(slashed, i), F.lit(""))))
-    return pick(unit, 0), pick(role, 1)
-
-
 def relation_lines(responses: DataFrame, key: str = "doc_id", reset: bool = True) -> DataFrame:
-    """``CHILD | RELATION | PARENT`` lines of exactly three parts, ``ROLE UNIT`` as ``ROLE-UNIT``; with ``reset``, a line
-    NO_HIERARCHIES drops whatever its answer says."""
+    """key, line_no, child, parent, relation of ``CHILD | PARENT | TYPE`` lines of exactly three parts, TYPE being UNIT, ROLE
+    or ROLE-UNIT (also with a space); with ``reset``, a line with NO_HIERARCHIES, in any case, drops whatever its answer
+    says."""
     rows = responses.select(key, "response", F.posexplode(F.split("response", "\n")).alias("line_no", "line"))
     if reset:
-        rows = rows.where(~F.contains("response", F.lit("NO_HIERARCHIES")))
-    parts = rows.select(key, "line_no", F.transform(F.split("line", r"\|"), trim_all).alias("p")).where("size(p) = 3 and p[0] <> '' and p[2] <> ''")
-    return parts.select(key, "line_no", F.col("p")[0].alias("child"), F.regexp_replace(F.upper(F.col("p")[1]), r"\s+", "-").alias("relation"), F.col("p")[2].alias("parent"))
+        rows = rows.where(~F.contains(F.upper("response"), F.lit("NO_HIERARCHIES")))
+    parts = rows.select(key, "line_no", F.transform(F.split("line", r"\|"), trim_all).alias("p")).where("size(p) = 3 and p[0] <> '' and p[1] <> ''")
+    found = parts.select(key, "line_no", F.col("p")[0].alias("child"), F.col("p")[1].alias("parent"), F.replace(F.upper(F.col("p")[2]), F.lit(" "), F.lit("-")).alias("relation"))
+    return found.where(F.col("relation").isin("UNIT", "ROLE", "ROLE-UNIT"))
 
 
 def rule_share(answers: Column) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -125,18 +127,48 @@ def _escaped(text: Column) -> Column:
     return out
 
 
-def testset_xml(inner: Column, worklist: Column, orgmodel: Column) -> Column:
+# Fixed value: the process engine's document around a block; slots are in braces.
+TESTSET = """<?xml version="1.0" encoding="UTF-8"?>
+<testset xmlns="{properties}">
+  <executionhandler>ruby</executionhandler>
+  <dataelements/>
+  <endpoints>
+    <user>{user}</user>
+    <worklist>{worklist}</worklist>
+    <auto>{auto}</auto>
+    <subprocess>{subprocess}</subprocess>
+    <timeout>{timeout}</timeout>
+    <send>{send}</send>
+    <receive>{receive}</receive>
+  </endpoints>
+  <attributes>
+    <info>Worklist</info>
+    <modeltype>CPEE</modeltype>
+    <theme>extended</theme>
+    <organisation1>{orgmodel}</organisation1>
+    <creator>{creator}</creator>
+    <author>{creator}</author>
+    <design_stage>development</design_stage>
+    <design_dir>Templates.dir</design_dir>
+  </attributes>
+  <description>
+{inner}
+  </description>
+  <transformation>
+    <description type="copy"/>
+    <dataelements type="none"/>
+    <endpoints type="none"/>
+  </transformation>
+</testset>
+"""
+
+
+def testset_xml(inner: Column, worklist: Column, orgmodel: Column, creator: str, endpoints: dict[str, str] | None = None) -> Column:
     """The whole testset around an enriched block, which is indented by four spaces."""
-    listed = "".join(f"    <{n}>{u}</{n}>\n" for n, u in ENDPOINTS.items() if n != "user")
-    return F.concat(
-        F.lit(f'<?xml version="1.0" encoding="UTF-8"?>\n<testset xmlns="{PROPERTIES_NS}">\n  <executionhandler>ruby</executionhandler>\n  <dataelements/>\n  <endpoints>\n    <user>{ENDPOINTS["user"]}</user>\n    <worklist>'),
-        _escaped(worklist),
-        F.lit(f"</worklist>\n{listed}  </endpoints>\n  <attributes>\n    <info>Worklist</info>\n    <modeltype>CPEE</modeltype>\n    <theme>extended</theme>\n    <organisation1>"),
-        _escaped(orgmodel),
-        F.lit("</organisation1>\n    <creator>AutoBPMN</creator>\n    <author>AutoBPMN</author>\n    <design_stage>development</design_stage>\n    <design_dir>Templates.dir</design_dir>\n  </attributes>\n  <description>\n"),
-        F.regexp_replace(inner, r"(?m)^", "    "),
-        F.lit('\n  </description>\n  <transformation>\n    <description type="copy"/>\n    <dataelements type="none"/>\n    <endpoints type="none"/>\n  </transformation>\n</testset>\n'),
-    )
+    fixed = {"properties": PROPERTIES_NS, "creator": creator, **ENDPOINTS, **(endpoints or {})}
+    columns = {"worklist": _escaped(worklist), "orgmodel": _escaped(orgmodel), "inner": F.regexp_replace(inner, r"(?m)^", "    ")}
+    parts = re.split(r"\{(\w+)\}", TESTSET)
+    return F.concat(*[F.lit(part) if n % 2 == 0 else columns[part] if part in columns else F.lit(escape(fixed[part])) for n, part in enumerate(parts)])
 
 
 def endpoint(base: Column, path: Column, method: str = "") -> Column:

@@ -13,13 +13,14 @@ from .evaluation import BINDING_THRESHOLD, ENTITY_THRESHOLD, binding_pairs, name
 
 
 def _names(chart: dict[str, DataFrame], part: str, keys: list[str]) -> DataFrame:
-    """Names of units or roles, once each (charts list an entity once for each parent)."""
-    return chart[part].select(*keys, "name").distinct()
+    """Names of units or roles, once each (charts list an entity once for each parent), with their first place."""
+    place = F.min("ord") if "ord" in chart[part].columns else F.lit(0)
+    return chart[part].groupBy(*keys, "name").agg(place.alias("ord"))
 
 
 def name_map(found: DataFrame, gold: DataFrame, keys: list[str], threshold: float) -> DataFrame:
-    """keys, found_name, gold_name of the greedy matches; ties go by name."""
-    f, g = numbered(found, keys, ["name"], "i"), numbered(gold, keys, ["name"], "j")
+    """keys, found_name, gold_name of the greedy matches; ties go by place in the chart, then by name."""
+    f, g = (numbered(x, keys, ["ord", "name"], n).select(*keys, n, "name") for x, n in ((found, "i"), (gold, "j")))
     matches = assign.greedy(name_pairs(f, g, keys, blank_rule=False), keys, threshold)
     f, g = f.withColumnRenamed("name", "found_name"), g.withColumnRenamed("name", "gold_name")
     return matches.join(f, [*keys, "i"]).join(g, [*keys, "j"]).select(*keys, "found_name", "gold_name")
@@ -59,12 +60,14 @@ def evaluate(found: dict[str, DataFrame], gold: dict[str, DataFrame], keys: list
     binding_by_names, binding, role_binding, and role_coverage (tp of all gold roles)."""
     units = [_names(x, "units", keys) for x in (found, gold)]
     roles = [_names(x, "roles", keys) for x in (found, gold)]
-    actors = [u.union(r).distinct() for u, r in zip(units, roles)]
+    # units come before roles; a name of both counts once
+    after = lambda rows, n: rows.select(*keys, "name", F.struct(F.lit(n).alias("part"), "ord").alias("ord"))
+    actors = [after(u, 0).union(after(r, 1)).groupBy(*keys, "name").agg(F.min("ord").alias("ord")) for u, r in zip(units, roles)]
     unit_map, role_map = name_map(*units, keys, threshold), name_map(*roles, keys, threshold)
-    f = numbered(found["bindings"], keys, ["subject", "unit", "role"], "i")
-    g = numbered(gold["bindings"], keys, ["subject", "unit", "role"], "j")
+    bound = lambda rows, n: numbered(rows, keys, [*(["ord"] if "ord" in rows.columns else []), "subject", "unit", "role"], n).select(*keys, n, "unit", "role")
+    f, g = bound(found["bindings"], "i"), bound(gold["bindings"], "j")
     as_names = lambda rows, n: rows.select(*keys, n, F.col("role").alias("name"))
-    covered = role_coverage(as_names(f, "i"), numbered(roles[1], keys, ["name"], "j"), keys)
+    covered = role_coverage(as_names(f, "i"), numbered(roles[1], keys, ["ord", "name"], "j"), keys)
     parts = {
         "unit": _sizes(*units, unit_map, keys),
         "role": _sizes(*roles, role_map, keys),

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import metrics
-from ..functions.similarity import trigram_cosine
+from ..functions.similarity import trigram_cosine_of
 from ..operators import assign, process_graph
 
 # Thresholds.
@@ -20,17 +20,21 @@ CORRECTNESS = {"activities": 0.50, "conditions": 0.50, "actors": 0.70}
 
 def vector_similarity(a: Column, b: Column) -> Column:
     """The plain cosine of the names' vectors, without shortcuts."""
-    return trigram_cosine(F.lower(a), F.lower(b))
+    return trigram_cosine_of(F.lower(a), F.lower(b))
 
 
-def _both(found: DataFrame, gold: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+def _sides(found: DataFrame, gold: DataFrame, keys: list[str], columns: list[str]) -> tuple[DataFrame, DataFrame]:
     left = found.select(*keys, "i", *[F.col(c).alias(f"f_{c}") for c in columns])
-    return left.join(gold.select(*keys, "j", *[F.col(c).alias(f"g_{c}") for c in columns]), keys)
+    return left, gold.select(*keys, "j", *[F.col(c).alias(f"g_{c}") for c in columns])
 
 
-def _with_scores(met: DataFrame, column: str, out: str, similarity=vector_similarity) -> DataFrame:
+def _alike(left: DataFrame, right: DataFrame, keys: list[str], column: str, out: str, least, similarity) -> DataFrame:
+    """keys, f_column, g_column, out: the distinct names of a pair of diagrams that are similar enough; a pair of names
+    that many diagrams have is scored once."""
     names = [f"f_{column}", f"g_{column}"]
-    return met.join(met.select(*names).distinct().withColumn(out, similarity(*map(F.col, names))), names)
+    met = left.select(*keys, names[0]).distinct().join(right.select(*keys, names[1]).distinct(), keys)
+    scored = met.select(*names).distinct().withColumn(out, similarity(*map(F.col, names)))
+    return met.join(scored, names).where(F.col(out) >= least)
 
 
 def _counts(found: DataFrame, gold: DataFrame, matches: DataFrame, keys: list[str]) -> DataFrame:
@@ -44,9 +48,10 @@ def completeness(found: DataFrame, gold: DataFrame, keys: list[str], similarity=
     all_keys = [*keys, "kind"]
     f = process_graph.numbered(process_graph.element_names(found, keys), all_keys, ["ord"], "i")
     g = process_graph.numbered(process_graph.element_names(gold, keys), all_keys, ["ord"], "j")
-    scored = _with_scores(_both(f, g, all_keys, ["name"]), "name", "score", similarity)
+    left, right = _sides(f, g, all_keys, ["name"])
     least = F.element_at(F.create_map(*[F.lit(x) for pair in COMPLETENESS.items() for x in pair]), F.col("kind"))
-    matches = assign.gold_order(scored.where(F.col("score") >= least), all_keys, 0.0)
+    close = _alike(left, right, all_keys, "name", "score", least, similarity)
+    matches = assign.gold_order(left.join(close, [*all_keys, "f_name"]).join(right, [*all_keys, "g_name"]), all_keys, 0.0)
     rows = _counts(f, g, matches, all_keys)
     part = lambda whole, other: F.when(F.col(whole) == 0, 1.0).when(F.col(other) == 0, 0.0).otherwise(F.col("matched") / F.nullif(F.col(whole), F.lit(0)))
     return rows.withColumn("recall", part("n_gold", "n_found")).withColumn("precision", part("n_found", "n_gold"))
@@ -58,9 +63,11 @@ def _scored_share(rows: DataFrame) -> DataFrame:
 
 def _pair_correctness(found: DataFrame, gold: DataFrame, keys: list[str], columns: tuple[str, str], least: tuple[float, float], similarity) -> tuple[DataFrame, DataFrame]:
     f, g = process_graph.numbered(found, keys, ["ord"], "i"), process_graph.numbered(gold, keys, ["ord"], "j")
-    met = _both(f, g, keys, list(columns))
+    left, right = _sides(f, g, keys, list(columns))
+    met = left
     for n, c in enumerate(columns):
-        met = _with_scores(met, c, f"_s{n}", similarity).where(F.col(f"_s{n}") >= least[n])
+        met = met.join(_alike(left, right, keys, c, f"_s{n}", least[n], similarity), [*keys, f"f_{c}"])
+    met = met.join(right, [*keys, *[f"g_{c}" for c in columns]])  # pairs meet where both names are alike
     matches = assign.gold_order(met.withColumn("score", (F.col("_s0") + F.col("_s1")) / 2), keys, 0.0)
     return matches, _scored_share(_counts(f, g, matches, keys))
 
@@ -83,14 +90,19 @@ def decision_logic(found: DataFrame, gold: DataFrame, keys: list[str], similarit
     similarity and the share of gold labels that find a partner among its labels."""
     f = process_graph.numbered(process_graph.decision_splits(found, keys), keys, ["ord"], "i")
     g = process_graph.numbered(process_graph.decision_splits(gold, keys), keys, ["ord"], "j")
-    met = _with_scores(_both(f, g, keys, ["name", "labels"]), "name", "_gate", similarity).where(F.col("_gate") >= CORRECTNESS["conditions"])
-    inner = [*keys, "_i", "_j"]
-    met = met.withColumnRenamed("i", "_i").withColumnRenamed("j", "_j")
-    listed = met.select(*inner, "g_labels", F.posexplode("f_labels").alias("i", "f_label"))
-    labels = _with_scores(listed.select(*inner, "i", "f_label", F.posexplode("g_labels").alias("j", "g_label")), "label", "score", similarity)
+    left, right = _sides(f, g, keys, ["name", "labels"])
+    close = _alike(left, right, keys, "name", "_gate", CORRECTNESS["conditions"], similarity)
+    met = left.join(close, [*keys, "f_name"]).join(right, [*keys, "g_name"])
+    # each pair of label lists is compared once, however many gates have it
+    inner = ["f_labels", "g_labels"]
+    lists = met.select(*inner).distinct()
+    listed = lists.select(*inner, F.posexplode("f_labels").alias("i", "f_label"))
+    listed = listed.select(*inner, "i", "f_label", F.posexplode("g_labels").alias("j", "g_label"))
+    names = ["f_label", "g_label"]
+    labels = listed.join(listed.select(*names).distinct().withColumn("score", similarity(*map(F.col, names))), names)
     hits = assign.gold_order(labels, inner, CORRECTNESS["conditions"]).groupBy(*inner).agg(F.count("*").alias("_hits"))
     share = F.coalesce("_hits", F.lit(0)) / F.size("g_labels")
-    scored = met.join(hits, inner, "left").select(*keys, F.col("_i").alias("i"), F.col("_j").alias("j"), ((F.col("_gate") + share) / 2).alias("score"))
+    scored = met.join(hits, inner, "left").select(*keys, "i", "j", ((F.col("_gate") + share) / 2).alias("score"))
     return _scored_share(_counts(f, g, assign.gold_order(scored, keys, 0.0), keys))
 
 

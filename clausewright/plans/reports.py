@@ -5,8 +5,11 @@ Numbers are DataFrames; ``latex`` renders the few rows of a finished report.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
 # The rows that hold averages, and the runs that reports count.
 SUMMARY_FILE, SUMMARY_RUN = "SECTION_MACRO_AVG", "SECTION_AVG"
@@ -36,6 +39,16 @@ def averaged(rows: DataFrame, metrics: list[str]) -> DataFrame:
     return per.unionByName(per.agg(*[F.avg(m).alias(m) for m in metrics]).withColumn("doc_index", F.lit(None).cast("int")))
 
 
+def run_average(rows: DataFrame, run: str, metrics: list[str], least_files: int = 2) -> DataFrame:
+    """run, metrics, n_files: means within a run of at least ``least_files`` files."""
+    per = rows.groupBy(run).agg(*[F.avg(m).alias(m) for m in metrics], F.count("*").alias("n_files"))
+    return per.where(F.col("n_files") >= least_files)
+
+
+def in_section(rows: DataFrame, section: str) -> DataFrame:
+    return rows.where(F.col("section") == section)
+
+
 def all_runs(rows: DataFrame, metrics: list[str]) -> DataFrame:
     """doc_index, run_num, metrics: every run, and a last row (nulls) of their mean."""
     per = detail_rows(rows).select("doc_index", "run_num", *[F.col(m).cast("double").alias(m) for m in metrics])
@@ -71,8 +84,20 @@ def completeness_summary(rows: DataFrame, recall: str, matched: str, gold: str)
     return sums.join(F.broadcast(n_docs)).select("kind", (F.col("_r") / F.nullif(F.col("_n"), F.lit(0))).alias("recall"), "matched", "gold")  # one row of a total
 
 
-def prf_cell(p: Column, r: Column, f: Column) -> Column:
-    return F.format_string("%.2f/%.2f/%.2f", p, r, f)
+def correctness_summary(rows: DataFrame, score: str, counts: str, folder: str = "folder") -> DataFrame:
+    """kind, score, matched, gold of the counted runs: the mean over all rows of a kind (the run folder's begin, raw or
+    preprocessed); matched counts of all runs, gold counts of each document's first run."""
+    kind = F.when(F.startswith(folder, F.lit("raw")), "raw").when(F.startswith(folder, F.lit("preprocessed")), "preprocessed")
+    matched, gold = absolute(F.col(counts))
+    kept = rows.withColumn("kind", kind).where(F.col("kind").isNotNull() & run_number(F.col(folder)).isin(RUNS)).select("kind", "file", folder, score, matched.alias("_m"), gold.alias("_g"))
+    per = kept.groupBy("kind", "file").agg(F.sum(score).alias("_s"), F.count(score).alias("_n"), F.sum("_m").alias("_m"), F.min_by("_g", folder).alias("_g"))
+    return per.groupBy("kind").agg((F.sum("_s") / F.nullif(F.sum("_n"), F.lit(0))).alias(score), F.sum("_m").alias("matched"), F.sum("_g").cast("long").alias("gold"))
+
+
+@pandas_udf(T.StringType())
+def prf_cell(p: pd.Series, r: pd.Series, f: pd.Series) -> pd.Series:
+    """``p/r/f`` with two digits each, rounded by the exact binary value (ties to even), as reports show them."""
+    return pd.Series([f"{a:.2f}/{b:.2f}/{c:.2f}" for a, b, c in zip(p, r, f)])
 
 
 def bold(cell: Column, flag: Column) -> Column:

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.rules import deontic_badge, deontic_style, trim_all
+
 ORGANIGRAM = (
     "units STRUCT<unit: ARRAY<STRUCT<_id: STRING, parent: ARRAY<STRING>>>>, roles STRUCT<role: ARRAY<STRUCT<_id: STRING, parent: ARRAY<STRING>>>>, "
     "subjects STRUCT<subject: ARRAY<STRUCT<_id: STRING, _uid: STRING, relation: ARRAY<STRUCT<_unit: STRING, _role: STRING>>>>>"
@@ -21,10 +23,10 @@ TASK = (
     "`source-ref` STRUCT<_article: STRING, _paragraph: STRING>"
 )
 # The elements that count as each kind of diagram node.
-ACTIVITIES = ["task", "sendTask", "receiveTask", "userTask", "manualTask", "businessRuleTask", "serviceTask", "scriptTask", "callActivity", "subProcess"]
+ACTIVITIES = ["task", "userTask", "serviceTask", "sendTask", "receiveTask", "manualTask", "businessRuleTask", "scriptTask", "callActivity", "subProcess"]
 EVENTS = ["startEvent", "endEvent", "intermediateThrowEvent", "intermediateCatchEvent", "boundaryEvent"]
-GATEWAYS = ["exclusiveGateway", "parallelGateway", "inclusiveGateway", "eventBasedGateway", "complexGateway"]
-DATA_OBJECTS = ["dataObject", "dataObjectReference", "dataStoreReference"]
+GATEWAYS = ["parallelGateway", "exclusiveGateway", "inclusiveGateway", "eventBasedGateway", "complexGateway"]
+DATA_OBJECTS = ["dataObjectReference"]
 
 
 def decode(content: Column) -> Column:
@@ -47,41 +49,126 @@ def pair_files(gold: DataFrame, found: DataFrame) -> DataFrame:
     return met.select("file", "gold_path", "found_path", section.alias("section"), run.alias("run"))
 
 
+def with_source_text(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Paired files with ``source``: the first text file (by name) that begins with the same number, or null."""
+    number = lambda c: F.regexp_extract(c, r"^([^_]*_)", 1)
+    first = texts.where(F.col("file").endswith(".txt")).groupBy(number("file").alias("_n")).agg(F.min("file").alias("source"))
+    return pairs.withColumn("_n", number("file")).join(first, "_n", "left").drop("_n")
+
+
 def organigrams(xml: DataFrame, key: str = "model_id") -> dict[str, DataFrame]:
-    """units, roles (name, parent or null), bindings (subject, unit, role) of charts in a column ``xml``; blank ids are
-    skipped, all parents and relations are kept; malformed charts are empty."""
+    """units, roles (name, parent or null, ord, par), bindings (subject, unit, role, ord, uid) of charts in a column ``xml``;
+    blank ids are skipped, all parents and all relations with a unit and a role are kept; malformed charts are empty.
+    ``ord`` is the place in the chart, ``par`` that of the parent in its element."""
     bare = F.regexp_replace("xml", r"<(/?)\w+:", "<$1")
     parsed = xml.select(key, F.from_xml(bare, ORGANIGRAM, {"mode": "PERMISSIVE"}).alias("o"))
 
     def named(kind: str) -> DataFrame:
-        rows = parsed.select(key, F.explode(f"o.{kind}s.{kind}").alias("x")).where("trim(x._id) <> ''")
-        return rows.select(key, F.trim("x._id").alias("name"), F.explode_outer("x.parent").alias("parent"))
+        rows = parsed.select(key, F.posexplode(f"o.{kind}s.{kind}").alias("ord", "x")).where("trim(x._id) <> ''")
+        parents = F.filter(F.transform("x.parent", trim_all), lambda p: p != "")
+        return rows.select(key, F.trim("x._id").alias("name"), "ord", F.posexplode_outer(parents).alias("par", "parent")).select(key, "name", "parent", "ord", "par")
 
-    subjects = parsed.select(key, F.explode("o.subjects.subject").alias("s")).select(key, F.col("s._id").alias("subject"), F.explode("s.relation").alias("r"))
-    return {"units": named("unit"), "roles": named("role"), "bindings": subjects.select(key, "subject", F.col("r._unit").alias("unit"), F.col("r._role").alias("role"))}
+    subjects = parsed.select(key, F.posexplode("o.subjects.subject").alias("_s", "s")).select(key, "_s", F.trim("s._id").alias("subject"), F.col("s._uid").alias("uid"), F.posexplode("s.relation").alias("_r", "r"))
+    bound = subjects.select(key, "subject", F.trim("r._unit").alias("unit"), F.trim("r._role").alias("role"), F.struct("_s", "_r").alias("ord"), "uid").where("unit <> '' and role <> ''")
+    return {"units": named("unit"), "roles": named("role"), "bindings": bound}
 
 
-def tasks(xml: DataFrame, key: str = "model_id") -> DataFrame:
-    """One row a labelled task of task tables in a column ``xml``; performers without unit and role are dropped."""
+def first_relations(bindings: DataFrame, key: str = "model_id") -> DataFrame:
+    """key, subject_no, unit, role: the first relation of each subject, if it has a unit and a role, in the chart's order."""
+    return bindings.where("ord._r = 0").select(key, F.col("ord._s").alias("subject_no"), "unit", "role")
+
+
+def first_parents(named: DataFrame, key: str = "model_id") -> DataFrame:
+    """key, name, parent, ord: each unit or role once, with the first parent that the chart gives it, or null."""
+    return named.where("par is null or par = 0").select(key, "name", "parent", "ord")
+
+
+def task_elements(xml: DataFrame, key: str = "model_id") -> DataFrame:
+    """key, ord, t: every task of task tables in a column ``xml`` as the format nests it (``TASK``)."""
     bare = F.regexp_replace(F.regexp_replace("xml", r"<(/?)\w+:", "<$1"), r"^\s*<\?xml[^>]*\?>", "")
     body = F.regexp_extract_all(bare, F.lit(r"(?s)<task\b.*?</task>"), F.lit(0))
-    rows = xml.select(key, F.posexplode(body).alias("ord", "_x")).select(key, "ord", F.from_xml("_x", TASK, {"mode": "PERMISSIVE"}).alias("t"))
-    people = F.filter(F.coalesce("t.performers.performer", F.array().cast("array<struct<unit:string,role:string>>")), lambda p: F.coalesce(p["unit"], p["role"]).isNotNull())
-    return rows.where("trim(t.label) <> ''").select(
+    rows = xml.select(key, F.posexplode(body).alias("ord", "_x"))
+    return rows.select(key, "ord", F.from_xml("_x", TASK, {"mode": "PERMISSIVE"}).alias("t"))
+
+
+def _or_empty(column: str, kind: str) -> Column:
+    return F.coalesce(F.col(column), F.array().cast(f"array<{kind}>"))
+
+
+_PERFORMER, _EXCEPTION = "struct<unit:string,role:string>", "struct<_VALUE:string,_description:string,_ref:string>"
+_blank = lambda c: trim_all(F.coalesce(c, F.lit("")))
+
+
+def tasks(xml: DataFrame, key: str = "model_id") -> DataFrame:
+    """One row a labelled task, as evaluations read it; performers without unit and role are dropped, blank conditions too."""
+    people = F.filter(_or_empty("t.performers.performer", _PERFORMER), lambda p: (_blank(p["unit"]) != "") | (_blank(p["role"]) != ""))
+    stated = lambda part, field: F.when(F.col(f"t.{part}").isNotNull(), _blank(F.col(f"t.{part}.{field}")))
+    return task_elements(xml, key).where(_blank(F.col("t.label")) != "").select(
         key,
         "ord",
         F.col("t._id").alias("task_id"),
-        F.trim("t.label").alias("label"),
+        trim_all(F.col("t.label")).alias("label"),
         people.alias("performers"),
-        F.lower("t.deontic._type").alias("deontic_type"),
-        F.lower("t.deontic._modality").alias("deontic_modality"),
-        F.coalesce("t.conditions.condition", F.array().cast("array<string>")).alias("conditions"),
-        F.coalesce("t.exceptions.exception", F.array().cast("array<struct<_VALUE:string,_description:string,_ref:string>>")).alias("exceptions"),
-        F.col("t.source-ref._article").alias("source_article"),
-        F.col("t.source-ref._paragraph").alias("source_paragraph"),
+        F.lower(stated("deontic", "_type")).alias("deontic_type"),
+        F.lower(stated("deontic", "_modality")).alias("deontic_modality"),
+        F.filter(F.transform(_or_empty("t.conditions.condition", "string"), _blank), lambda c: c != "").alias("conditions"),
+        _or_empty("t.exceptions.exception", _EXCEPTION).alias("exceptions"),
+        stated("source-ref", "_article").alias("source_article"),
+        stated("source-ref", "_paragraph").alias("source_paragraph"),
     )
 
 
+def exception_texts(exceptions: Column) -> Column:
+    """The description of each exception, else its text; blank ones go."""
+    said = F.transform(exceptions, lambda e: F.coalesce(F.nullif(_blank(e["_description"]), F.lit("")), _blank(e["_VALUE"])))
+    return F.filter(said, lambda x: x != "")
+
+
+def described_tasks(xml: DataFrame, key: str = "model_id") -> DataFrame:
+    """Every task as the description stage reads it: actors are the distinct roles in order, exceptions their descriptions,
+    and what is missing is ``unknown``, ``shall`` or ``UNKNOWN``."""
+    roles = F.filter(F.transform(_or_empty("t.performers.performer", _PERFORMER), lambda p: _blank(p["role"])), lambda r: r != "")
+    described = F.filter(F.transform(_or_empty("t.exceptions.exception", _EXCEPTION), lambda e: _blank(e["_description"])), lambda x: x != "")
+    return task_elements(xml, key).select(
+        key,
+        "ord",
+        F.coalesce("t._id", F.lit("unknown")).alias("task_id"),
+        F.array_distinct(roles).alias("actors"),
+        F.coalesce("t.deontic._modality", F.lit("shall")).alias("deontic_modality"),
+        _blank(F.col("t.label")).alias("label"),
+        F.filter(F.transform(_or_empty("t.conditions.condition", "string"), _blank), lambda c: c != "").alias("conditions"),
+        described.alias("exceptions"),
+        F.coalesce("t.source-ref._article", F.lit("UNKNOWN")).alias("source_article"),
+        F.coalesce("t.source-ref._paragraph", F.lit("UNKNOWN")).alias("source_paragraph"),
+    )
+
+
+def task_cards(xml: DataFrame, key: str = "model_id") -> DataFrame:
+    """Every task as a page shows it: role else unit of each performer, style and badge of its deontic type (a type without a
+    style shows its modality), and ``Art. a §p``."""
+    kind = F.lower(F.coalesce("t.deontic._type", F.lit("")))
+    name = lambda p: F.coalesce(F.nullif(_blank(p["role"]), F.lit("")), _blank(p["unit"]))
+    article, paragraph = _blank(F.col("t.source-ref._article")), _blank(F.col("t.source-ref._paragraph"))
+    return task_elements(xml, key).select(
+        key,
+        "ord",
+        F.coalesce("t._id", F.lit("")).alias("task_id"),
+        _blank(F.col("t.label")).alias("label"),
+        kind.alias("deontic_type"),
+        deontic_style(kind).alias("deontic_css"),
+        deontic_badge(kind, F.coalesce("t.deontic._modality", F.lit(""))).alias("deontic_badge"),
+        F.filter(F.transform(_or_empty("t.performers.performer", _PERFORMER), name), lambda n: n != "").alias("actors"),
+        F.concat(F.when(article != "", F.concat(F.lit("Art. "), article)).otherwise(""), F.when(paragraph != "", F.concat(F.lit(" §"), paragraph)).otherwise("")).alias("source"),
+    )
+
+
+def first_performers(xml: DataFrame, key: str = "model_id") -> DataFrame:
+    """key, task_no, task_id, label, role, unit: every task with its first performer; no role is empty, no unit ``*``."""
+    first = F.get(_or_empty("t.performers.performer", _PERFORMER), 0)
+    unit = F.coalesce(F.nullif(_blank(first["unit"]), F.lit("")), F.lit("*"))
+    return task_elements(xml, key).select(key, F.col("ord").alias("task_no"), F.coalesce("t._id", F.lit("unknown")).alias("task_id"), _blank(F.col("t.label")).alias("label"), _blank(first["role"]).alias("role"), unit.alias("unit"))
+
+
 def bpmn_elements(xml: DataFrame, key: str = "model_id") -> DataFrame:
     """Every element of process diagrams in one pass: tag, id, name, the enclosing process and lane, source and target,
     and for lane members the node they refer to.  Malformed diagrams give no row."""
@@ -125,12 +212,16 @@ def bpmn_counts(elements: DataFrame, key: str = "model_id") -> DataFrame:
 
 
 def organigram_xml(units: DataFrame, roles: DataFrame, subjects: DataFrame, key: str = "model_id") -> DataFrame:
-    """key, xml: charts as the scan reads them (units and roles with parents, subjects with one relation each)."""
+    """key, xml: charts as the scan reads them: units and roles (name, parent, ord, par) with their parents, subjects
+    (subject, uid, unit, role, ord) with one relation each, all in the order of ``ord``."""
+    after = lambda column: F.transform(F.array_sort(F.collect_list(F.struct("_o", "x"))), lambda s: s["x"]).alias(column)
 
     def listed(df: DataFrame, name: str) -> DataFrame:
-        one = df.groupBy(key, "name").agg(F.array_sort(F.collect_set("parent")).alias("parent")).select(key, F.struct(F.col("name").alias("_id"), "parent").alias("x"))
-        return one.groupBy(key).agg(F.array_sort(F.collect_list("x")).alias(name))
+        parents = F.transform(F.array_sort(F.collect_list(F.when(F.col("parent").isNotNull(), F.struct("par", "parent")))), lambda p: p["parent"])
+        one = df.groupBy(key, "ord", "name").agg(parents.alias("parent"))
+        return one.select(key, F.struct("ord", "name").alias("_o"), F.struct(F.col("name").alias("_id"), "parent").alias("x")).groupBy(key).agg(after(name))
 
-    people = subjects.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("subject").alias("_id"), F.col("uid").alias("_uid"), F.array(F.struct(F.col("unit").alias("_unit"), F.col("role").alias("_role"))).alias("relation")))).alias("subject"))
+    person = F.struct(F.col("subject").alias("_id"), F.col("uid").alias("_uid"), F.array(F.struct(F.col("unit").alias("_unit"), F.col("role").alias("_role"))).alias("relation"))
+    people = subjects.select(key, F.struct("ord", "subject", "uid").alias("_o"), person.alias("x")).groupBy(key).agg(after("subject"))
     met = listed(units, "unit").join(listed(roles, "role"), key, "full_outer").join(people, key, "full_outer")
     return met.select(key, F.to_xml(F.struct(F.struct("unit").alias("units"), F.struct("role").alias("roles"), F.struct("subject").alias("subjects")), {"rowTag": "organisation"}).alias("xml"))
