@@ -67,7 +67,7 @@ def frequent_names(docs: DataFrame, least: int = 2) -> DataFrame:
     right before a modal; shown as last written with a capital (else as first written)."""
     pattern = r"(\p{Lu}[\w-]*(?:\s+(?:of|the|\p{Lu}[\w-]*)){0,5})(?<!\sof|\sthe)(\s+(?:shall|must|may|should)\b)?"
     zipped = F.arrays_zip(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)).alias("n"), F.regexp_extract_all("text", F.lit(pattern), F.lit(2)).alias("m"))
-    rows = docs.select("doc_id", F.posexplode(zipped).alias("at", "x")).select("doc_id", "at", rules.strip_determiner(F.col("x.n")).alias("name"), (F.col("x.m") != "").alias("is_subject"))
+    rows = docs.select("doc_id", F.posexplode_outer(zipped).alias("at", "x")).where("x.n is not null").select("doc_id", "at", rules.strip_determiner(F.col("x.n")).alias("name"), (F.col("x.m") != "").alias("is_subject"))
     counted = rows.where("name <> ''").groupBy("doc_id", F.lower("name").alias("_low")).agg(F.coalesce(F.max_by("name", F.when(F.col("name").rlike(r"^\p{Lu}"), F.col("at"))), F.min_by("name", "at")).alias("name"), F.count("*").alias("n_total"), F.count_if("is_subject").alias("n_subject"))
     return counted.where((F.col("n_total") >= least) & (F.col("n_subject") > 0)).drop("_low")
 
@@ -104,10 +104,10 @@ def task_candidates(docs: DataFrame) -> DataFrame:
     lines = _offsets(docs).where(~F.col("line").rlike(SKIPPED_LINE))
     marks = lines.where(F.col("line").rlike(PARAGRAPH_MARK)).select("doc_id", "at", F.regexp_extract("line", PARAGRAPH_MARK, 1).alias("source_paragraph"))
     located = as_of(lines.select("doc_id", "at"), marks, ["doc_id"], "at", "source_paragraph", "UNKNOWN")
-    rows = lines.join(located, ["doc_id", "at"]).select("doc_id", "at", "source_article", "source_paragraph", F.posexplode(sentences(F.col("line"))).alias("_s", "sentence"))
+    rows = lines.join(located, ["doc_id", "at"]).select("doc_id", "at", "source_article", "source_paragraph", F.posexplode_outer(sentences(F.col("line"))).alias("_s", "sentence")).where("sentence is not null")
     modal = F.regexp_extract_all("sentence", F.lit(_MODALS + r"([^;.]*)"), F.lit(1))
     phrase = F.regexp_extract_all("sentence", F.lit(_MODALS + r"([^;.]*)"), F.lit(2))
-    rows = rows.withColumn("_m", F.explode(F.arrays_zip(modal.alias("m"), phrase.alias("p"))))
+    rows = rows.withColumn("_m", F.explode_outer(F.arrays_zip(modal.alias("m"), phrase.alias("p")))).where("_m.m is not null")
     markers = "|".join(CONDITION_MARKERS)
     conditions = F.transform(F.regexp_extract_all("sentence", F.lit(rf"(?i)\b(?:{markers})\b[^,;.]*"), F.lit(0)), trim_all)
     phrase = F.regexp_replace(F.regexp_replace(F.col("_m.p"), rf"(?i),?\s*\b(?:{markers})\b.*$", ""), r"\s*,.*$", "")
@@ -119,6 +119,6 @@ def task_candidates(docs: DataFrame) -> DataFrame:
     own = F.transform(F.split("_p", r"\s+and\s+(?=[a-z]+\s+(?:the|a|an|its|their|to)\b)"), lambda p: entry(rules.clean_label(p), F.col("deontic_modality"), none))
     passed = lambda extra: F.concat(F.array(entry(rules.clean_label(F.col("_p")), F.col("deontic_modality"), none)), F.filter(F.array(entry(handed, F.lit("shall"), extra)), lambda x: x["label"] != ""))
     every = F.when(verb.isin(DELEGATING_VERBS), passed(none)).when(verb.isin(REQUESTING_VERBS), passed(F.array(F.lit("if requested")))).otherwise(own)
-    out = rows.select("doc_id", "at", "_s", "source_article", "source_paragraph", "sentence", F.posexplode(every).alias("_n", "x")).where("x.label <> ''")
+    out = rows.select("doc_id", "at", "_s", "source_article", "source_paragraph", "sentence", F.posexplode_outer(every).alias("_n", "x")).where("x.label <> ''")
     n = (F.row_number().over(Window.partitionBy("doc_id").orderBy("at", "_s", "_n", "x.label")) - 1).alias("n")
     return out.select("doc_id", "at", n, "x.label", rules.deontic_type(F.col("x.modality")).alias("deontic_type"), F.col("x.modality").alias("deontic_modality"), "x.conditions", "source_article", "source_paragraph", "sentence")
