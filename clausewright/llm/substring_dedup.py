@@ -1,21 +1,25 @@
 """Substring dedup: every word that lies in a repeated run of ``width`` words goes.
 
-The de Bruijn graph of the corpus has the windows of ``width`` tokens as edges.  A repeated edge is a window
-whose words start in two places.  The steps:
+The de Bruijn graph of the corpus has the windows of ``width`` tokens as edges and the ``width - 1`` tokens that two
+windows share as nodes.  A repeated edge is a window whose words start in two places.  The steps:
 
 1. Scan: consecutive windows that share their least 12-word hash (their minimiser) form one path.  Equal
-   windows have equal minimisers, so a path goes, as one packed entry with its source coordinates (row key,
+   windows have equal minimisers, so a path goes, as one packed entry with its source coordinates (row keys,
    first word, windows), to the bucket of its minimiser.  Windows that repeat inside the piece of text
    at hand are known to be repeated and go only once, without coordinates: a passage that a third of all
    rows share reaches a bucket once a piece, not once a row.
-2. Buckets: edges that occur again are found; maximal nonbranching runs of repeated edges on one path compact
-   to one span.
-3. A Spark join on the row key brings the spans of a row together; overlapping and adjacent spans close up
-   into the long repeated spans, in source coordinates, and the words they cover are taken out of the text.
-
-Windows are compared by 64-bit hashes inside a bucket.  Defined results: null and empty texts have no words;
-texts shorter than a window lose nothing; repeated rows lose what they share with each other; only doc_id and
-text are read (with ``keep_columns`` the other columns of the row pass through untouched).
+2. Buckets: edges that occur again are found; runs of repeated edges on one path compact to one span.  A bucket
+   is worked off in parts of bounded size: between parts only its distinct edges are kept, each with the
+   coordinates of its first occurrence or the note that it is repeated, so copies take no memory.
+3. The spans of a row are grouped (equal rows give equal spans, which count once), and a Spark join on the row's
+   keys brings them to the text; overlapping and adjacent spans close up into the long repeated passages, in
+   source coordinates, across the buckets that their paths went to, and the words they cover are taken out.
+
+An edge is known by two 64-bit hashes, that of its window and that of its minimiser, a row by a 64-bit and a 32-bit
+hash of its doc_id and text; the words themselves are not compared again (README).  Defined results: null and empty
+texts have no words; texts shorter than a window lose nothing; repeated rows lose what they share with each other;
+very long texts are one piece of the scan; only doc_id and text are read (with ``keep_columns`` the other columns of
+the row pass through untouched, whatever they are called).
 """
 
 from __future__ import annotations
@@ -34,7 +38,11 @@ from .storage import map_arrow
 MINIMISER = 12
 #: Bytes of text whose windows are looked at together, and buckets a shuffle partition.
 _SCAN, _BUCKETS = 2 << 20, 4
-_ROWS = "bucket int, keys binary, starts binary, counts binary, hashes binary"
+#: Windows of a bucket that are looked at together.
+_PART = 1 << 22
+_ROWS = "bucket int, keys binary, marks binary, starts binary, counts binary, minimisers binary, hashes binary"
+_FIELDS = ["bucket", "keys", "marks", "starts", "counts", "minimisers", "hashes"]
+_TYPES = ("<i8", "<i4", "<i4", "<i4", "<u8", "<u8")
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -49,12 +57,12 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
 def _scan(width: int, buckets: int):
     k = min(MINIMISER, width)
 
-    def row(bucket, keys, starts, counts, hashes):
-        return (bucket, keys.tobytes(), starts.astype("<i4").tobytes(), counts.astype("<i4").tobytes(), hashes.tobytes())
+    def row(bucket, *columns):
+        return (bucket, *(c.astype(t).tobytes() for c, t in zip(columns, _TYPES)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column("_key").to_numpy()
+            keys, marks = batch.column("_key").to_numpy(), batch.column("_mark").to_numpy()
             for low, high, data, offsets in ta.pieces(batch.column("text"), _SCAN):
                 starts, ends, cuts = ta.word_spans(data, offsets)
                 words = ta.span_hashes(data, starts, ends)
@@ -83,7 +91,7 @@ def _scan(width: int, buckets: int):
                     cut = np.concatenate([[True], (np.diff(at[known]) != 1) | (np.diff(doc[known]) != 0)])
                     heads = known[cut]
                     counts = np.diff(np.concatenate([np.flatnonzero(cut), [len(known)]]))
-                    out.append(row(-1 - int(hashes[0] % np.uint64(1 << 30)), keys[low + doc[heads]], at[heads] - cuts[doc[heads]], counts, hashes[:0]))
+                    out.append(row(-1 - int(hashes[0] % np.uint64(1 << 30)), keys[low + doc[heads]], marks[low + doc[heads]], at[heads] - cuts[doc[heads]], counts, hashes[:0], hashes[:0]))
                 # paths: runs of windows of one minimiser, either alone here or met again here
                 sent = np.flatnonzero(first)
                 mine, which = least[sent], single[sent]
@@ -93,94 +101,132 @@ def _scan(width: int, buckets: int):
                 bucket = ((ta.mix(mine[heads]) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 heads, counts, bucket = heads[order], counts[order], bucket[order]
-                path_keys = keys[low + doc[sent[heads]]]
+                path_keys, path_marks = keys[low + doc[sent[heads]]], marks[low + doc[sent[heads]]]
+                path_least = mine[heads]
                 path_starts = np.where(which[heads], at[sent[heads]] - cuts[doc[sent[heads]]], -1)
                 every = hashes[sent[ta.ranges(heads, counts)]]
                 edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
                 ends_of = np.concatenate([[0], np.cumsum(counts)])
                 for a, b in zip(edges[:-1], edges[1:]):
-                    out.append(row(int(bucket[a]), path_keys[a:b], path_starts[a:b], counts[a:b], every[ends_of[a] : ends_of[b]]))
+                    out.append(row(int(bucket[a]), path_keys[a:b], path_marks[a:b], path_starts[a:b], counts[a:b], path_least[a:b], every[ends_of[a] : ends_of[b]]))
                 for a in range(0, len(out), 256):
                     cols = list(zip(*out[a : a + 256]))
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], ["bucket", "keys", "starts", "counts", "hashes"])
+                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], _FIELDS)
 
     return run
 
 
-def _compact(width: int):
-    """Buckets to spans (row key, first word, end word) of repeated windows."""
+class Bucket:
+    """The paths of a bucket that still matter: keys, marks, starts, counts, minimisers of paths, hashes of windows."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.windows = self.kept = 0
+
+    def add(self, columns: list[bytes]) -> None:
+        self.parts.append(tuple(np.frombuffer(c, t) for c, t in zip(columns, _TYPES)))
+        self.windows += len(self.parts[-1][-1])
 
-    def spans(keys, starts, counts) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(starts.astype(np.int32)), pa.array((starts + counts + width - 1).astype(np.int32))], ["_key", "low", "high"])
+    def full(self) -> bool:
+        return self.windows > _PART + 2 * self.kept
 
-    def close(rows: list) -> Iterator[pa.RecordBatch]:
-        keys, starts, counts, hashes = (np.concatenate([np.frombuffer(r[i], t) for r in rows]) for i, t in enumerate(("<i8", "<i4", "<i4", "<u8")))
+    def work_off(self) -> tuple[np.ndarray, ...] | None:
+        """Spans (keys, marks, first words, windows) of edges found again; what is kept is each distinct edge once."""
+        keys, marks, starts, counts, least, hashes = (np.concatenate(c) for c in zip(*self.parts))
         starts, counts = starts.astype(np.int64), counts.astype(np.int64)
         path = np.repeat(np.arange(len(keys)), counts)
         order = np.argsort(hashes, kind="stable")
-        ranked = hashes[order]
+        ranked, of = hashes[order], least[path]
         same = ranked[1:] == ranked[:-1]
+        if (same & (of[order[1:]] != of[order[:-1]])).any():  # equal window hashes with other minimisers are other edges
+            order = np.lexsort((of, hashes))
+            ranked = hashes[order]
+            same = (ranked[1:] == ranked[:-1]) & (of[order[1:]] == of[order[:-1]])
         again = np.zeros(len(hashes), bool)
         again[order] = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-        again &= starts[path] >= 0
-        at = np.flatnonzero(again)
+        begun = np.cumsum(counts) - counts
+        where = starts[path] + np.arange(len(hashes)) - begun[path]
+        known = starts[path] < 0
+        # what later parts need: one of each edge, with coordinates as long as it is alone
+        first = order[np.concatenate([[True], ~same])] if len(order) else order
+        known_edge = np.logical_or.reduceat(known[order], np.flatnonzero(np.concatenate([[True], ~same]))) if len(order) else known
+        gone = again[first] | known_edge
+        self.parts = [(keys[path[first]], marks[path[first]], np.where(gone, -1, where[first]).astype("<i4"), np.ones(len(first), "<i4"), of[first], hashes[first])]
+        self.windows = self.kept = len(first)
+        at = np.flatnonzero(again & ~known)
         if not len(at):
-            return
+            return None
         cut = np.concatenate([[True], (np.diff(at) != 1) | (np.diff(path[at]) != 0)])
         heads = at[cut]
         lengths = np.diff(np.concatenate([np.flatnonzero(cut), [len(at)]]))
-        begun = np.cumsum(counts) - counts
-        yield spans(keys[path[heads]], starts[path[heads]] + heads - begun[path[heads]], lengths)
+        return keys[path[heads]], marks[path[heads]], where[heads], lengths
+
+
+def _compact(width: int):
+    """Buckets to spans (row keys, first word, end word) of repeated windows."""
+
+    def spans(keys, marks, starts, counts) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(marks), pa.array(starts.astype(np.int32)), pa.array((starts + counts + width - 1).astype(np.int32))], ["_key", "_mark", "low", "high"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, held = None, []
+        number, held = None, Bucket()
         for batch in batches:
-            for b, *rest in zip(*(batch.column(c).to_pylist() for c in ("bucket", "keys", "starts", "counts", "hashes"))):
+            for b, *columns in zip(*(batch.column(c).to_pylist() for c in _FIELDS)):
                 if b < 0:
-                    yield spans(np.frombuffer(rest[0], "<i8"), np.frombuffer(rest[1], "<i4").astype(np.int64), np.frombuffer(rest[2], "<i4").astype(np.int64))
+                    keys, marks, starts, counts = (np.frombuffer(c, t) for c, t in zip(columns[:4], _TYPES))
+                    yield spans(keys, marks, starts.astype(np.int64), counts.astype(np.int64))
                     continue
-                if b != bucket and held:
-                    yield from close(held)
-                    held = []
-                bucket = b
-                held.append(rest)
-        if held:
-            yield from close(held)
+                if b != number:
+                    found = held.work_off() if held.parts else None
+                    if found:
+                        yield spans(*found)
+                    number, held = b, Bucket()
+                held.add(columns)
+                if held.full():
+                    found = held.work_off()
+                    if found:
+                        yield spans(*found)
+        found = held.work_off() if held.parts else None
+        if found:
+            yield spans(*found)
 
     return run
 
 
 def repeated_spans(docs: DataFrame, width: int) -> DataFrame:
-    """(_key, low, high): word ranges that repeated windows cover.  ``docs`` has _key and text."""
+    """(_key, _mark, low, high): word ranges that repeated windows cover.  ``docs`` has _key, _mark and text."""
     buckets = _BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    paths = map_arrow(docs.select("_key", "text"), _scan(width, buckets), _ROWS)
-    return map_arrow(paths.repartition("bucket").sortWithinPartitions("bucket"), _compact(width), "_key long, low int, high int")
+    paths = map_arrow(docs.select("_key", "_mark", "text"), _scan(width, buckets), _ROWS)
+    return map_arrow(paths.repartition("bucket").sortWithinPartitions("bucket"), _compact(width), "_key long, _mark int, low int, high int")
 
 
 def remove_repeated(docs: DataFrame, width: int = 35, keep_columns: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256; with ``keep_columns`` the columns of ``docs`` with the text
-    cut (one space between kept words; a text that loses nothing stays as it is), n_chars kept in step,
-    and n_words, n_removed beside them."""
+    cut (one space between kept words; a text that loses nothing stays as it is) and n_chars kept in step."""
     doc_id = F.col("doc_id").cast("long")
-    keyed = docs.withColumn("_key", F.xxhash64(doc_id, "text"))
-    spans = repeated_spans(keyed, width).groupBy("_key").agg(F.collect_list("low").alias("_low"), F.collect_list("high").alias("_high"))
-    rows = keyed if keep_columns else keyed.select("_key", doc_id.alias("doc_id"), "text")
-    joined = rows.join(spans.hint("shuffle_hash"), "_key", "left").drop("_key")
+    # the input's columns travel as one struct, so that no name of theirs can clash with ours
+    row = F.struct(*[F.col(f"`{f.name}`") for f in docs.schema]) if keep_columns else F.struct(doc_id.alias("doc_id"), "text")
+    keyed = docs.select(F.xxhash64(doc_id, "text").alias("_key"), F.hash(doc_id, "text").alias("_mark"), row.alias("row"))
+    found = repeated_spans(keyed.select("_key", "_mark", F.col("row.text").alias("text")), width)
+    # spans of equal rows are equal and count once; (low, high) packed in one number
+    packed = F.shiftleft(F.col("low").cast("long"), 32) + F.col("high")
+    spans = found.groupBy("_key", "_mark").agg(F.collect_set(packed).alias("_spans"))
+    joined = keyed.join(spans.hint("shuffle_hash"), ["_key", "_mark"], "left").select("row", "_spans")
     kept_schema = docs.schema if keep_columns else None
     texts_at = [f.name for f in docs.schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lows, highs = batch.column("_low").to_pylist(), batch.column("_high").to_pylist()
+            field = batch.column("row").field
             total, gone, digests, texts = [], [], [], []
-            for text, low, high in zip(batch.column("text"), lows, highs):
+            for text, pairs in zip(field("text"), batch.column("_spans").to_pylist()):
                 raw = text.as_buffer().to_pybytes() if text.is_valid else b""
                 words = raw.split()
                 removed = 0
-                if low:
-                    mark = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(mark, np.array(low), 1)
-                    np.add.at(mark, np.array(high), -1)
+                if pairs:
+                    mark, ends = np.zeros(len(words) + 1, np.int64), np.array(pairs, np.int64)
+                    np.add.at(mark, ends >> 32, 1)
+                    np.add.at(mark, ends & 0xFFFFFFFF, -1)
                     stay = np.cumsum(mark)[:-1] == 0
                     removed = int(len(words) - stay.sum())
                     words_left = [w for w, s in zip(words, stay.tolist()) if s]
@@ -195,13 +241,13 @@ def remove_repeated(docs: DataFrame, width: int = 35, keep_columns: bool = False
                     digests.append(hashlib.sha256(joined_words).hexdigest())
             n_words, n_removed = pa.array(total, pa.int64()), pa.array(gone, pa.int64())
             if not keep_columns:
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n_words, n_removed, pa.array(digests)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+                yield pa.RecordBatch.from_arrays([field("doc_id"), n_words, n_removed, pa.array(digests)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
                 continue
-            cols = {c: batch.column(c) for c in texts_at}
+            cols = {c: field(c) for c in texts_at}
             changed = pa.array(texts, pa.string())
             cols["text"] = changed
             if "n_chars" in cols:
-                cols["n_chars"] = pa.array([len(t) if t is not None else n for t, n in zip(texts, batch.column("n_chars").to_pylist())], batch.column("n_chars").type)
+                cols["n_chars"] = pa.array([len(t) if t is not None else n for t, n in zip(texts, field("n_chars").to_pylist())], field("n_chars").type)
             yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
     if keep_columns:
