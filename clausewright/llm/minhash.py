@@ -3,8 +3,8 @@
 1. A scan gives each document its number of distinct shingles, a hash of the set and a MinHash signature.
    Equal sets collapse to one node, so copies of any number cost one posting list entry.
 2. Nodes are posted under (coordinate, value).  Two sets as similar as asked for agree in at least
-   ``matches`` of the K coordinates (six standard deviations below the expectation at the threshold, so a
-   link is missed with a chance of about 1e-9).  Prefix: then they share one of the K - matches + 1 rarest
+   ``matches`` of the K coordinates (six standard deviations below the expectation at the threshold; a link
+   right at the threshold is missed with a chance of 3.5e-8 at 85 % and 1.9e-8 at 80 %, the binomial tail).  Prefix: then they share one of the K - matches + 1 rarest
    coordinate values of each, so only those are posted, and values that a node shares with nobody use up
    the prefix without a posting.  Skip: in a list, members already connected are not counted again.
    Collisions are counted on the signatures; pairs at or above ``matches`` connect.
@@ -15,8 +15,9 @@
 
 Result: one row a document with its component; no pair list.  Defined results: null and empty texts, and texts
 without a word, have no shingles and link with nothing; texts of fewer words than a shingle are one shingle;
-null doc_ids take part, and a component's id is its least non-null doc_id; rows repeated whole are copies of
-each other.  Only doc_id and text are read.
+null doc_ids take part, and a component's id is its least non-null doc_id (null if it has none); rows repeated
+whole are copies of each other.  Texts are read whole, however long.  Only doc_id and text are read, other columns
+pass through whatever they are called.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
@@ -39,6 +40,8 @@ LIST_BLOCK, CLUSTER_BLOCK = 20_000, 4_000
 _rng = np.random.default_rng(64)
 _FACTORS = _rng.integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFTS = _rng.integers(1, 2**63, COORDINATES, dtype=np.uint64)
+#: Names that no input column is likely to bear.
+_KEY, _PLACE = "__near_row_key", "__near_row_place"
 _SETS = "doc_id long, row_key long, n_shingles long, node long, signature binary"
 
 
@@ -240,6 +243,11 @@ def _dealt(rows: DataFrame, key: str, size: str, block: int, out: str) -> DataFr
 
 def near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """doc_id, row_key, n_shingles, component_id, kept for each row of ``docs``; row_key is xxhash64(doc_id, text)."""
+    return _with_components(docs, width, percent).drop("component")
+
+
+def _with_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """``near_duplicates`` with component (a hash of a member, null without a shingle)."""
     doc_id = F.col("doc_id").cast("long")
     keyed = docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, "text").alias("row_key"), "text")
     sets = settle(map_arrow(keyed, _scan(width), _SETS), "sets")
@@ -273,7 +281,7 @@ def near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
     placed = sets.join(labels.withColumnRenamed("label", "_label"), "node", "left").withColumn("component", F.coalesce("_label", "node"))
     least = placed.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     out = placed.join(least, "component", "left").withColumn("component_id", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.select("doc_id", "row_key", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select("doc_id", "row_key", "n_shingles", "component", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def _repeated(sets: DataFrame) -> bool:
@@ -290,9 +298,15 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` of which one a component stays (that with the least doc_id), columns unchanged."""
-    found = settle(near_duplicates(docs, width, percent), "near")
-    keep = found.where("kept").select("row_key").distinct()
-    doc_id = F.col("doc_id").cast("long")
-    rows = docs.withColumn("_row", F.xxhash64(doc_id, "text")).join(keep.withColumnRenamed("row_key", "_row").hint("shuffle_hash"), "_row", "left_semi").drop("_row")
-    return rows.dropDuplicates(["doc_id", "text"]) if _repeated(found) else rows
+    """The rows of ``docs`` of which one a component stays, columns unchanged: that with the least doc_id (null last), of
+    several the one with the least hash of doc_id and text, and of rows equal in both the least by all columns."""
+    found = settle(_with_components(docs, width, percent), "near")
+    # without a shingle a row is a component of its own
+    alone = found.where("n_shingles = 0").select("row_key")
+    best = found.where("n_shingles > 0").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row_key")).alias("b")).select(F.col("b.row_key").alias("row_key"))
+    keep = alone.union(best).distinct().withColumnRenamed("row_key", _KEY)
+    rows = docs.withColumn(_KEY, F.xxhash64(F.col("doc_id").cast("long"), "text")).join(keep.hint("shuffle_hash"), _KEY, "left_semi")
+    if _repeated(found):
+        first = Window.partitionBy(_KEY).orderBy(F.to_json(F.struct(*[F.col(f"`{f.name}`") for f in docs.schema])))
+        rows = rows.withColumn(_PLACE, F.row_number().over(first)).where(F.col(_PLACE) == 1).drop(_PLACE)
+    return rows.drop(_KEY)
