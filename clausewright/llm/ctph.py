@@ -180,7 +180,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     found = settle(map_arrow(dealt, run, f"{_FOUND}, side string, part int, text string"), "fingerprints")
     parts = sorted(r["part"] for r in found.where("side = 'first'").select("part").collect())  # one number a range
     order = spark.createDataFrame(list(zip(parts, parts[1:] + parts[:1])), "part int, then int")
-    firsts = found.where("side = 'first'").select(F.col("part").alias("then"), F.col("text").alias("following"), F.col("fingerprint").alias("theirs"))
+    firsts = found.where("side = 'first'").select(F.col("part").alias("then"), F.col("text").alias("following"), F.col("fingerprint").alias("theirs")).hint("shuffle_hash")
     met = found.where("side = 'last'").select("part", "doc_id", "text", "fingerprint").join(order, "part").join(firsts, "then")
 
     def seams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,11 +12,16 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Scratch paths of this process, for ``swept``.
+made: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The qualified URI of the shared scratch folder of this session."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -33,7 +38,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return made[-1]
+
+
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes at the end every scratch path made inside, but for those that are put into the list it gives."""
+    begun, keep = len(made), []
+    try:
+        yield keep
+    finally:
+        for path in made[begun:]:
+            if path not in keep:
+                forget(spark, path)
+        del made[begun:]
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
