@@ -1,8 +1,8 @@
 """A corpus pipeline: language ID, toxicity, near-dedup, substring dedup, packing.
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns a DataFrame; ``run``
-writes it as Parquet below the shared folder and rereads it for the next stage.  All stages but the last
-return the columns of ``documents``.
+writes it as Parquet below the shared folder and rereads it for the next stage; what only a finished stage needed is
+deleted.  All stages but the last return the columns of ``documents``.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from clausewright.llm import language_id, minhash, packing, substring_dedup, toxicity
 from clausewright.llm.queries import remainder, table, vocabulary
-from clausewright.llm.storage import settle
+from clausewright.llm.storage import forget, settle_at, swept
 
 #: A text whose best language knows less of its n-grams than this is in no learned language.
 KNOWN_SHARE = 0.25
@@ -58,7 +58,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, written = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = settle(stage(spark, docs, sf_dir), f"stage-{name}")
+        with swept(spark) as keep:
+            found = stage(spark, docs, sf_dir)
+            before, written = written, settle_at(found, f"stage-{name}")
+            keep.append(written)
+        docs = spark.read.schema(found.schema).parquet(written)
+        if before:
+            forget(spark, before)
     return docs
