@@ -42,8 +42,10 @@ def test_segments_take_linear_time():
         toxicity.maximal_segments(list(range(0, 40 * n, 40)), [1.0] * n)
         return time.perf_counter() - began
 
-    seconds(1000)
-    assert seconds(64_000) < 40 * max(seconds(4_000), 2e-3)
+    def least(n):  # one run may be held up by the machine
+        return min(seconds(n) for _ in range(5))
+
+    assert least(64_000) < 40 * max(least(4_000), 2e-3)
 
 
 def test_likeliest_k():
