@@ -24,12 +24,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textarrays as ta
-from .storage import map_arrow
+from .sampling import least_hashed
+from .storage import forget, map_arrow, settle_at
 
 SAMPLE_ROWS, SLOT_BITS, HASHES = 8_000, 20, 3
 #: Rows of each language that are drawn whatever the others have.
@@ -124,14 +125,15 @@ class Filter:
 def fit(labelled: DataFrame, sample: int = SAMPLE_ROWS, least: int = 2, dominance: float = 0.2, bits: int = SLOT_BITS, floor: int = LANGUAGE_ROWS) -> Filter | None:
     """A filter from the columns doc_id, text, lang of ``labelled``; None if nothing is labelled."""
     rows = labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    hashed = [F.xxhash64("doc_id"), F.col("doc_id")]
-    ids = rows.select("doc_id").orderBy(*hashed).limit(sample)
-    each = rows.select("doc_id", F.row_number().over(Window.partitionBy("lang").orderBy(*hashed)).alias("_n")).where(F.col("_n") <= floor)
-    ids = F.broadcast(ids.union(each.select("doc_id")).distinct())  # at most `sample` numbers, and `floor` a language
+    path = settle_at(rows.select("doc_id", "lang"), "labelled")  # texts are read once for this, not at each step
+    known = rows.sparkSession.read.schema(rows.select("doc_id", "lang").schema).parquet(path)
+    each = least_hashed(known, floor, "lang")
+    ids = F.broadcast(least_hashed(known, sample).union(each).select("doc_id").distinct())  # at most `sample` numbers, and `floor` a language
     chosen = rows.join(ids, "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("r")).select("r.*")
     counted = chosen.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()
     languages = [r["lang"] for r in counted]
     if not languages:
+        forget(rows.sparkSession, path)
         return None
     number = {name: i for i, name in enumerate(languages)}
 
@@ -169,6 +171,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE_ROWS, least: int = 2, dominanc
     filled = map_arrow(kept, fill, "word long, slot long, mask long").groupBy("word", "slot").agg(F.bit_or("mask").alias("mask"))
     planes = np.zeros((words, 1 << bits), np.uint64)
     got = filled.toPandas()  # at most one row a slot
+    forget(rows.sparkSession, path)
     planes[got["word"].to_numpy(np.int64), got["slot"].to_numpy(np.int64)] = got["mask"].to_numpy(np.int64).astype(np.uint64)
     return Filter(languages, planes, bits)
 

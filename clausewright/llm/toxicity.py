@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textarrays as ta
+from .sampling import least_hashed
 from .storage import forget, map_arrow, settle_at
 
 SAMPLE_ROWS, PREFIX_BYTES, DRIFT, LEAST_TEXTS = 20_000, 6, 0.5, 3
@@ -280,7 +281,7 @@ def _fit(chosen: DataFrame) -> Model:
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, text, toxic of at most ``sample`` labelled documents (the least hashed doc_ids)."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = least_hashed(known, sample)
     met = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")  # at most `sample` pairs of numbers
     return met.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
 
