@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, ctph, language_id, minhash, packing, piece_bpe, substring_dedup, token_files, topk, toxicity
+from . import ball_kmeans, chat, ctph, filter_audit, language_id, minhash, packing, piece_bpe, secret_scan, substring_dedup, token_files, topk, toxicity
 from .storage import settle
 
 
@@ -82,6 +82,21 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeated(table(spark, sf_dir, "documents"), width=35)
 
 
+def op11_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = F.sha2(F.concat(F.lit("3:"), F.col("vec_id").cast("string")), 256)
+    return ball_kmeans.cluster(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", order, k=8, width=64, scale=1024.0, rounds=10)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+    counts = [secret_scan.count_of("found", kind).alias(f"n_{kind}") for kind in secret_scan.BASE]
+    return found.select("doc_id", *counts, F.sha2(secret_scan.shown("found", secret_scan.BASE), 256).alias("base_sha256"), secret_scan.shown("found").alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -95,9 +110,39 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_toxicity,
         op9_packing,
         op10_substring_dedup,
+        op11_ball_kmeans,
+        op12_filter_audit,
+        op13_secret_scan,
     )
 }
 
+
+
+def _kmeans_sql(rounds: int = 10) -> str:
+    """Assignments and means in turn; every step is a common table of its own."""
+    dot = lambda a, b: f"list_inner_product({a}, {b})"
+    far = f"({dot('v', 'v')} - 2 * {dot('v', 'c')} + {dot('c', 'c')})::BIGINT"
+    steps = [
+        """v AS MATERIALIZED (SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        """c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), v) - 1 AS j, v AS c FROM v
+            ORDER BY sha256('3:' || vec_id), v LIMIT 8)""",
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (SELECT r, any_value(vec_id) AS vec_id, any_value(v) AS v, min({{'d': {far}, 'j': j}}) AS best FROM v, c{i} GROUP BY r)""")
+        if i < rounds:
+            steps.append(f"""m{i + 1} AS MATERIALIZED (SELECT j, list((s - ((s % n) + n) % n) // n ORDER BY i)::DOUBLE[] AS c FROM (
+                SELECT best.j AS j, i, sum(v[i])::BIGINT AS s, count(*) AS n FROM a{i}, range(1, 65) t(i) GROUP BY best.j, i) GROUP BY j)""")
+            steps.append(f"""c{i + 1} AS MATERIALIZED (SELECT o.j, coalesce(m.c, o.c) AS c FROM c{i} o LEFT JOIN m{i + 1} m USING (j))""")
+    last = f"a{rounds}"
+    return f"""
+        WITH {", ".join(steps)}
+        SELECT vec_id, best.j::INTEGER AS cluster, best.d AS distance, (sum(best.d) OVER (PARTITION BY best.j))::BIGINT AS cluster_inertia,
+               (sum(best.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c::BIGINT[], ',')) AS centroid_sha256
+        FROM {last} JOIN c{rounds} ON c{rounds}.j = best.j
+    """
+
+
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
 ORACLES: dict[str, str] = {
@@ -144,4 +189,25 @@ ORACLES: dict[str, str] = {
         SELECT w.doc_id, len(ws)::BIGINT AS n_words, len(ws)::BIGINT - coalesce(n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
         FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id
     """,
+    "op11_ball_kmeans": _kmeans_sql(),
+    "op12_filter_audit": rf"""
+        WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+        least_ AS (SELECT t, min(doc_id) AS m FROM d GROUP BY t),
+        w AS (SELECT d.*, {_WORDS.format("d.t")} AS ws, d.doc_id > m AS e FROM d JOIN least_ USING (t)),
+        f AS (SELECT doc_id, part, [len(ws) < 50, 100 * len(list_distinct(ws)) < 65 * len(ws),
+                     100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t), regexp_matches(t, '[#$%&*|]'), coalesce(e, false)] AS fails FROM w),
+        l AS (SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels GROUP BY doc_id),
+        c AS (SELECT part, fails, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, count(*) AS n FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+        x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+        o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+        s AS (SELECT filter_order, step, ascii(filter_order[step]) - 64 AS k,
+                     list_transform(range(1, step), lambda i: ascii(filter_order[i]) - 64) AS before FROM o, range(1, 6) r(step)),
+        y AS (SELECT part, filter_order, step, k, n, good, toxic, fails[k] AS bad,
+                     len(list_filter(before, lambda b: fails[b])) > 0 AS gone, len(list_filter(fails, lambda b: b)) = 1 AS single FROM c, s),
+        z AS (SELECT part, filter_order, step, k, coalesce(sum(n) FILTER (NOT gone AND NOT bad), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (NOT gone AND bad), 0)::BIGINT AS removed,
+                     coalesce(sum(n) FILTER (gone AND bad), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (bad AND single), 0)::BIGINT AS unique_fails,
+                     coalesce(sum(n) FILTER (NOT gone AND bad AND good), 0)::BIGINT AS good_lost, coalesce(sum(n) FILTER (NOT gone AND bad AND toxic), 0)::BIGINT AS toxic_lost
+              FROM y GROUP BY part, filter_order, step, k)
+        SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, k))::BIGINT AS shapley FROM z
+    """,
 }

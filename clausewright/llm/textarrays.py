@@ -70,19 +70,23 @@ def pieces(col: pa.Array, limit: int = PIECE) -> Iterator[tuple[int, int, np.nda
         low = high
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends (byte positions) of the words ``[^\\x20\\x09-\\x0D]+``, and each text's range of words."""
-    solid = ~_SPACE[data]
+def runs(solid: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends (byte positions) of the runs of true bytes; no run goes over from one text into the next."""
     first, last = solid.copy(), solid.copy()
-    if len(data):
+    if len(solid):
         first[1:] &= ~solid[:-1]
         last[:-1] &= ~solid[1:]
         edges = offsets[1:-1]
-        at = edges[edges < len(data)]
+        at = edges[edges < len(solid)]
         first[at] = solid[at]
         before = edges[edges > 0] - 1
         last[before] = solid[before]
-    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends (byte positions) of the words ``[^\\x20\\x09-\\x0D]+``, and each text's range of words."""
+    starts, ends = runs(~_SPACE[data], offsets)
     return starts, ends, np.searchsorted(starts, offsets)
 
 
