@@ -1,7 +1,7 @@
 """Near-duplicate documents by a signature-coordinate inverted join, confirmed on full sets.
 
-1. A scan gives each document its number of distinct shingles, a hash of the set and a MinHash signature.
-   Equal sets collapse to one node, so copies of any number cost one posting list entry.
+1. A scan gives each document its number of distinct shingles, two hashes of the set and a MinHash signature.
+   Sets equal in both (128 bits) collapse to one node, so copies of any number cost one posting list entry.
 2. Nodes are posted under (coordinate, value).  Two sets as similar as asked for agree in at least
    ``matches`` of the K coordinates (six standard deviations below the expectation at the threshold; a link
    right at the threshold is missed with a chance of 3.5e-8 at 85 % and 1.9e-8 at 80 %, the binomial tail).  Prefix: then they share one of the K - matches + 1 rarest
@@ -10,8 +10,8 @@
    Collisions are counted on the signatures; pairs at or above ``matches`` connect.
 3. Connected candidates form clusters.  A cluster's texts meet once more, and links are confirmed exactly on
    full sets of shingle hashes.  Breadth-first search from each document over those not yet reached finds
-   the components without visiting pairs inside one.  Lists and clusters of more members than a task should
-   hold are dealt into blocks, and each pair of blocks is a task: exact, and bounded.
+   the components without visiting pairs inside one.  Lists of more members, and clusters of more members or
+   shingles, than a task should hold are dealt into blocks, and each pair of blocks is a task: exact, and bounded.
 
 Result: one row a document with its component; no pair list.  Defined results: null and empty texts, and texts
 without a word, have no shingles and link with nothing; texts of fewer words than a shingle are one shingle;
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
@@ -35,14 +35,16 @@ from .components import components
 from .storage import map_arrow, settle
 
 COORDINATES = 64
-#: Members of a posting list, or documents of a cluster, that one task takes together.
-LIST_BLOCK, CLUSTER_BLOCK = 20_000, 4_000
+#: Members of a posting list, documents of a cluster and their shingles, that one task takes together (of two blocks each).
+LIST_BLOCK, CLUSTER_BLOCK, SHINGLE_BLOCK = 20_000, 4_000, 4_000_000
 _rng = np.random.default_rng(64)
 _FACTORS = _rng.integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFTS = _rng.integers(1, 2**63, COORDINATES, dtype=np.uint64)
 #: Names that no input column is likely to bear.
-_KEY, _PLACE = "__near_row_key", "__near_row_place"
-_SETS = "doc_id long, row_key long, n_shingles long, node long, signature binary"
+_KEY, _MARK, _PLACE = "__near_row_key", "__near_row_mark", "__near_row_place"
+#: A row and a set are known by two 64-bit hashes each.
+_ROW, _SET = ["row_key", "row_mark"], ["set_key", "set_mark"]
+_SETS = "doc_id long, row_key long, row_mark long, n_shingles long, set_key long, set_mark long, signature binary"
 
 
 def least_matches(percent: int) -> int:
@@ -81,6 +83,14 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def set_hashes(members: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit hashes of a set, the second from other hashes of its members."""
+    other = ta.mix(members ^ _SHIFTS[0])
+    pairs = [members.sum(dtype=np.uint64), np.bitwise_xor.reduce(ta.mix(members)), len(members)], [other.sum(dtype=np.uint64), np.bitwise_xor.reduce(ta.mix(other)), len(members)]
+    key, mark = (int(ta.windows(np.array(p, np.uint64), 3)[0].astype(np.int64)) for p in pairs)
+    return key, mark
+
+
 def _scan(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,17 +98,14 @@ def _scan(width: int):
                 n = np.array([len(s) for s in sets], np.int64)
                 full = np.flatnonzero(n)
                 signs: list[bytes | None] = [None] * len(sets)
-                nodes: list[int | None] = [None] * len(sets)
+                keys, marks = ([None] * len(sets) for _ in _SET)
                 if len(full):
                     for i, s in zip(full.tolist(), signatures([sets[i] for i in full])):
                         signs[i] = s.tobytes()
-                        total = np.array([sets[i].sum(dtype=np.uint64), np.bitwise_xor.reduce(ta.mix(sets[i])), len(sets[i])], np.uint64)
-                        nodes[i] = int(ta.windows(total, 3)[0].astype(np.int64))
+                        keys[i], marks[i] = set_hashes(sets[i])
                 span = slice(low, low + len(sets))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id")[span], batch.column("row_key")[span], pa.array(n), pa.array(nodes, pa.int64()), pa.array(signs, pa.binary())],
-                    ["doc_id", "row_key", "n_shingles", "node", "signature"],
-                )
+                rows = [batch.column(c)[span] for c in ("doc_id", *_ROW)]
+                yield pa.RecordBatch.from_arrays([*rows, pa.array(n), pa.array(keys, pa.int64()), pa.array(marks, pa.int64()), pa.array(signs, pa.binary())], ["doc_id", *_ROW, "n_shingles", *_SET, "signature"])
 
     return run
 
@@ -231,9 +238,8 @@ def _confirm(width: int, percent: int):
     return run
 
 
-def _dealt(rows: DataFrame, key: str, size: str, block: int, out: str) -> DataFrame:
-    """Each row with the cells of its group: one, or, of a group over ``block`` members, one for each other block."""
-    parts = F.ceil(F.col(size) / F.lit(block)).cast("int")
+def _dealt(rows: DataFrame, key: str, parts: Column, out: str) -> DataFrame:
+    """Each row with the cells of its group: one, or, of a group of several ``parts``, one for each of them."""
     mine = F.pmod(F.xxhash64("node"), parts).cast("int")
     cells = F.when(parts <= 1, F.array(F.xxhash64(key))).otherwise(
         F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.xxhash64(F.col(key), F.least(mine, j), F.greatest(mine, j)))
@@ -241,19 +247,27 @@ def _dealt(rows: DataFrame, key: str, size: str, block: int, out: str) -> DataFr
     return rows.withColumn(out, F.explode(cells))
 
 
+def _blocks(size: str, block: int) -> Column:
+    return F.ceil(F.col(size) / F.lit(block)).cast("int")
+
+
+def _keys(doc_id: Column) -> list[Column]:
+    """Two hashes of a row, its columns hashed in either order."""
+    return [F.xxhash64(doc_id, "text").alias("row_key"), F.xxhash64("text", doc_id).alias("row_mark")]
+
+
 def near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, row_key, n_shingles, component_id, kept for each row of ``docs``; row_key is xxhash64(doc_id, text)."""
+    """doc_id, row_key, row_mark, n_shingles, component_id, kept for each row of ``docs``; the two hashes name its doc_id and text."""
     return _with_components(docs, width, percent).drop("component")
 
 
 def _with_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """``near_duplicates`` with component (a hash of a member, null without a shingle)."""
+    """``near_duplicates`` with component (a number, null without a shingle)."""
     doc_id = F.col("doc_id").cast("long")
-    keyed = docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, "text").alias("row_key"), "text")
+    keyed = docs.select(doc_id.alias("doc_id"), *_keys(doc_id), "text")
     sets = settle(map_arrow(keyed, _scan(width), _SETS), "sets")
-    nodes = settle(
-        sets.where("n_shingles > 0").groupBy("node").agg(F.min("row_key").alias("row_key"), F.min("signature").alias("signature")), "nodes"
-    )
+    whole = sets.where("n_shingles > 0").groupBy(*_SET).agg(F.min(F.struct(*_ROW)).alias("row"), F.min("signature").alias("signature"), F.min("n_shingles").alias("n_shingles"))
+    nodes = settle(whole.select(F.monotonically_increasing_id().alias("node"), *_SET, "row.*", "signature", "n_shingles"), "nodes")
     matches = least_matches(percent)
     prefix = COORDINATES - matches + 1
 
@@ -265,28 +279,32 @@ def _with_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     posted = shared.where(room > 0).select("node", F.explode(F.slice("lists", F.lit(1), room)).alias("p")).select("node", F.col("p.token").alias("token"))
     posted = settle(posted, "postings")
     sizes = posted.groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
-    lists = _dealt(posted.join(sizes, "token"), "token", "size", LIST_BLOCK, "list").select("list", "node")
+    lists = _dealt(posted.join(sizes, "token"), "token", _blocks("size", LIST_BLOCK), "list").select("list", "node")
     lists = lists.join(nodes.select("node", "signature"), "node")
     near = map_arrow(lists.repartition("list").sortWithinPartitions("list"), _collisions(matches), "a long, b long")
     clusters = settle(components(near), "clusters")
 
     # the texts of each cluster meet, one document a node
-    members = clusters.groupBy("label").agg(F.count("*").alias("size"))
-    chosen = _dealt(clusters.join(members, "label"), "label", "size", CLUSTER_BLOCK, "cell").join(nodes.select("node", "row_key"), "node").select("row_key", "node", "cell")
-    once = keyed.select("row_key", "text").join(chosen, "row_key").dropDuplicates(["cell", "node"]) if _repeated(sets) else keyed.select("row_key", "text").join(chosen.hint("shuffle_hash"), "row_key")
+    sized = clusters.join(nodes.select("node", *_ROW, "n_shingles"), "node")
+    members = sized.groupBy("label").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("shingles"))
+    parts = F.greatest(_blocks("size", CLUSTER_BLOCK), _blocks("shingles", SHINGLE_BLOCK))
+    chosen = _dealt(sized.join(members, "label"), "label", parts, "cell").select(*_ROW, "node", "cell")
+    texts = keyed.select(*_ROW, "text")
+    once = texts.join(chosen, _ROW).dropDuplicates(["cell", "node"]) if _repeated(sets) else texts.join(chosen.hint("shuffle_hash"), _ROW)
     links = settle(map_arrow(once.repartition("cell").sortWithinPartitions("cell", "node"), _confirm(width, percent), "a long, b long"), "links")
     # a cell gives trees whose edges point to smaller nodes; they still want flattening
     labels = components(links)
 
-    placed = sets.join(labels.withColumnRenamed("label", "_label"), "node", "left").withColumn("component", F.coalesce("_label", "node"))
+    named = nodes.join(labels, "node", "left").select(*_SET, F.coalesce("label", "node").alias("component"))
+    placed = sets.join(named, _SET, "left")
     least = placed.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     out = placed.join(least, "component", "left").withColumn("component_id", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.select("doc_id", "row_key", "n_shingles", "component", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select("doc_id", *_ROW, "n_shingles", "component", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def _repeated(sets: DataFrame) -> bool:
     """Whether a row occurs twice as a whole (then one of the two must be chosen)."""
-    return not sets.groupBy("row_key").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    return not sets.groupBy(*_ROW).agg(F.count("*").alias("n")).where("n > 1").isEmpty()
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,11 +320,12 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) ->
     several the one with the least hash of doc_id and text, and of rows equal in both the least by all columns."""
     found = settle(_with_components(docs, width, percent), "near")
     # without a shingle a row is a component of its own
-    alone = found.where("n_shingles = 0").select("row_key")
-    best = found.where("n_shingles > 0").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row_key")).alias("b")).select(F.col("b.row_key").alias("row_key"))
-    keep = alone.union(best).distinct().withColumnRenamed("row_key", _KEY)
-    rows = docs.withColumn(_KEY, F.xxhash64(F.col("doc_id").cast("long"), "text")).join(keep.hint("shuffle_hash"), _KEY, "left_semi")
+    alone = found.where("n_shingles = 0").select(*_ROW)
+    best = found.where("n_shingles > 0").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", *_ROW)).alias("b")).select("b.row_key", "b.row_mark")
+    keep = alone.union(best).distinct().toDF(_KEY, _MARK)
+    key, mark = _keys(F.col("doc_id").cast("long"))
+    rows = docs.withColumns({_KEY: key, _MARK: mark}).join(keep.hint("shuffle_hash"), [_KEY, _MARK], "left_semi")
     if _repeated(found):
-        first = Window.partitionBy(_KEY).orderBy(F.to_json(F.struct(*[F.col(f"`{f.name}`") for f in docs.schema])))
+        first = Window.partitionBy(_KEY, _MARK).orderBy(F.to_json(F.struct(*[F.col(f"`{f.name}`") for f in docs.schema])))
         rows = rows.withColumn(_PLACE, F.row_number().over(first)).where(F.col(_PLACE) == 1).drop(_PLACE)
-    return rows.drop(_KEY)
+    return rows.drop(_KEY, _MARK)

@@ -1,12 +1,15 @@
 """Texts as flat numpy arrays.
 
 Arrow hands a batch of strings over as one byte buffer with offsets.  Words, shingles and windows are
-computed on that buffer with prefix sums, so there is no Python work per word.  Hashes are 64-bit; equal
-hashes count as equal words (the chance that any two of n distinct values meet is n^2 / 2^65).
+computed on that buffer, so there is no Python work per word.  Hashes are 64-bit, put together eight bytes or two
+halves at a time by a bijective scrambling, not by a polynomial, so that no arrangement of letters or words makes
+them equal by construction; equal hashes count as equal words (the chance that any two of n distinct values meet is
+n^2 / 2^65).
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,33 +18,19 @@ import pyarrow as pa
 #: Bytes of text handled at a time inside an Arrow batch; a longer text is one piece of its own.
 PIECE = 1 << 18
 
-_BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
-_rng = np.random.default_rng(20260101)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BYTE_FOLDED = _BYTE.copy()
-_BYTE_FOLDED[65:91] = _BYTE[97:123]
+_STEP = np.uint64(0xD1342543DE82EF95)
+#: The lowest i bytes of a 64-bit value, i = 0 .. 8.
+_LOW = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+#: Bytes of a word that are hashed eight at a time; what is longer gets a BLAKE2b digest.
+_SHORT = 64
+_FOLDED = np.arange(256, dtype=np.uint8)
+_FOLDED[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_powers: dict[int, np.ndarray] = {}
 #: What a worker remembers between the tasks of one stage only; a scan of another stage starts by forgetting it.
 CACHES: list[dict] = []
 
 
-def power_table(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(n, 1 << 16)
-        steps = np.full(size, base, np.uint64)
-        steps[0] = 1
-        have = _powers[base] = np.multiply.accumulate(steps)
-    return have[:n]
-
-
-def inverse(base: int) -> int:
-    return pow(base, -1, 1 << 64)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values (splitmix64's finaliser)."""
     x = x ^ (x >> np.uint64(30))
@@ -92,19 +81,37 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False) -> np.ndarray:
     """A hash of each byte span; ``fold`` takes A-Z as a-z."""
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((_BYTE_FOLDED if fold else _BYTE)[data] * power_table(_BASE, len(data)), out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * power_table(inverse(_BASE), len(data) + 1)[starts] + (ends - starts).astype(np.uint64))
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = _FOLDED[data] if fold else data
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))  # the eight bytes from each place on
+    sizes = ends - starts
+    out = mix(eight[starts] & _LOW[np.minimum(sizes, 8)] ^ sizes.astype(np.uint64) * _STEP)
+    left = np.flatnonzero((sizes > 8) & (sizes <= _SHORT))
+    at = 8
+    while len(left):
+        rest = sizes[left] - at
+        out[left] = mix(out[left] * _STEP + (eight[starts[left] + at] & _LOW[np.minimum(rest, 8)]))
+        left, at = left[rest > 8], at + 8
+    for i in np.flatnonzero(sizes > _SHORT).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(padded[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def windows(words: np.ndarray, width: int) -> np.ndarray:
-    """A hash of each run of ``width`` consecutive values; entry i covers i .. i + width - 1."""
-    n = len(words)
-    if n < width:
+    """A hash of each run of ``width`` consecutive values; entry i covers i .. i + width - 1.  Runs of 1, 2, 4, ... values are hashed
+    from two halves, and those that add up to ``width`` are put together."""
+    n = len(words) - width + 1
+    if n <= 0:
         return np.zeros(0, np.uint64)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(words * power_table(_WORD_BASE, n), out=sums[1:])
-    return mix((sums[width:] - sums[: n - width + 1]) * power_table(inverse(_WORD_BASE), n)[: n - width + 1])
+    have, part, out, done = 1, words, None, 0
+    while True:
+        if width & have:
+            out = part[:n] if out is None else mix(out * _STEP + part[done : done + n])
+            done += have
+        if done == width:
+            return mix(out ^ np.uint64(width))
+        part = mix(part[:-have] * _STEP + part[have:])
+        have *= 2
 
 
 def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:

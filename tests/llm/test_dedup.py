@@ -111,3 +111,32 @@ def test_one_row_of_each_group_stays(spark):
     assert [r["_row"] for r in found if r.text == d] == [4] and not [r for r in found if r.text == c]
     assert len([r for r in found if r.text in (a, b)]) == 1
     assert sorted(r["_row"] for r in found if not (r.text or "").strip()) == [6, 7, 8]
+
+
+def thue_morse(n, zero="a", one="b"):
+    return [one if bin(i).count("1") % 2 else zero for i in range(n)]
+
+
+def test_words_and_passages_that_a_polynomial_takes_for_equal(spark, tmp_path):
+    """Thue-Morse words and their mirror images are equal under any polynomial modulo 2^64 with an odd base."""
+    one, other = "".join(thue_morse(1024)), "".join(thue_morse(1024, "b", "a"))
+    head = [f"w{i}" for i in range(34)]
+    texts = [one, other, " ".join([*head, one]), " ".join([*head, other]), " ".join(thue_morse(2048)), " ".join(thue_morse(2048, "b", "a"))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    removed = lambda width: {r.doc_id: r.n_removed for r in substring_dedup.remove_repeated(docs, width).collect()}
+    assert [removed(35)[i] for i in (0, 1, 2, 3)] == [0, 0, 0, 0]
+    for width in (35, 1025):
+        assert [removed(width)[i] for i in range(6)] == [n for _, n in brute_removed(texts, width)]
+    docs.where("doc_id < 4").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.component_id for r in op6_near_dedup(spark, str(tmp_path)).collect()} == {0: 0, 1: 1, 2: 2, 3: 2}
+
+
+def test_clusters_dealt_by_their_shingles(spark, tmp_path, monkeypatch):
+    """Many blocks of few shingles give the links of one."""
+    rnd = random.Random(12)
+    words = ["".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(500)]
+    base = [rnd.choice(words) for _ in range(300)]
+    rows = [(i, " ".join(base[:k] + [f"x{i}"] + base[k + 1 :])) for i, k in enumerate(rnd.sample(range(3, 297), 40))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(minhash, "SHINGLE_BLOCK", 1000)
+    assert {r.component_id for r in op6_near_dedup(spark, str(tmp_path)).collect()} == {0}
