@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import metrics, rules, similarity
-from .operators import assign, bags, entities, parsing, rollup, segment, testset, vectors
+from .operators import assign, bags, entities, parsing, references, rollup, segment, testset, vectors
 from .plans import evaluation
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -253,7 +253,8 @@ def sim7_token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.e, b.e), 6) AS score FROM (SELECT label, vec_id, embedding::DOUBLE[] AS e FROM embeddings) a
-    JOIN (SELECT label, vec_id, embedding::DOUBLE[] AS e FROM embeddings) b ON a.label = b.label AND a.vec_id < b.vec_id""")
+    JOIN (SELECT label, vec_id, embedding::DOUBLE[] AS e FROM embeddings) b ON a.label = b.label AND a.vec_id < b.vec_id
+    WHERE len(a.e) = len(b.e) AND len(list_filter(a.e || b.e, lambda x: x IS NULL OR NOT isfinite(x))) = 0""")
 def sim5_vector_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every pair of vectors with the same label."""
     return vectors.cosine_pairs(read(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding").select("a", "b", F.round("score", 6).alias("score"))
@@ -326,12 +327,14 @@ def f4_p3_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_REG + r"""SELECT doc_id, ref, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '\s+', ' ', 'g'), '(?i)(?:article|paragraph|annex) (?:\d+|[ivxlcdm]+\b)|art\. \d+')) AS ref FROM reg) GROUP BY ALL""")
 def f10_internal_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return regulations(spark, sf_dir).select("doc_id", F.explode(rules.internal_references(F.col("text"))).alias("ref")).groupBy("doc_id", "ref").agg(F.count("*").alias("n"))
+    found = references.spans(regulations(spark, sf_dir), ["doc_id"], "text").where(F.col("kind") == references.INTERNAL)
+    return found.groupBy("doc_id", F.col("said").alias("ref")).agg(F.count("*").alias("n"))
 
 
 @query(_REG + r"""SELECT doc_id, 'Regulation (EU) No 12/2020' AS ref, (len(text) - len(replace(text, 'Regulation (EU) No 12/2020', ''))) // 26 AS n FROM reg WHERE contains(text, 'Regulation (EU) No 12/2020')""")
 def f9_act_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return regulations(spark, sf_dir).select("doc_id", F.explode(rules.act_citations(F.col("text"))).alias("ref")).groupBy("doc_id", "ref").agg(F.count("*").alias("n"))
+    found = references.spans(regulations(spark, sf_dir), ["doc_id"], "text").where(F.col("kind") == references.CITATION)
+    return found.groupBy("doc_id", F.col("said").alias("ref")).agg(F.count("*").alias("n"))
 
 
 @query(_REG + r"""SELECT DISTINCT doc_id, x AS article FROM reg, (SELECT unnest(['5', '6', '8']) AS x) WHERE contains(text, 'Articles 5, 6 and 8')

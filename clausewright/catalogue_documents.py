@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalogue import _ACTOR, _MODAL, _OTHER, _PRF_SQL, _SAYS, _WHERE, query, read, regulations
+from .catalogue import _ACTOR, _MODAL, _OTHER, _PRF_SQL, _SAYS, _WHERE, query, read, regulations, similarity_sql
 from .functions import rewriting, rules
-from .operators import assembly, candidates, completion, entities, parsing, process_graph, testset
+from .operators import assembly, candidates, completion, entities, parsing, process_graph, references, testset
 from .plans import description_evaluation, organigram_evaluation, process_evaluation, reports, task_evaluation
 from .sources import documents, sinks
 
@@ -188,20 +188,30 @@ def a3_a5_j19_j21_task_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _GOLD_TEXT = "concat('The process has the following actors: Commission, importer and operator. The Commission shall file record ', o_orderkey, '. The importer may close record ', o_orderkey, '; The operator must not wait. If late, all stop.')"
-_FOUND_TEXT = """CASE o_orderkey % 3 WHEN 0 THEN concat('The process has the following actors: Commission, importer and operator. The Commission shall file record ', o_orderkey, '. The importer may close record ', o_orderkey, '; The operator must not wait. If late, all stop.')
+_FOUND_TEXT = """CASE o_orderkey % 4 WHEN 0 THEN concat('The process has the following actors: Commission, importer and operator. The Commission shall file record ', o_orderkey, '. The importer may close record ', o_orderkey, '; The operator must not wait. If late, all stop.')
     WHEN 1 THEN concat('The process has the following actors: Commission and clerk. The Commission must file record ', o_orderkey, '. The importer may close record ', o_orderkey, '.')
-    ELSE concat('The Commission shall file record ', o_orderkey, '. The importer may vote. If late, or unless told, stop.') END"""
-
-
-@query("""SELECT o_orderkey AS doc_id, 3 AS gold_actor_count, CASE o_orderkey % 3 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 0 END AS pred_actor_count, CASE o_orderkey % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0.0 END AS actor_precision, CASE o_orderkey % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.3333 ELSE 0.0 END AS actor_recall,
-    3 AS gold_task_count, CASE o_orderkey % 3 WHEN 0 THEN 3 ELSE 2 END AS pred_task_count, CASE o_orderkey % 3 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 1 END AS matched_tasks, CASE o_orderkey % 3 WHEN 2 THEN 0.5 ELSE 1.0 END AS task_precision, CASE o_orderkey % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.6667 ELSE 0.3333 END AS task_recall,
-    CASE o_orderkey % 3 WHEN 0 THEN 1.0 ELSE 0.5 END AS deontic_precision, CASE o_orderkey % 3 WHEN 0 THEN 1.0 ELSE 0.3333 END AS deontic_recall, 1.0 AS avg_task_similarity, 4 AS gold_total_sentences, CASE o_orderkey % 3 WHEN 0 THEN 4 ELSE 3 END AS pred_total_sentences,
-    CASE o_orderkey % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.0 ELSE 0.5 END AS xor_ratio, 1.0 AS and_ratio FROM orders""")
+    WHEN 2 THEN concat('The Commission shall file record ', o_orderkey, '. The importer may vote. If late, or unless told, stop.')
+    ELSE concat('The process has the following actors: Commission and the importers. The Commission shall file the record ', o_orderkey, '. The importer should vote.') END"""
+_TOKENS_SQL = r"len(regexp_extract_all({}, '[A-Za-z0-9_]+|[^A-Za-z0-9_\s]'))"
+_FILED = ("'file the record ' || o_orderkey", "'file record ' || o_orderkey")
+
+
+@query(f"""WITH t AS (SELECT *, {_GOLD_TEXT} AS gold, {_FOUND_TEXT} AS found, o_orderkey % 4 AS k, {similarity_sql(*_FILED)} AS s FROM orders),
+    c AS (SELECT *, {_TOKENS_SQL.format("gold")} AS gold_total_tokens, {_TOKENS_SQL.format("found")} AS pred_total_tokens, CASE WHEN k IN (1, 2) THEN 3 WHEN k = 0 THEN 4 ELSE 3 END AS pred_total_sentences,
+        CASE k WHEN 0 THEN 3 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 1 END AS matched_tasks, CASE k WHEN 0 THEN 3 ELSE 2 END AS pred_task_count FROM t)
+    SELECT o_orderkey AS doc_id, 3 AS gold_actor_count, CASE k WHEN 0 THEN 3 WHEN 2 THEN 0 ELSE 2 END AS pred_actor_count, (CASE k WHEN 0 THEN 1 WHEN 1 THEN 0.5 WHEN 2 THEN 0 ELSE 1 END)::DOUBLE AS actor_precision,
+        (CASE k WHEN 0 THEN 1 WHEN 1 THEN 0.3333 WHEN 2 THEN 0 ELSE 0.6667 END)::DOUBLE AS actor_recall, 3 AS gold_task_count, pred_task_count, matched_tasks, round(matched_tasks::DOUBLE / pred_task_count, 4) AS task_precision, round(matched_tasks::DOUBLE / 3, 4) AS task_recall,
+        (CASE k WHEN 0 THEN 1 WHEN 1 THEN 0.5 ELSE 0.5 END)::DOUBLE AS deontic_precision, (CASE k WHEN 0 THEN 1 ELSE 0.3333 END)::DOUBLE AS deontic_recall,
+        CASE k WHEN 3 THEN round(s, 4) ELSE 1.0::DOUBLE END AS avg_task_similarity, 4 AS gold_total_sentences, pred_total_sentences, gold_total_tokens::INTEGER AS gold_total_tokens, pred_total_tokens::INTEGER AS pred_total_tokens,
+        round(gold_total_tokens::DOUBLE / 4, 4) AS gold_avg_tokens_per_sentence, round(pred_total_tokens::DOUBLE / pred_total_sentences, 4) AS pred_avg_tokens_per_sentence, round(pred_total_tokens::DOUBLE / pred_total_sentences, 4) AS pred_tokens_per_sentence,
+        (CASE k WHEN 0 THEN 1 WHEN 2 THEN 0.5 ELSE 0 END)::DOUBLE AS xor_ratio, 1.0::DOUBLE AS and_ratio FROM c""")
 def j22_a12_description_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One text in four has a task and an actor that are alike, not equal."""
     both = spark.sql(f"SELECT o_orderkey AS doc_id, {_GOLD_TEXT} AS gold, {_FOUND_TEXT} AS found FROM parquet.`{sf_dir}/orders.parquet`")
     rows = description_evaluation.evaluate(both.select("doc_id", F.col("found").alias("text")), both.select("doc_id", F.col("gold").alias("text")), ["doc_id"])
-    counts = [F.col(c).cast("int").alias(c) for c in ("gold_actor_count", "pred_actor_count", "gold_task_count", "pred_task_count", "matched_tasks", "gold_total_sentences", "pred_total_sentences")]
-    return rows.select("doc_id", *counts, "actor_precision", "actor_recall", "task_precision", "task_recall", "deontic_precision", "deontic_recall", "avg_task_similarity", "xor_ratio", "and_ratio")
+    counts = [F.col(c).cast("int").alias(c) for c in ("gold_actor_count", "pred_actor_count", "gold_task_count", "pred_task_count", "matched_tasks", "gold_total_sentences", "pred_total_sentences", "gold_total_tokens", "pred_total_tokens")]
+    means = ["gold_avg_tokens_per_sentence", "pred_avg_tokens_per_sentence", "pred_tokens_per_sentence"]
+    return rows.select("doc_id", *counts, "actor_precision", "actor_recall", "task_precision", "task_recall", "deontic_precision", "deontic_recall", "avg_task_similarity", *means, "xor_ratio", "and_ratio")
 
 
 # --- sentences ------------------------------------------------------------------------------------------------------
@@ -214,10 +224,12 @@ def n4_n5_explicit_actor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sentences(spark, sf_dir).select("doc_id", rewriting.first_modal(F.col("text")).alias("at"), rewriting.explicit_actor(F.col("text")).alias("actor"))
 
 
-@query("SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 4 = 2 THEN 'The Commission shall act pursuant to Article 2.' ELSE 'The Commission shall act.' END AS text FROM orders")
+@query("""SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 5 = 0 THEN 'The Commission shall report.' WHEN o_orderkey % 4 = 2 THEN 'The Commission shall act pursuant to Article 2.' ELSE 'The Commission shall act.' END AS text FROM orders""")
 def f6_f7_external_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth text is left with dangling words, which go."""
     text = F.concat(F.lit("The Commission shall act pursuant to Article "), F.col("o_orderkey") % 4, F.lit(" and Directive 95/46/EC."))
-    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), rewriting.external_reference_phrases(text, F.array(F.lit("2"))).alias("text"))
+    text = F.when(F.col("o_orderkey") % 5 == 0, "The Commission shall report to Directive (EU) 95/46 and under Article 9.").otherwise(text)
+    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), rules.drop_dangling(rewriting.external_reference_phrases(text, F.array(F.lit("2")))).alias("text"))
 
 
 @query("""SELECT o_orderkey AS doc_id, CASE o_orderkey % 3 WHEN 0 THEN 'The file shall be kept by Commission.' WHEN 1 THEN 'The file shall be kept by the Board.' ELSE 'Commission shall keep it.' END AS passive,
@@ -239,7 +251,9 @@ def f8_n3_relative_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderkey AS doc_id, CASE o_orderkey % 6 WHEN 1 THEN 'Regulation (EU) No 12/2020' WHEN 2 THEN 'paragraph 3' WHEN 3 THEN 'Article 5;Article 8' WHEN 0 THEN 'Article 2' ELSE '' END AS refs FROM orders")
 def f12_j13_sentence_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sentences(spark, sf_dir).select("doc_id", F.array_join(rewriting.references(F.col("text"), F.array(F.lit("2"), F.lit("6"))), ";").alias("refs"))
+    rows = _sentences(spark, sf_dir).withColumn("own", F.array(F.lit("2"), F.lit("6")))
+    found = references.reference_rows(rows, ["doc_id"], "text", "own").groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("reference")), ";").alias("refs"))
+    return rows.select("doc_id").join(found, "doc_id", "left").na.fill("", ["refs"])
 
 
 # what the rules make of the two sentences of a made-up regulation
@@ -330,7 +344,7 @@ def e6_j9_performers(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = o.select("doc_id", F.explode(chart).alias("s")).select("doc_id", "s.*")
     text = F.array(F.lit("board"), F.concat(F.lit("unit: Sales, role: "), "clerk"), F.concat(F.lit("the "), "clerk", F.lit(" of it")), F.lit("Nobody"))
     tasks = o.select("doc_id", F.posexplode(text).alias("task_no", "said")).select("doc_id", "task_no", parsing.performers(F.col("said")).alias("performers"))
-    return entities.task_performers(tasks, known)
+    return entities.task_performers(tasks, known).select("doc_id", "task_no", "unit", "role")
 
 
 @query("SELECT o_orderkey AS job_id, 'https-post://example.org/worklist/' || o_orderkey || '/' AS url, CAST('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 6) AS BIGINT) AS instance FROM orders")

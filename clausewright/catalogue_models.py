@@ -218,12 +218,13 @@ def e9_enriched_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_ASSIGNED_SQL + """, f AS (SELECT job_id, call_id, label, role, min(ord) AS ord, min_by(unit, ord) AS unit FROM a GROUP BY ALL)
-    SELECT job_id, '<?xml version="1.0"?>' || chr(10) || '<tasks>' || chr(10) || string_agg('  <task callback_id="ID" cpee_callback="https://example.org/N/callbacks/ID/" cpee_instance="N" cpee_base="https://example.org/" cpee_label="' || label || '" cpee_activity="' || call_id || '" orgmodel="o&amp;m">' || chr(10) || '    <process>Worklist (N)</process>' || chr(10) || '    <label>' || label || '</label>' || chr(10) || '    <role>' || role || '</role>' || chr(10)
+    SELECT job_id, '<?xml version="1.0"?>' || chr(10) || '<tasks>' || chr(10) || string_agg('  <task callback_id="ID" cpee_callback="https://example.org/N/callbacks/ID/" cpee_instance="N" cpee_base="https://example.org/" instance_uuid="U" cpee_label="' || label || '" cpee_activity="' || call_id || '" orgmodel="o&amp;m">' || chr(10) || '    <process>Worklist (N)</process>' || chr(10) || '    <label>' || label || '</label>' || chr(10) || '    <role>' || role || '</role>' || chr(10)
         || '    <unit>' || unit || '</unit>' || chr(10) || '    <user uid="test">Tester</user>' || chr(10) || '  </task>' || chr(10), '' ORDER BY ord) || '</tasks>' AS xml FROM f GROUP BY job_id""")
 def k6_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Without the random ids and the instance number, which f22_f27_end_points checks."""
     rows = testset.worklist_xml(_roles(spark, sf_dir), F.lit("o&m"), "https://example.org/")
     xml = F.regexp_replace(F.regexp_replace(F.regexp_replace("xml", r'callback_id="[0-9a-f]{32}"', 'callback_id="ID"'), r"example.org/\d+/callbacks/[0-9a-f]{32}/", "example.org/N/callbacks/ID/"), r'(cpee_instance="|Worklist \()\d+', "$1N")
+    xml = F.regexp_replace(xml, 'instance_uuid="[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}"', 'instance_uuid="U"')
     return rows.select("job_id", xml.alias("xml"))
 
 
@@ -261,11 +262,11 @@ def o3_candidate_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("k", F.row_number().over(Window.partitionBy("k").orderBy(*candidates.candidate_order(), "c_custkey")).cast("long").alias("n"), "c_custkey")
 
 
-@query("""SELECT o_orderkey AS doc_id, CASE o_orderkey % 3 WHEN 0 THEN 'the ' ELSE '' END || CASE WHEN o_orderkey % 2 = 0 THEN 'Board' ELSE 'it' END || ' shall' || CASE WHEN o_orderkey % 5 = 0 THEN ' also' ELSE '' END || ' act' AS text FROM orders""")
+@query("""SELECT o_orderkey AS doc_id, CASE o_orderkey % 3 WHEN 0 THEN 'the ' ELSE '' END || CASE WHEN o_orderkey % 2 = 0 THEN 'Board' WHEN o_orderkey % 5 = 0 THEN 'it also' ELSE 'it' END || ' shall' || CASE WHEN o_orderkey % 5 = 0 THEN ' also' ELSE '' END || ' act' AS text FROM orders""")
 def b6_token_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Removal goes before replacement, replacement before insertion; a token keeps the space after it."""
+    """Removal goes before replacement, replacement before insertion (token 1 has both); a token keeps the space after it."""
     rows = made(spark, sf_dir, """SELECT o_orderkey AS doc_id, array(named_struct('i', 0, 'text', 'the', 'ws', ' '), named_struct('i', 1, 'text', 'it', 'ws', ' '), named_struct('i', 2, 'text', 'shall', 'ws', ' '), named_struct('i', 3, 'text', 'act', 'ws', '')) AS t,
-        CASE WHEN o_orderkey % 3 = 0 THEN CAST(array() AS array<int>) ELSE array(0) END AS r, CASE WHEN o_orderkey % 2 = 0 THEN map(0, 'the', 1, 'Board') ELSE map(0, 'the') END AS s, CASE WHEN o_orderkey % 5 = 0 THEN map(2, ' also', 0, '') ELSE map(0, '') END AS n FROM {orders}""")
+        CASE WHEN o_orderkey % 3 = 0 THEN CAST(array() AS array<int>) ELSE array(0) END AS r, CASE WHEN o_orderkey % 2 = 0 THEN map(0, 'the', 1, 'Board') ELSE map(0, 'the') END AS s, CASE WHEN o_orderkey % 5 = 0 THEN map(1, 'also', 2, 'also', 0, '') ELSE map(0, '') END AS n FROM {orders}""")
     return rows.select("doc_id", rewriting.apply_plan(*map(F.col, "trsn")).alias("text"))
 
 

@@ -16,8 +16,8 @@ ALT_ARTICLE_HEAD = r"(?im)^Art\.\s+\d+(?:\s+[A-Z]+)?\.?\s+[^\n]+"
 SECTION_HEAD = r"(?im)^\d+(?:\.\d+)*\.\s+([^\n]+)"
 NUMBERED_PARAGRAPH = r"(?m)^\d{1,2}\.\s+(?=[A-Z])"
 PARAGRAPH_STARTERS = ["the", "a", "an", "this", "these", "that", "those", "it", "they", "each", "any", "all", "no", "in", "for", "where", "if", "unless", "member"]
-INTERNAL_REFERENCE = r"(?i)\b(?:article\s+\d+\s*,\s*paragraph\s+\d+|art\.\s*(?:\d+|(?-i:[IVXLCDM]{1,10})\b)|(?:paragraph|subparagraph|article|section|annex|indent|point|sub-paragraph|recital|schedule|appendix)\s+(?:\d+|[IVXLCDM]{1,10})(?:\s*\(\s*\d+\s*\))?(?:\s*,\s*point\s+\d+)?)"
-ACT_TYPES = ["Implementing Regulation", "Delegated Regulation", "Implementing Decision", "Delegated Decision", "Directive", "Regulation", "Decision"]
+INTERNAL_REFERENCE = r"(?i)\b(?:paragraph|subparagraph|article|section|annex|indent|point|sub-paragraph|recital|schedule|appendix)\s+(?:\d+|[IVXLCDM]{1,10})(?:\s*\(\s*\d+\s*\))?(?:\s*,\s*point\s+\d+)?"
+ACT_TYPES = ["Directive", "Regulation", "Decision", "Implementing Regulation", "Delegated Regulation", "Implementing Decision", "Delegated Decision"]
 UNIT_SUFFIXES = ["authority", "agency", "commission", "council", "parliament", "board", "committee", "body", "office", "bureau", "directorate", "administration", "ministry", "department", "court", "tribunal"]
 ROLE_SUFFIXES = ["officer", "manager", "director", "inspector", "auditor", "controller", "supervisor", "provider", "operator", "applicant", "representative", "holder", "user", "administrator", "assessor"]
 DETERMINERS = ["the", "a", "an", "any", "each", "every", "all", "such", "those", "these", "this", "that", "their", "its"]
@@ -44,6 +44,7 @@ LABEL_NOISE = r"(?i)^\s*\d+(?:\([a-z]\))?\s+|^\s*(?:however|notwithstanding|ther
 DANGLING = r"(?i)(?:\s*,|\s+(?:and|or|with|to|of|for|by|in|on|at|from|pursuant|under|as|via|per)\b)+\s*\."
 XOR_WORDS = [r"(?i)\bif\b", r"(?i)\bunless\b", r"(?i)\bwhether\b", r"\bOR\b", r"(?i)\botherwise\b"]
 AND_WORDS = [r"(?i)\bin parallel\b", r"(?i)\bsimultaneously\b", r"(?i)\bactivities occur in parallel\b", r"(?i)\bactivities? in parallel\b"]
+SPACING = [(r"[ \t]+", " "), (r"\n{3,}", "\n\n"), (r"\(\s+", "("), (r"\s+\)", ")"), (r"(?m)^[\s,;:.]+(?=[A-Za-z])", "")]
 SECTION_MATCHES, HEADING_WORDS = 3, 10
 
 
@@ -70,7 +71,8 @@ def trim_all(text: Column) -> Column:
 
 
 def normalize_spaces(text: Column) -> Column:
-    for pattern, to in ((r"[ \t]+", " "), (r" *\n *", "\n"), (r"\n{3,}", "\n\n"), (r"\s+([,.;:])", "$1")):
+    """Single blanks, two line ends at most, no blank inside brackets, no mark before the first letter of a line."""
+    for pattern, to in SPACING:
         text = F.regexp_replace(text, pattern, to)
     return trim_all(text)
 
@@ -99,14 +101,10 @@ def structure(text: Column) -> Column:
 
 
 def internal_references(text: Column) -> Column:
+    """What the pattern of internal references finds, without case (``references`` has the token rules)."""
     return F.transform(F.regexp_extract_all(text, F.lit(INTERNAL_REFERENCE), F.lit(0)), lambda r: F.regexp_replace(r, r"\s+", " "))
 
 
-def act_citations(text: Column) -> Column:
-    """Citations such as ``Regulation (EU) No 12/2020``."""
-    return F.regexp_extract_all(text, F.lit(rf"\b(?:{'|'.join(ACT_TYPES)})\s+(?:\((?:EU|EC|Euratom)\)\s*)?(?:No\s+)?\d+/\d+(?:/(?:EU|EC))?"), F.lit(0))
-
-
 def article_numbers(text: Column) -> Column:
     """Numbers of articles that a text refers to, lists such as ``Articles 5, 6 and 8`` included."""
     lists = F.regexp_extract_all(text, F.lit(r"(?i)\bArticles?\s+(\d+(?:\(\d+\))?(?:\s*,\s*\d+(?:\(\d+\))?)*(?:\s*and\s*\d+(?:\(\d+\))?)?)"), F.lit(1))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,9 +50,12 @@ def specific(name: Column) -> Column:
 
 
 def institutions(docs: DataFrame) -> DataFrame:
-    """doc_id, name, actor_type: known bodies, the longest at each place, as the text writes them."""
-    pattern = r"(?i)\b(?:" + "|".join(sorted(INSTITUTIONS, key=len, reverse=True)) + r")\b"
-    return docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("name"), F.lit("UNIT").alias("actor_type")).distinct()
+    """doc_id, name, actor_type: known bodies as the text writes them, those inside the name of another too."""
+    phrases = [r"\b" + re.escape(name) + r"\b" for name in INSTITUTIONS]
+    low = F.lower("text")
+    found = [F.when(F.contains(low, F.lit(name.lower())), F.regexp_extract_all("text", F.lit("(?i)" + p), F.lit(0))) for name, p in zip(INSTITUTIONS, phrases)]
+    names = F.flatten(F.array(*[F.coalesce(f, F.array().cast("array<string>")) for f in found]))
+    return docs.select("doc_id", F.explode(F.array_distinct(names)).alias("name"), F.lit("UNIT").alias("actor_type")).distinct()
 
 
 def subjects(docs: DataFrame) -> DataFrame:
@@ -111,7 +116,7 @@ def task_candidates(docs: DataFrame) -> DataFrame:
     markers = "|".join(CONDITION_MARKERS)
     conditions = F.transform(F.regexp_extract_all("sentence", F.lit(rf"(?i)\b(?:{markers})\b[^,;.]*"), F.lit(0)), trim_all)
     phrase = F.regexp_replace(F.regexp_replace(F.col("_m.p"), rf"(?i),?\s*\b(?:{markers})\b.*$", ""), r"\s*,.*$", "")
-    rows = rows.withColumn("conditions", conditions).withColumn("_p", trim_all(phrase)).withColumn("deontic_modality", F.lower(F.regexp_replace(F.col("_m.m"), r"\s+", " ")))
+    rows = rows.withColumn("conditions", conditions).withColumn("_p", trim_all(phrase)).withColumn("deontic_modality", F.regexp_replace(F.lower(F.regexp_replace(F.col("_m.m"), r"\s+", " ")), "^(is|are) required to$", "is required to"))
     verb = F.lower(F.regexp_extract("_p", r"^(\w+)", 1))
     handed = trim_all(F.regexp_extract("_p", rf"(?i)^\w+\s+(?:that\s+(?:(?:{'|'.join(rules.DETERMINERS)})\s+)?\w+|.*?\bto)\s+(\w.*)$", 1))
     none = F.array().cast("array<string>")

@@ -135,7 +135,12 @@ def resolve_performers(wanted: DataFrame, subjects: DataFrame, key: str = "doc_i
 
 
 def task_performers(tasks: DataFrame, subjects: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, task_no, unit, role, distinct: what ``parsing.performers`` found in the tasks, open texts looked up."""
-    said = tasks.select(key, "task_no", F.explode("performers").alias("p")).select(key, "task_no", "p.*")
-    looked_up = resolve_performers(said.where("unit is null").select(key, "task_no", "text"), subjects, key)
-    return said.where("unit is not null").select(key, "task_no", "unit", "role").union(looked_up.select(key, "task_no", "unit", "role")).distinct()
+    """key, task_no, ord, unit, role: what ``parsing.performers`` found in the tasks, open texts looked up; each pair once a task, in
+    the order of the text, the subjects of one open text by unit and role."""
+    said = tasks.select(key, "task_no", F.posexplode("performers").alias("_at", "p")).select(key, "task_no", "_at", "p.*")
+    open_ = said.where("unit is null")
+    looked_up = resolve_performers(open_.select(key, "task_no", "text"), subjects, key).join(open_.select(key, "task_no", "text", "_at"), [key, "task_no", "text"])
+    every = said.where("unit is not null").select(key, "task_no", "_at", "unit", "role").unionByName(looked_up.select(key, "task_no", "_at", "unit", "role"))
+    first = every.groupBy(key, "task_no", "unit", "role").agg(F.min("_at").alias("_at"))
+    place = F.row_number().over(Window.partitionBy(key, "task_no").orderBy("_at", "unit", "role")) - 1
+    return first.select(key, "task_no", place.alias("ord"), "unit", "role")

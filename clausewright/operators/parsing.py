@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rewriting import let
 from ..functions.rules import trim_all
 
 # Fixed value: the mark of an exception that another task explains.
@@ -39,7 +40,7 @@ def exceptions(text: Column) -> Column:
 
 def performers(text: Column) -> Column:
     """array<struct<unit, role, text>> of a ``;;`` list: unit and role of ``unit: X, role: Y`` or ``X/Y``; anything else has
-    only its text, for a look-up.  ``(none)`` and half of a slash say nothing."""
+    only its text, for a look-up.  ``(none)`` and half of a slash say nothing; of equal ones the first stays, in the order of the text."""
 
     def entry(x: Column) -> Column:
         unit, role = F.regexp_extract(x, r"(?i)unit\s*:\s*([^,]+)", 1), F.regexp_extract(x, r"(?i)role\s*:\s*([^,;]+)", 1)
@@ -51,7 +52,9 @@ def performers(text: Column) -> Column:
         return F.when(named, pair(unit, role)).when(slash > 0, split).otherwise(F.struct(none.alias("unit"), none.alias("role"), x.alias("text")))
 
     every = F.transform(F.filter(listed(text), lambda x: x != "(none)"), entry)
-    return F.filter(every, lambda e: e["unit"].isNull() | ((e["unit"] != "") & (e["role"] != "")))
+    said = F.filter(every, lambda e: e["unit"].isNull() | ((e["unit"] != "") & (e["role"] != "")))
+    same = lambda a, b: F.when(a["unit"].isNull(), b["unit"].isNull() & (a["text"] == b["text"])).otherwise(F.coalesce((a["unit"] == b["unit"]) & (a["role"] == b["role"]), F.lit(False)))
+    return let(said, lambda s: F.filter(s, lambda e, i: ~F.exists(F.slice(s, F.lit(1), i), lambda b: same(e, b))))
 
 
 def task_blocks(responses: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -183,15 +183,22 @@ def instance_number(job: Column) -> Column:
     return F.conv(F.substring(F.md5(job), 1, 6), 16, 10).cast("long")
 
 
-def worklist_xml(roles: DataFrame, orgmodel: Column, base: str, process: str = "Worklist", key: str = "job_id") -> DataFrame:
-    """key, xml: one task for each distinct (call_id, label, role), the first of each.  Callback ids are random."""
+def instance_uuid(job: Column) -> Column:
+    """A UUID made of the job's md5, so that a task that runs twice writes the same."""
+    digest = F.md5(F.concat(F.lit("instance "), job))
+    return F.concat_ws("-", *[F.substring(digest, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+
+
+def worklist_xml(roles: DataFrame, orgmodel: Column, base: str, process: str = "Worklist", key: str = "job_id", instance: Column | None = None) -> DataFrame:
+    """key, xml: one task for each distinct (call_id, label, role), the first of each.  Callback ids are random; the instance's UUID is
+    ``instance``, or made from the job."""
     first = roles.groupBy(key, "call_id", "label", "role").agg(F.min("ord").alias("ord"), F.min_by("unit", "ord").alias("unit"))
     number = instance_number(F.col(key).cast("string")).cast("string")
     rows = first.withColumn("_n", number).withColumn("_id", F.replace(F.uuid(), F.lit("-"), F.lit("")))
     element = lambda name, value: F.concat(F.lit(f"    <{name}>"), _escaped(value), F.lit(f"</{name}>\n"))
     attribute = lambda name, value: F.concat(F.lit(f' {name}="'), _escaped(value), F.lit('"'))
     callback = F.concat(F.lit(base), "_n", F.lit("/callbacks/"), "_id", F.lit("/"))
-    head = [attribute("callback_id", F.col("_id")), attribute("cpee_callback", callback), attribute("cpee_instance", F.col("_n")), attribute("cpee_base", F.lit(base)), attribute("cpee_label", F.col("label")), attribute("cpee_activity", F.col("call_id")), attribute("orgmodel", orgmodel)]
+    head = [attribute("callback_id", F.col("_id")), attribute("cpee_callback", callback), attribute("cpee_instance", F.col("_n")), attribute("cpee_base", F.lit(base)), attribute("instance_uuid", instance_uuid(F.col(key).cast("string")) if instance is None else instance), attribute("cpee_label", F.col("label")), attribute("cpee_activity", F.col("call_id")), attribute("orgmodel", orgmodel)]
     body = [element("process", F.concat(F.lit(f"{process} ("), "_n", F.lit(")"))), element("label", F.col("label")), element("role", F.col("role")), element("unit", F.col("unit"))]
     task = F.concat(F.lit("  <task"), *head, F.lit(">\n"), *body, F.lit('    <user uid="test">Tester</user>\n  </task>\n'))
     listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", task.alias("t")))), lambda x: x["t"]), "")

@@ -211,17 +211,22 @@ def bpmn_counts(elements: DataFrame, key: str = "model_id") -> DataFrame:
     )
 
 
+#: Fixed value: the namespace of charts.
+ORGANISATION_NS = "http://cpee.org/ns/organisation/1.0"
+
+
 def organigram_xml(units: DataFrame, roles: DataFrame, subjects: DataFrame, key: str = "model_id") -> DataFrame:
     """key, xml: charts as the scan reads them: units and roles (name, parent, ord, par) with their parents, subjects
-    (subject, uid, unit, role, ord) with one relation each, all in the order of ``ord``."""
+    (subject, uid, unit, role, ord) with one relation each, all in the order of ``ord``, in the format's namespace, with an empty ``permissions`` for each
+    unit and role."""
     after = lambda column: F.transform(F.array_sort(F.collect_list(F.struct("_o", "x"))), lambda s: s["x"]).alias(column)
 
     def listed(df: DataFrame, name: str) -> DataFrame:
         parents = F.transform(F.array_sort(F.collect_list(F.when(F.col("parent").isNotNull(), F.struct("par", "parent")))), lambda p: p["parent"])
         one = df.groupBy(key, "ord", "name").agg(parents.alias("parent"))
-        return one.select(key, F.struct("ord", "name").alias("_o"), F.struct(F.col("name").alias("_id"), "parent").alias("x")).groupBy(key).agg(after(name))
+        return one.select(key, F.struct("ord", "name").alias("_o"), F.struct(F.col("name").alias("_id"), "parent", F.lit("").alias("permissions")).alias("x")).groupBy(key).agg(after(name))
 
     person = F.struct(F.col("subject").alias("_id"), F.col("uid").alias("_uid"), F.array(F.struct(F.col("unit").alias("_unit"), F.col("role").alias("_role"))).alias("relation"))
     people = subjects.select(key, F.struct("ord", "subject", "uid").alias("_o"), person.alias("x")).groupBy(key).agg(after("subject"))
     met = listed(units, "unit").join(listed(roles, "role"), key, "full_outer").join(people, key, "full_outer")
-    return met.select(key, F.to_xml(F.struct(F.struct("unit").alias("units"), F.struct("role").alias("roles"), F.struct("subject").alias("subjects")), {"rowTag": "organisation"}).alias("xml"))
+    return met.select(key, F.to_xml(F.struct(F.lit(ORGANISATION_NS).alias("_xmlns"), F.struct("unit").alias("units"), F.struct("role").alias("roles"), F.struct("subject").alias("subjects")), {"rowTag": "organisation"}).alias("xml"))

@@ -44,7 +44,7 @@ deontic_type:
 def test_task_blocks(spark):
     first, second = parsing.task_blocks(answers(spark, BLOCKS)).orderBy("block_no").collect()
     assert (first.label, first.deontic_type, first.deontic_modality, first.source_article, first.source_paragraph) == ("file the plan", "obligation", "shall", "3: a", "UNKNOWN")
-    assert [tuple(p) for p in first.performers] == [("Sales", "Clerk", "unit: Sales, role: Clerk"), ("Board", "Chief", "Board/Chief"), (None, None, "the desk"), ("Board", "Chief", "Board/Chief")]
+    assert [tuple(p) for p in first.performers] == [("Sales", "Clerk", "unit: Sales, role: Clerk"), ("Board", "Chief", "Board/Chief"), (None, None, "the desk")]
     assert first.conditions == ["if late", "if large"]
     assert [tuple(e) for e in first.exceptions] == [("unless closed", True), ("when absent", False)]
     assert (second.label, second.deontic_type, second.performers, second.exceptions) == ("x", "", [], [])
