@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import token_set
+from . import name_join
 
 # Fixed value: the unit of roles that belong to none.
 EXTERNAL = "External"
@@ -123,12 +124,13 @@ def performer_names(subjects: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def resolve_performers(wanted: DataFrame, subjects: DataFrame, key: str = "doc_id") -> DataFrame:
     """wanted (key, task_no, text) with unit and role: all subjects under the first known name that equals the text, holds it
-    or is held by it, without case; the text itself as unit and role where none does.  Texts and names meet once for
-    each distinct text of a document."""
+    or is held by it, without case; the text itself as unit and role where none does.  Texts and names meet on the rarest
+    trigram of the shorter one."""
     names = performer_names(subjects, key)
     texts = wanted.select(key, "text").distinct()
     low = F.lower(F.trim("text"))
-    close = texts.join(names.select(key, "ord", "known").distinct(), key).where((low != "") & (F.contains(low, F.col("known")) | F.contains(F.col("known"), low)))
+    met = name_join.holding(texts.select(key, low.alias("_low")), names.select(key, "known"), [key], "_low", "known")
+    close = texts.withColumn("_low", low).join(met, [key, "_low"]).join(names.select(key, "ord", "known").distinct(), [key, "known"])
     best = close.groupBy(key, "text").agg(F.min_by("known", F.struct("ord", "known")).alias("known"))
     met = wanted.join(best, [key, "text"], "left").join(names.select(key, "known", "unit", "role"), [key, "known"], "left")
     return met.select(key, "task_no", "text", F.coalesce("unit", "text").alias("unit"), F.coalesce("role", "text").alias("role")).distinct()

@@ -21,7 +21,7 @@ def _names(chart: dict[str, DataFrame], part: str, keys: list[str]) -> DataFrame
 def name_map(found: DataFrame, gold: DataFrame, keys: list[str], threshold: float) -> DataFrame:
     """keys, found_name, gold_name of the greedy matches; ties go by place in the chart, then by name."""
     f, g = (numbered(x, keys, ["ord", "name"], n).select(*keys, n, "name") for x, n in ((found, "i"), (gold, "j")))
-    matches = assign.greedy(name_pairs(f, g, keys, blank_rule=False), keys, threshold)
+    matches = assign.greedy(name_pairs(f, g, keys, blank_rule=False, least=threshold), keys, threshold)
     f, g = f.withColumnRenamed("name", "found_name"), g.withColumnRenamed("name", "gold_name")
     return matches.join(f, [*keys, "i"]).join(g, [*keys, "j"]).select(*keys, "found_name", "gold_name")
 
@@ -76,7 +76,7 @@ def evaluate(found: dict[str, DataFrame], gold: dict[str, DataFrame], keys: list
         "role_hierarchy": relations(found["roles"], gold["roles"], role_map, keys),
         "binding_by_names": bindings_by_names(f, g, unit_map, role_map, keys),
         "binding": _sizes(f, g, assign.greedy(binding_pairs(f, g, keys), keys, BINDING_THRESHOLD), keys),
-        "role_binding": _sizes(f, g, assign.greedy(name_pairs(as_names(f, "i"), as_names(g, "j"), keys, False), keys, BINDING_THRESHOLD), keys),
+        "role_binding": _sizes(f, g, assign.greedy(name_pairs(as_names(f, "i"), as_names(g, "j"), keys, False, BINDING_THRESHOLD), keys, BINDING_THRESHOLD), keys),
         "role_coverage": covered.select(*keys, F.col("covered").alias("tp"), F.lit(0).alias("fp"), (F.col("n_gold") - F.col("covered")).alias("fn")),
     }
     rows = None

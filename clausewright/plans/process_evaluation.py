@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics
 from ..functions.similarity import trigram_cosine_of
-from ..operators import assign, process_graph
+from ..operators import assign, name_join, process_graph
 
 # Thresholds.
 COMPLETENESS = {"actors": 0.70, "activities": 0.50, "events": 0.55, "data_objects": 0.60, "conditions": 0.60}
@@ -23,15 +23,20 @@ def vector_similarity(a: Column, b: Column) -> Column:
     return trigram_cosine_of(F.lower(a), F.lower(b))
 
 
-def _sides(found: DataFrame, gold: DataFrame, keys: list[str], columns: list[str]) -> tuple[DataFrame, DataFrame]:
-    left = found.select(*keys, "i", *[F.col(c).alias(f"f_{c}") for c in columns])
-    return left, gold.select(*keys, "j", *[F.col(c).alias(f"g_{c}") for c in columns])
+def _sides(found: DataFrame, gold: DataFrame, keys: list[str], columns: list[str], similarity) -> tuple[DataFrame, DataFrame]:
+    """Both sides' names, without case where the similarity is without case."""
+    name = lambda c: F.lower(c) if similarity is vector_similarity and c != "labels" else F.col(c)
+    left = found.select(*keys, "i", *[name(c).alias(f"f_{c}") for c in columns])
+    return left, gold.select(*keys, "j", *[name(c).alias(f"g_{c}") for c in columns])
 
 
 def _alike(left: DataFrame, right: DataFrame, keys: list[str], column: str, out: str, least, similarity) -> DataFrame:
     """keys, f_column, g_column, out: the distinct names of a pair of diagrams that are similar enough; a pair of names
-    that many diagrams have is scored once."""
+    that many diagrams have is scored once.  By the default similarity names meet on rare trigrams, above the smallest threshold there is."""
     names = [f"f_{column}", f"g_{column}"]
+    if similarity is vector_similarity:
+        floor = least if isinstance(least, float) else min(COMPLETENESS.values())
+        return name_join.alike(left, right, keys, *names, floor, contained=False).withColumnRenamed("score", out).where(F.col(out) >= least)
     met = left.select(*keys, names[0]).distinct().join(right.select(*keys, names[1]).distinct(), keys)
     scored = met.select(*names).distinct().withColumn(out, similarity(*map(F.col, names)))
     return met.join(scored, names).where(F.col(out) >= least)
@@ -48,7 +53,7 @@ def completeness(found: DataFrame, gold: DataFrame, keys: list[str], similarity=
     all_keys = [*keys, "kind"]
     f = process_graph.numbered(process_graph.element_names(found, keys), all_keys, ["ord"], "i")
     g = process_graph.numbered(process_graph.element_names(gold, keys), all_keys, ["ord"], "j")
-    left, right = _sides(f, g, all_keys, ["name"])
+    left, right = _sides(f, g, all_keys, ["name"], similarity)
     least = F.element_at(F.create_map(*[F.lit(x) for pair in COMPLETENESS.items() for x in pair]), F.col("kind"))
     close = _alike(left, right, all_keys, "name", "score", least, similarity)
     matches = assign.gold_order(left.join(close, [*all_keys, "f_name"]).join(right, [*all_keys, "g_name"]), all_keys, 0.0)
@@ -63,7 +68,7 @@ def _scored_share(rows: DataFrame) -> DataFrame:
 
 def _pair_correctness(found: DataFrame, gold: DataFrame, keys: list[str], columns: tuple[str, str], least: tuple[float, float], similarity) -> tuple[DataFrame, DataFrame]:
     f, g = process_graph.numbered(found, keys, ["ord"], "i"), process_graph.numbered(gold, keys, ["ord"], "j")
-    left, right = _sides(f, g, keys, list(columns))
+    left, right = _sides(f, g, keys, list(columns), similarity)
     met = left
     for n, c in enumerate(columns):
         met = met.join(_alike(left, right, keys, c, f"_s{n}", least[n], similarity), [*keys, f"f_{c}"])
@@ -90,7 +95,7 @@ def decision_logic(found: DataFrame, gold: DataFrame, keys: list[str], similarit
     similarity and the share of gold labels that find a partner among its labels."""
     f = process_graph.numbered(process_graph.decision_splits(found, keys), keys, ["ord"], "i")
     g = process_graph.numbered(process_graph.decision_splits(gold, keys), keys, ["ord"], "j")
-    left, right = _sides(f, g, keys, ["name", "labels"])
+    left, right = _sides(f, g, keys, ["name", "labels"], similarity)
     close = _alike(left, right, keys, "name", "_gate", CORRECTNESS["conditions"], similarity)
     met = left.join(close, [*keys, "f_name"]).join(right, [*keys, "g_name"])
     # each pair of label lists is compared once, however many gates have it
