@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import metrics, rules, similarity
-from .operators import assign, bags, entities, parsing, references, rollup, segment, testset, vectors
+from .operators import bags, entities, large_assign, parsing, references, rollup, segment, testset, vectors
 from .plans import evaluation
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -172,7 +172,7 @@ def _pairs(spark: SparkSession, sf_dir: str, threshold: float = 1500) -> DataFra
 
 @query(f"WITH RECURSIVE {_PAIRS_SQL}, {greedy_sql('pairs', 'label')} SELECT label, i, j, score FROM r WHERE taken")
 def m1_greedy_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assign.greedy(_pairs(spark, sf_dir), ["label"], 1500)
+    return large_assign.greedy(_pairs(spark, sf_dir), ["label"], 1500)
 
 
 @query(f"""WITH RECURSIVE {_PAIRS_SQL},
@@ -186,7 +186,7 @@ def m1_greedy_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM r JOIN f ON f.label = r.label AND f.n = r.n + 1)
     SELECT label, best.i AS i, j, best.s AS score FROM r WHERE best IS NOT NULL""")
 def m2_gold_order_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assign.gold_order(_pairs(spark, sf_dir), ["label"], 1500)
+    return large_assign.gold_order(_pairs(spark, sf_dir), ["label"], 1500)
 
 
 @query("""WITH p AS (SELECT s_nationkey AS k, s_suppkey AS i, 3 * s_suppkey AS x, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS n FROM supplier),
@@ -198,7 +198,7 @@ def m3_optimal_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"), F.col("s_suppkey").alias("n"))
     pairs = s.select("k", F.col("n").alias("i")).join(s.select("k", F.col("n").alias("j")), "k")
     gap = 3 * F.col("i") - 2 * F.col("j") - 7
-    return assign.optimal(pairs.select("k", "i", "j", (F.lit(1e12) - gap * gap).alias("score")), ["k"], 1e12 - 2500)
+    return large_assign.optimal(pairs.select("k", "i", "j", (F.lit(1e12) - gap * gap).alias("score")), ["k"], 1e12 - 2500)
 
 
 @query(f"""WITH {_PAIRS_SQL} SELECT label, i, count(*) AS n, max(score) AS best, min_by(j, {{'a': -score, 'j': j}}) AS top_j FROM pairs GROUP BY label, i""")
