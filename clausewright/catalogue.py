@@ -260,10 +260,19 @@ def sim5_vector_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.cosine_pairs(read(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding").select("a", "b", F.round("score", 6).alias("score"))
 
 
-@query()
+@query("""WITH RECURSIVE q AS (SELECT DISTINCT p_name AS name, p_type, lower(p_name) AS a, lower(p_type) AS b FROM part),
+    r(name, p_type, a, b, m) AS (
+        SELECT name, p_type, a, b, 0 FROM q
+        UNION ALL
+        SELECT name, p_type, unnest([a[1:x.i - 1], a[x.i - x.n:]]), unnest([b[1:j - 1], b[j - x.n:]]), unnest([-x.n, 0]) FROM (
+            SELECT *, strpos(b, a[x.i:x.i - x.n - 1])::INTEGER AS j FROM (
+                SELECT *, list_min(list_filter(flatten(list_transform(range(1, len(a) + 1), lambda i: list_transform(range(i, len(a) + 1), lambda e: {'n': (i - e - 1)::INTEGER, 'i': i::INTEGER}))), lambda y: contains(b, a[y.i:y.i - y.n - 1]))) AS x
+                FROM r WHERE a <> '' AND b <> '') WHERE x IS NOT NULL))
+    SELECT name, p_type, round(any_value(2.0::DOUBLE / (len(name) + len(p_type))) * sum(m)::DOUBLE, 9) AS ratio FROM r GROUP BY name, p_type""")
 def sim6_matching_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest common block, the first of equal ones, then the same on both sides of it."""
     names = read(spark, sf_dir, "part").select(F.col("p_name").alias("name"), "p_type").distinct()
-    return names.select("name", "p_type", similarity.matching_blocks_ratio(F.col("name"), F.col("p_type")).alias("ratio"))
+    return names.select("name", "p_type", F.round(similarity.matching_blocks_ratio(F.col("name"), F.col("p_type")), 9).alias("ratio"))
 
 
 @query("""WITH g AS (SELECT l_suppkey AS k, l_returnflag AS v, count(*) AS n FROM lineitem WHERE l_linenumber <= 3 GROUP BY ALL), p AS (SELECT l_suppkey AS k, l_returnflag AS v, count(*) AS n FROM lineitem WHERE l_linenumber >= 3 GROUP BY ALL)

@@ -301,8 +301,11 @@ def n14_institutions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates.institutions(_sentences(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH a AS (SELECT o_orderkey AS doc_id, {_ACTOR} AS actor, {_OTHER} AS other, o_orderkey % 7 <> 6 AS obliged FROM orders)
+    SELECT doc_id, actor AS name, 'ROLE' AS actor_type FROM a WHERE obliged AND actor NOT IN ('data controller', 'importer') UNION SELECT doc_id, actor, 'UNIT' FROM a WHERE actor NOT IN ('data controller', 'importer')
+    UNION SELECT doc_id, other, 'UNIT' FROM a WHERE other <> 'operator'""")
 def n11_n15_actor_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who notifies is a role, who refers, objects or was seen a unit by its suffix; blacklisted and vague names are none, nor is a pronoun."""
     return candidates.actor_candidates(regulations(spark, sf_dir))
 
 

@@ -9,29 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.rules import trim_all
+from ..sources.scratch import Scratch
 from .entities import drop_plurals
-from .segment import as_of, sentences, tasks
+from . import grammar
+from .segment import as_of, sentences
+from .words import ACTION_VERBS, CONDITION_MARKERS, DELEGATING_VERBS, INSTITUTIONS, NOT_ACTORS, REQUESTING_VERBS
 
 # Fixed values.
-INSTITUTIONS = [
-    "European Parliament", "Parliament", "European Council", "Council", "Council of the European Union", "European Commission", "Commission",
-    "Court of Justice of the European Union", "Court of Justice", "European Central Bank", "ECB", "Court of Auditors", "ENISA", "EBA", "ESMA", "EIOPA", "EASA",
-    "EMA", "Europol", "Eurojust", "European Data Protection Board", "EDPB", "European Data Protection Supervisor", "EDPS", "Member State", "Member States",
-]
-ACTION_VERBS = [
-    "notify", "report", "submit", "inform", "forward", "provide", "ensure", "adopt", "request", "assess", "investigate", "communicate", "cooperate", "consult",
-    "advise", "establish", "designate", "publish", "approve", "receive", "review", "examine", "verify", "monitor",
-]
-NOT_ACTORS = [
-    "application", "report", "decision", "guideline", "notice", "process", "procedure", "scheme", "data", "information", "document", "request", "notification",
-    "measure", "regulation", "directive", "provision", "obligation", "right", "certificate", "assessment", "evaluation", "analysis", "review", "plan", "programme",
-    "system", "framework", "mechanism", "criteria", "requirement", "condition", "period", "date", "paragraph", "article", "section", "annex", "chapter", "title",
-    "recital", "incident", "threat", "impact", "loss", "disruption", "damage", "guidance", "warning", "summary", "contact", "act", "point", "recipient", "iaw",
-    "union law", "such", "those", "these", "this", "relevant", "mere", "initial", "final", "significant", "cross-border",
-]
-DELEGATING_VERBS = ["ensure", "require", "oblige", "mandate", "order", "direct", "compel", "cause"]
-REQUESTING_VERBS = ["request", "ask", "instruct", "invite"]
-CONDITION_MARKERS = ["if", "where", "when", "unless", "provided", "insofar", "subject", "extent", "condition", "assuming", "given", "whenever"]
 SKIPPED_LINE = r"(?s)^--.*--|^\s*$"
 PARAGRAPH_MARK = r"^[ \t]*(\d{1,2}(?:\([a-z]\))?)\s*(?:[.\s]|$)"
 MINIMUM_CANDIDATES = 2
@@ -58,31 +42,44 @@ def institutions(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.explode(F.array_distinct(names)).alias("name"), F.lit("UNIT").alias("actor_type")).distinct()
 
 
-def subjects(docs: DataFrame) -> DataFrame:
-    """doc_id, name, actor_type: subjects of modals; those of a verb that begins like an action verb are roles, others go by
+def noun_groups(docs: DataFrame) -> DataFrame:
+    """doc_id, at, name, verb: the noun groups of every sentence of every line, by their arcs, without determiners; ``verb`` is the verb whose
+    subject a group is (null for others); pronouns are none."""
+    lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("_line")).select("doc_id", F.explode_outer(sentences(F.col("_line"))).alias("_s")).where("_s <> ''")
+    # parsing costs far more than moving a sentence, so sentences are dealt out first, however few parts the texts come in
+    lines = lines.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = grammar.noun_groups(lines, "_s", "_g").select("doc_id", F.posexplode_outer("_g").alias("at", "_x")).where("_x is not null")
+    return rows.select("doc_id", "at", "_x.name", "_x.verb").where("name <> ''")
+
+
+def named(groups: DataFrame) -> DataFrame:
+    """doc_id, name, n_total, n_subject, subjects: noun groups that are equal without case, as last written with a capital (else as first
+    written), and the (name, actor_type) of those that are subjects: roles where the verb begins like an action verb, others by
     their suffix."""
-    found = tasks(docs)
-    name = rules.strip_determiner(F.regexp_extract("actor", r"([^,;:]+)$", 1))
-    kind = F.when(F.col("activity").rlike(rf"(?i)^(?:{'|'.join(ACTION_VERBS)})"), "ROLE").otherwise(rules.infer_type(name))
-    return found.select("doc_id", name.alias("name"), kind.alias("actor_type"))
+    capital = F.when(F.col("name").rlike(r"^\p{Lu}"), F.struct("at", "name"))
+    shown = F.coalesce(F.max_by("name", capital), F.min_by("name", F.struct("at", "name"))).alias("name")
+    kind = F.when(F.col("verb").rlike(rf"(?i)^(?:{'|'.join(ACTION_VERBS)})"), "ROLE").otherwise(rules.infer_type(F.col("name")))
+    subject = F.when(F.col("verb").isNotNull(), F.struct("name", kind.alias("actor_type")))
+    return groups.groupBy("doc_id", F.lower("name").alias("_low")).agg(shown, F.count("*").alias("n_total"), F.count("verb").alias("n_subject"), F.collect_set(subject).alias("subjects")).drop("_low")
+
+
+def _frequent(least: int) -> Column:
+    return (F.col("n_total") >= least) & (F.col("n_subject") > 0) & (F.size(F.split("name", r"\s+")) <= 6)
 
 
 def frequent_names(docs: DataFrame, least: int = 2) -> DataFrame:
-    """doc_id, name, n_total, n_subject: capitalised names of at most six words that occur ``least`` times, at least once
-    right before a modal; shown as last written with a capital (else as first written)."""
-    pattern = r"(\p{Lu}[\w-]*(?:\s+(?:of|the|\p{Lu}[\w-]*)){0,5})(?<!\sof|\sthe)(\s+(?:shall|must|may|should)\b)?"
-    zipped = F.arrays_zip(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)).alias("n"), F.regexp_extract_all("text", F.lit(pattern), F.lit(2)).alias("m"))
-    rows = docs.select("doc_id", F.posexplode_outer(zipped).alias("at", "x")).where("x.n is not null").select("doc_id", "at", rules.strip_determiner(F.col("x.n")).alias("name"), (F.col("x.m") != "").alias("is_subject"))
-    counted = rows.where("name <> ''").groupBy("doc_id", F.lower("name").alias("_low")).agg(F.coalesce(F.max_by("name", F.when(F.col("name").rlike(r"^\p{Lu}"), F.col("at"))), F.min_by("name", "at")).alias("name"), F.count("*").alias("n_total"), F.count_if("is_subject").alias("n_subject"))
-    return counted.where((F.col("n_total") >= least) & (F.col("n_subject") > 0)).drop("_low")
+    """doc_id, name, n_total, n_subject: names of at most six words that occur ``least`` times, at least once as a subject."""
+    return named(noun_groups(docs)).where(_frequent(least)).drop("subjects")
 
 
 def actor_candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, name, actor_type of all layers, distinct, without things, vague words and plurals of other names."""
-    frequent = frequent_names(docs).select("doc_id", "name", rules.infer_type(F.col("name")).alias("actor_type"))
-    found = subjects(docs).unionByName(frequent).where(is_actor(F.col("name")))
+    """doc_id, name, actor_type of all layers, distinct, without things, vague words and plurals of other names.  What the layers find is
+    written once, so that the texts are parsed once."""
+    often = F.when(_frequent(2), F.array(F.struct("name", rules.infer_type(F.col("name")).alias("actor_type"))))
+    none = F.array().cast("array<struct<name:string,actor_type:string>>")
+    found = named(noun_groups(docs)).select("doc_id", F.explode(F.concat("subjects", F.coalesce(often, none))).alias("_x")).select("doc_id", "_x.*").where(is_actor(F.col("name")))
     every = institutions(docs).unionByName(found).where(specific(F.col("name"))).distinct()
-    return drop_plurals(every, ["doc_id", "actor_type"])
+    return drop_plurals(Scratch(docs.sparkSession).write(every), ["doc_id", "actor_type"])
 
 
 def candidate_order() -> list[Column]:

@@ -13,10 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..functions import arcs, rules
-from .candidates import CONDITION_MARKERS, DELEGATING_VERBS, NOT_ACTORS, REQUESTING_VERBS
+from .words import CONDITION_MARKERS, DELEGATING_VERBS, NOT_ACTORS, REQUESTING_VERBS
 
 #: Sentences of a batch.
-STEP = 512
+STEP = 2048
 # What a task's phrase leaves out, and the modal verbs.
 NOT_IN_PHRASE = ("nsubj", "nsubjpass", "csubj", "csubjpass", "aux", "auxpass", "neg", "advcl", "conj", "cc", "punct")
 MODALS = ("shall", "may", "should", "must")
@@ -122,6 +122,24 @@ class Sentence:
                 yield from (task(c, modality, "joined") for c in mine if c["dep"] == "conj" and c["tag"] == "VERB")
 
 
+_GROUP = pa.struct([("name", pa.string()), ("verb", pa.string())])
+
+
+def _groups(words: list[dict]) -> list[dict]:
+    sentence, out = Sentence(words), []
+    for w in words:
+        if w["tag"] in ("NOUN", "PROPN") and w["dep"] not in ("compound", "amod"):
+            group = [c for c in sentence.children[w["i"]] if c["dep"] in ("det", "amod", "compound", "nummod") and c["i"] < w["i"]]
+            name = _DETERMINER.sub("", " ".join(x["text"] for x in [*group, w]))
+            out.append({"name": name, "verb": words[w["head"]]["text"] if w["dep"] in ("nsubj", "nsubjpass") else None})
+    return out
+
+
+def noun_groups(rows: DataFrame, text: str, out: str = "groups") -> DataFrame:
+    """``rows`` with the noun groups of each sentence in column ``out``: name without determiner, and the verb whose subject it is (or null)."""
+    return _mapped(rows, text, out, lambda texts: [_groups(words) for words in arcs.parse(texts)], _GROUP, "array<struct<name:string,verb:string>>")
+
+
 def modal_tasks(rows: DataFrame, text: str, out: str = "tasks") -> DataFrame:
     """``rows`` with the tasks of each sentence in column ``out``: verb, modality, kind (own, joined by a coordinator, handed on by a
     delegating verb, or requested), label (the verb's phrase), subjects and conditions."""
