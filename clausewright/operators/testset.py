@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.similarity import matching_blocks_ratio
+from ..sources.scratch import Scratch
 
 # Namespaces and end points of the process engine's format.
 DESCRIPTION_NS = "http://cpee.org/ns/description/1.0"
@@ -67,14 +68,21 @@ def calls(blocks: DataFrame, key: str = "job_id") -> DataFrame:
 def assign_roles(found: DataFrame, mapping: DataFrame, stated: DataFrame, key: str = "job_id") -> DataFrame:
     """found (key, ord, call_id, label) with role and unit.  The role is the stated one of the call's id, else of its label
     (the last of several), else that of the mapping's (key, task_no, label, role, unit) most similar label, first of ties;
-    the unit is that of the role, else of the label, else ``*``."""
+    the unit is that of the role, else of the label, else ``*``.  The calls are written once, since every rule looks at them; an equal
+    label is the most similar one, so only labels without one are compared."""
+    scratch = Scratch(found.sparkSession)
+    kept = scratch.write(found)
+    found, stated = kept, kept if stated is found else stated
     last = lambda rows, name, out: rows.where(F.col(name) != "").groupBy(key, name).agg(F.max_by(out, "ord").alias(f"_{name}"))
     said = stated.where("role <> ''")
     rows = found.drop("role", "unit").join(last(said, "call_id", "role"), [key, "call_id"], "left").join(last(said, "label", "role"), [key, "label"], "left")
     rows = rows.withColumn("role", F.coalesce("_call_id", "_label"))
     open_labels = rows.where("role is null").select(key, "label").distinct()
-    close = open_labels.join(mapping.select(key, "task_no", F.col("label").alias("_l"), F.col("role").alias("_r")), key)
-    best = close.withColumn("_s", matching_blocks_ratio("label", "_l")).groupBy(key, "label").agg(F.max_by("_r", F.struct("_s", -F.col("task_no"))).alias("_fuzzy"))
+    low = open_labels.withColumn("_low", F.lower("label"))
+    same = low.join(mapping.groupBy(key, F.lower("label").alias("_low")).agg(F.max_by("role", -F.col("task_no")).alias("_fuzzy")), [key, "_low"]).select(key, "label", "_fuzzy")
+    rest = open_labels.join(same, [key, "label"], "left_anti")
+    close = rest.join(mapping.select(key, "task_no", F.col("label").alias("_l"), F.col("role").alias("_r")), key)
+    best = close.withColumn("_s", matching_blocks_ratio("label", "_l")).groupBy(key, "label").agg(F.max_by("_r", F.struct("_s", -F.col("task_no"))).alias("_fuzzy")).unionByName(same)
     rows = rows.join(best, [key, "label"], "left").withColumn("role", F.coalesce("role", "_fuzzy", F.lit("")))
     by_role = mapping.where("role <> ''").groupBy(key, "role").agg(F.max_by("unit", "task_no").alias("_u1"))
     by_label = mapping.groupBy(key, "label").agg(F.max_by("unit", "task_no").alias("_u2"))

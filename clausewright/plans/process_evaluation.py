@@ -1,7 +1,8 @@
 """Completeness and correctness of process diagrams: gold-order matching of names, pairs and splits.
 
 The candidates of a diagram pair come from an equi-join on the keys, so a pair of diagrams never meets another;
-similarities are computed once for each distinct pair of names of a join.
+similarities are computed once for each distinct pair of names of a join.  Element tables are read by many branches of a plan, so each is
+written once to the shared folder first, and XML behind it is parsed once.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import metrics
 from ..functions.similarity import trigram_cosine_of
 from ..operators import assign, name_join, process_graph
+from ..sources.scratch import Scratch
 
 # Thresholds.
 COMPLETENESS = {"actors": 0.70, "activities": 0.50, "events": 0.55, "data_objects": 0.60, "conditions": 0.60}
@@ -23,6 +25,11 @@ def vector_similarity(a: Column, b: Column) -> Column:
     return trigram_cosine_of(F.lower(a), F.lower(b))
 
 
+def _written(found: DataFrame, gold: DataFrame) -> tuple[DataFrame, DataFrame]:
+    scratch = Scratch(found.sparkSession)
+    return scratch.write(found), scratch.write(gold)
+
+
 def _sides(found: DataFrame, gold: DataFrame, keys: list[str], columns: list[str], similarity) -> tuple[DataFrame, DataFrame]:
     """Both sides' names, without case where the similarity is without case."""
     name = lambda c: F.lower(c) if similarity is vector_similarity and c != "labels" else F.col(c)
@@ -50,6 +57,7 @@ def _counts(found: DataFrame, gold: DataFrame, matches: DataFrame, keys: list[st
 def completeness(found: DataFrame, gold: DataFrame, keys: list[str], similarity=vector_similarity) -> DataFrame:
     """keys, kind, n_gold, n_found, matched, recall, precision of the names of two element tables.  No gold names:
     recall 1; no found names: recall 0 (precision the other way round)."""
+    found, gold = _written(found, gold)
     all_keys = [*keys, "kind"]
     f = process_graph.numbered(process_graph.element_names(found, keys), all_keys, ["ord"], "i")
     g = process_graph.numbered(process_graph.element_names(gold, keys), all_keys, ["ord"], "j")
@@ -80,19 +88,20 @@ def _pair_correctness(found: DataFrame, gold: DataFrame, keys: list[str], column
 def actor_assignment(found: DataFrame, gold: DataFrame, keys: list[str], similarity=vector_similarity) -> DataFrame:
     """keys, n_gold, n_found, matched, score over (activity, actor) pairs: both names must be similar enough; null
     where neither diagram has any."""
-    sides = [process_graph.activity_actors(x, keys) for x in (found, gold)]
+    sides = [process_graph.activity_actors(x, keys) for x in _written(found, gold)]
     return _pair_correctness(*sides, keys, ("activity", "actor"), (CORRECTNESS["activities"], CORRECTNESS["actors"]), similarity)[1]
 
 
 def control_flow(found: DataFrame, gold: DataFrame, keys: list[str], similarity=vector_similarity) -> DataFrame:
     """The same over (source, target) pairs of named nodes."""
-    sides = [process_graph.control_flow(x, keys) for x in (found, gold)]
+    sides = [process_graph.control_flow(x, keys) for x in _written(found, gold)]
     return _pair_correctness(*sides, keys, ("source", "target"), (CORRECTNESS["activities"],) * 2, similarity)[1]
 
 
 def decision_logic(found: DataFrame, gold: DataFrame, keys: list[str], similarity=vector_similarity) -> DataFrame:
     """The same over decision splits: gateway names must be similar enough; a candidate's score is the mean of that
     similarity and the share of gold labels that find a partner among its labels."""
+    found, gold = _written(found, gold)
     f = process_graph.numbered(process_graph.decision_splits(found, keys), keys, ["ord"], "i")
     g = process_graph.numbered(process_graph.decision_splits(gold, keys), keys, ["ord"], "j")
     left, right = _sides(f, g, keys, ["name", "labels"], similarity)

@@ -118,3 +118,13 @@ def test_names_and_paragraphs(spark):
     assert [(r.label, r.source_paragraph) for r in rows] == [("act", "UNKNOWN"), ("meet", "1"), ("vote", "12(a)"), ("rest", "12(a)")]
     shown = candidates.frequent_names(spark.createDataFrame([(1, "The Data Board shall act. A Data Board met. Then, Data Board shall end.")], "doc_id long, text string")).collect()
     assert ("Data Board", 2) in {(r.name, r.n_subject) for r in shown}
+
+
+def test_most_similar_label(spark):
+    """An equal label without case wins, the first of equal ones; else the most similar one."""
+    from clausewright.operators import testset
+
+    calls = spark.createDataFrame([("j", 0, "c0", "File Plan", ""), ("j", 1, "c1", "file the plans", ""), ("j", 2, "c2", "zzz", ""), ("k", 0, "c0", "file plan", "")], "job_id string, ord int, call_id string, label string, role string")
+    mapping = spark.createDataFrame([("j", 2, "file plan", "second", "U2"), ("j", 1, "FILE plan", "first", "U1"), ("j", 3, "file the plan", "third", "U3")], "job_id string, task_no int, label string, role string, unit string")
+    got = {(r.job_id, r.ord): (r.role, r.unit) for r in testset.assign_roles(calls, mapping, calls).collect()}
+    assert got == {("j", 0): ("first", "U1"), ("j", 1): ("third", "U3"), ("j", 2): ("first", "U1"), ("k", 0): ("", "*")}
