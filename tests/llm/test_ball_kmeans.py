@@ -74,10 +74,10 @@ def test_balls_spare_distances_and_stand_still():
     assert sum(still.still) >= 15 and still.assign(x, labels)[3] < 5 * 500
 
 
-def test_only_labels_move(spark):
+def test_only_labels_move(spark, tmp_path):
     """The blocks are joined where they lie: the only shuffle of a round is that of the labels."""
     rows = spark.range(1000).select(F.col("id").alias("block"), F.lit(b"abcd").alias("body"))
-    rows.repartition(4, "block").write.bucketBy(4, "block").format("parquet").mode("overwrite").saveAsTable("test_ball_blocks")
+    rows.repartition(4, "block").write.bucketBy(4, "block").format("parquet").option("path", f"{tmp_path}/blocks").saveAsTable("test_ball_blocks")
     labels = spark.range(1000).select(F.col("id").alias("block"), F.lit(b"x").alias("labels"))
     plan = spark.table("test_ball_blocks").join(labels.hint("shuffle_hash"), "block")._jdf.queryExecution().executedPlan().toString()
     spark.sql("drop table test_ball_blocks")
