@@ -77,7 +77,7 @@ def test_text_rules(spark):
     assert one(spark, rules.drop_fillers(F.col("t")), t="They shall, inter alia, report") == "They shall report"
     assert one(spark, rules.drop_dangling(F.col("t")), t="It acts pursuant to.") == "It acts."
     assert one(spark, rules.internal_references(F.col("t")), t="see paragraph  3 and Annex IV") == ["paragraph 3", "Annex IV"]
-    assert one(spark, rules.normalize_spaces(F.col("t")), t=", the  Commission shall act ( a ).\n\n\n\n ;: report , b ") == "the Commission shall act (a).\n\nreport , b"
+    assert one(spark, rules.normalize_spaces(F.col("t")), t=", the  Commission shall act ( a ).\n\n\n\n ;: report , b ") == "the Commission shall act (a).\nreport , b"
     assert one(spark, rules.article_numbers(F.col("t")), t="Articles 51, 52(1) and 54") == ["51", "52(1)", "54"]
     assert one(spark, rules.clean_label(F.col("t")), t="1(a) However, file it") == "However, file it"
     assert one(spark, rules.infer_type(F.col("t")), t="Data protection officer") == "ROLE"
