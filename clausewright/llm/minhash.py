@@ -257,8 +257,8 @@ def _keys(doc_id: Column) -> list[Column]:
 
 
 def near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, row_key, row_mark, n_shingles, component_id, kept for each row of ``docs``; the two hashes name its doc_id and text."""
-    return _with_components(docs, width, percent).drop("component")
+    """doc_id, row_key, n_shingles, component_id, kept for each row of ``docs``; row_key is xxhash64(doc_id, text)."""
+    return _with_components(docs, width, percent).drop("component", "row_mark")
 
 
 def _with_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
